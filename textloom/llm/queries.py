@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .quality_rules import quality_rules
+from .secret_scans import digest, secret_scan
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +15,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secret_scan(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op8_secret_scans": op8_secret_scans,
 }
