@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, warc
 from .common import read
+from .embedding_dedup import embedding_dedup
 from .quality_rules import quality_rules
 from .secret_scans import digest, secret_scan
+from .token_counts import token_counts
+
+#: Folder of the public vocabularies.
+VOCABULARIES = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +24,34 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(read(spark, sf_dir, "documents")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mix(read(spark, sf_dir, "documents"))
+    return drawn.withColumn("probability", F.round("probability", 6))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_token_counts": op2_token_counts,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_secret_scans": op8_secret_scans,
+    "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
