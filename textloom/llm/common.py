@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,3 +43,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns of the input can't clash with an operator's own."""
     return df.select(*[df[c] for c in columns])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are no longer in use; it acts on the driver's
+    garbage collection, which a small driver heap may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

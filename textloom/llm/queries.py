@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import mixing, warc
 from .common import read
 from .embedding_dedup import embedding_dedup
+from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .secret_scans import digest, secret_scan
 from .token_counts import token_counts
@@ -28,6 +29,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
 
@@ -50,6 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op6_ngram_join": op6_ngram_join,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_secret_scans": op8_secret_scans,
     "op9_mixing": op9_mixing,
