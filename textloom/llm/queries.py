@@ -13,7 +13,9 @@ from .embedding_dedup import embedding_dedup
 from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .secret_scans import digest, secret_scan
+from .sentencepieces import digests, encode
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 #: Folder of the public vocabularies.
 VOCABULARIES = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -29,6 +31,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
 
 
+def op4_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/piece_bpe_32k.model"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted"
+    )
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read(spark, sf_dir, "documents"))
 
@@ -55,6 +67,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op4_sentencepieces": op4_sentencepieces,
+    "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_secret_scans": op8_secret_scans,
