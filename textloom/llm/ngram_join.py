@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, release
 from .components import components
-from .hashing import id_filter, lists, lower_ascii, mixed, passes, slot_of, windows, word_hashes
+from .hashing import bit_filter, lists, lower_ascii, mixed, passes, slot_of, windows, word_hashes
 
 RARE = 8
 MAX_FREQUENT = 16
@@ -140,7 +140,7 @@ def _close(a: Column, b: Column, threshold: int) -> Column:
 
 def _whole_sets(hashed: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """id and all its shingles, for the given ids; a filter of fixed size spares the others the shuffle."""
-    sent = hashed.sparkSession.sparkContext.broadcast(id_filter(ids, "id"))
+    sent = hashed.sparkSession.sparkContext.broadcast(bit_filter(ids.select(slot_of(F.col("id")).alias("slot"))))
 
     def rows(batches):
         for batch in batches:

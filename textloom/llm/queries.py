@@ -14,6 +14,7 @@ from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .secret_scans import digest, secret_scan
 from .sentencepieces import digests, encode
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -31,6 +32,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.tiktoken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op4_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(read(spark, sf_dir, "documents"), f"{VOCABULARIES}/piece_bpe_32k.model"))
 
@@ -67,6 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepieces": op4_sentencepieces,
     "op5_toxicity": op5_toxicity,
     "op6_ngram_join": op6_ngram_join,
