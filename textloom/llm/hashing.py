@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +72,23 @@ def passes(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 def slot_of(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in `gone` (column id). Rows that a filter of fixed size clears go past the join,
+    so only the texts that may have to go are shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.select(slot_of(F.col("id")).alias("slot"))))
+
+    def where(wanted: bool):
+        def rows(batches):
+            for batch in batches:
+                hit = passes(sent.value, batch.column(batch.num_columns - 1).to_numpy()) == wanted
+                yield batch.slice(0).filter(pa.array(hit)).select(batch.schema.names[:-1])
+
+        return rows
+
+    slotted = docs.withColumn("__slot", slot_of(docs[id_col]))
+    doubtful = slotted.mapInArrow(where(True), docs.schema)
+    return slotted.mapInArrow(where(False), docs.schema).union(
+        doubtful.join(gone.select(F.col("id").alias("__gone")), F.col(id_col) == F.col("__gone"), "left_anti")
+    )

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, words
+from .hashing import without
 
 MARGINALS = ("source", "lang", "topic")
 ROUNDS = 6
@@ -112,5 +113,5 @@ def mix(
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that mix draws, with all their columns."""
-    drawn = mix(docs, id_col, **options).filter("kept").select(F.col("doc_id").alias("drawn_id"))
-    return docs.join(drawn, docs[id_col] == drawn["drawn_id"], "left_semi")
+    gone = keep(mix(docs, id_col, **options).filter("not kept").select(F.col("doc_id").alias("id")).distinct())
+    return without(docs, id_col, gone)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, release
 from .components import components
-from .hashing import bit_filter, lists, lower_ascii, mixed, passes, slot_of, windows, word_hashes
+from .hashing import bit_filter, lists, lower_ascii, mixed, passes, slot_of, windows, without, word_hashes
 
 RARE = 8
 MAX_FREQUENT = 16
@@ -240,5 +240,5 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that represent their component, with all their columns."""
-    first = ngram_join(docs, id_col=id_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("first_id"))
-    return docs.join(first, docs[id_col] == first["first_id"], "left_semi")
+    gone = keep(ngram_join(docs, id_col=id_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct())
+    return without(docs, id_col, gone)

@@ -22,6 +22,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Log-odds that one document's own rules add to (failing) or take from (passing) its host's.
 EVIDENCE = 3.0
+#: So many hosts (a few MB) are broadcast at most.
+FEW_HOSTS = 50_000
 
 
 def _let(value: Column, body) -> Column:
@@ -59,10 +61,11 @@ def _covered(hashes: Column) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document with the counts of the rules."""
+    """One row per document: the row itself as `row`, and the counts of the rules."""
     text = F.coalesce(docs[text_col], F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^ {OTHER_SPACE}]"))
     d = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         docs[id_col].alias("doc_id"),
         docs[host_col].alias("host"),
         words(text).alias("w"),
@@ -74,7 +77,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     d = d.withColumn("n_words", F.size("w").cast("bigint")).withColumn("word_chars", F.length(F.array_join("w", "")).cast("bigint"))
     d = d.withColumn("h2", _paired("w", "w", 1)).withColumn("h4", _paired("h2", "h2", 2))
     return d.select(
-        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines",
+        "row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines",
         _let(_paired("h4", "w", 4), _covered).alias("n_repeat_words"),
     ).withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -111,6 +114,20 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return mean * strength, (1 - mean) * strength
 
 
+def _rates(measured: DataFrame) -> DataFrame:
+    """The shrunk rate of every host; a table of few hosts is marked for broadcasting."""
+    hosts = keep(measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(rule_failed().cast("bigint")).alias("n_failed")))
+    a, b = beta_prior(hosts)
+    rates = hosts.select(F.col("host").alias("of"), ((F.col("n_failed") + a) / (F.col("n_docs") + a + b)).alias("host_rate"))
+    return F.broadcast(rates) if hosts.count() <= FEW_HOSTS else rates
+
+
+def _judged(measured: DataFrame, rates: DataFrame) -> DataFrame:
+    joined = measured.join(rates, measured["host"].eqNullSafe(rates["of"]), "left").drop("of")
+    odds = F.log(F.col("host_rate") / (1 - F.col("host_rate"))) + F.when(rule_failed(), EVIDENCE).otherwise(-EVIDENCE)
+    return joined.withColumn("kept", ~F.col("base_failed") & (odds < 0))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host, the counts, base_failed, host_rate (shrunk) and kept.
 
@@ -118,18 +135,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document's own evidence (EVIDENCE, plus or minus) come to zero or more: a failing document of an ordinary
     host goes, one of a spotless host stays, and a document that fails nothing goes only from a host where
     nearly all fail."""
-    m = keep(measure(docs, id_col, text_col, host_col))
-    hosts = m.groupBy("host").agg(
-        F.count("*").alias("n_docs"), F.sum(rule_failed().cast("bigint")).alias("n_failed")
-    )
-    a, b = beta_prior(hosts)
-    rates = hosts.select(F.col("host").alias("of"), ((F.col("n_failed") + a) / (F.col("n_docs") + a + b)).alias("host_rate"))
-    joined = m.join(rates, m["host"].eqNullSafe(rates["of"]), "left").drop("of")
-    odds = F.log(F.col("host_rate") / (1 - F.col("host_rate"))) + F.when(rule_failed(), EVIDENCE).otherwise(-EVIDENCE)
-    return joined.withColumn("kept", ~F.col("base_failed") & (odds < 0))
+    m = keep(measure(docs, id_col, text_col, host_col).drop("row"))
+    return _judged(m, _rates(m))
 
 
-def filter_rejected(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
+def filter_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows that quality_rules keeps, with all their columns. Texts are measured twice, once for the hosts and
+    once for the verdict, which costs less than a shuffle of them."""
+    m = measure(docs, id_col, text_col, host_col)
+    return _judged(m, _rates(m)).filter("kept").select("row.*")

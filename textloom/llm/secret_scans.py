@@ -129,14 +129,16 @@ def base_pieces(text: Column) -> dict[str, Column]:
 def secret_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: Iterable[Sample] | None = None
 ) -> DataFrame:
-    """doc_id, text (null: empty) and spans, an array of (s, k, e) by start, then kind (an index of KINDS)."""
+    """row (the input's row), doc_id, text (null: empty) and spans, an array of (s, k, e) by start, then kind (an
+    index of KINDS)."""
     table = train(samples if samples is not None else labelled_samples())
     text = F.coalesce(docs[text_col], F.lit(""))
     cut = docs.select(
-        docs[id_col].alias("doc_id"), text.alias("text"), *[x.alias(f"_{k}") for k, x in base_pieces(text).items()]
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("doc_id"), text.alias("text"), *[x.alias(f"_{k}") for k, x in base_pieces(text).items()]
     )
     value = lambda m: F.substring_index(m, "\x03", -1)
     found = cut.select(
+        "row",
         "doc_id",
         "text",
         "_random",
@@ -147,10 +149,10 @@ def secret_scan(
         ).alias("base"),
     )
     found = found.select(
-        "doc_id", "text", "base", _spans(F.col("_random"), "random", lambda m: _looks_random(m, table)).alias("more")
+        "row", "doc_id", "text", "base", _spans(F.col("_random"), "random", lambda m: _looks_random(m, table)).alias("more")
     )
     more = F.filter("more", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (b["e"] > r["s"])))
-    return found.select("doc_id", "text", F.array_sort(F.concat("base", more)).alias("spans"))
+    return found.select("row", "doc_id", "text", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -170,17 +172,24 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """doc_id and the text with every span, or run of overlapping spans, replaced by the mask."""
+def redacted(mask: str = "[SECRET]") -> Column:
+    """The text of a scanned row with every span, or run of overlapping spans, replaced by the mask."""
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         gap = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mask))
         return F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"), F.when((x["s"] >= a["at"]), gap).otherwise(a["out"]).alias("out")
+            F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], gap).otherwise(a["out"]).alias("out")
         )
 
     end = F.aggregate("spans", start, step)
     rest = F.transform(F.array(end), lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
-    return scanned.select("doc_id", F.when(F.size("spans") == 0, text).otherwise(F.get(rest, 0)).alias("text"))
+    return F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.get(rest, 0))
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]", samples: Iterable[Sample] | None = None) -> DataFrame:
+    """The rows of docs (with a column text), secrets masked; n_chars, where there is one, follows the text."""
+    clean = secret_scan(docs, samples=samples).select("row", redacted(mask).alias("clean"))
+    own = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
+    return clean.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
