@@ -1,11 +1,53 @@
-"""A corpus through five of the operators."""
+"""A corpus through five operators: quality rules, near duplicates, secrets, mixing and encoding.
 
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the next stage's docs, with the
+columns of documents. The last stage returns what the corpus is encoded to, a row per document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.llm import mixing, ngram_join, quality_rules, secret_scans, sentencepieces
+from textloom.llm.common import keep, read
+from textloom.llm.queries import VOCABULARIES
+
+#: SQL cannot express the last stage (sub-word pieces); the tests hold run() against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.filter_rejected(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.one_of_each(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scans.redact(docs)
+
+
+def draw_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sample(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(sentencepieces.encode(docs, f"{VOCABULARIES}/piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", drop_rejected),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("mixing", draw_mixture),
+    ("SentencePiece encoding", encode_texts),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written before the next one reads it."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
