@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions import language as G
@@ -65,29 +68,28 @@ def utterances(spark, sf_dir):
     return turns.union(fixed(spark, UTTERANCES).select(-F.col("n") - 1, "x"))
 
 
-def add(name: str, column, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: utterances(spark, sf_dir).select("id", column.alias("value"))
+def add(name: str, make: Callable[[], Column], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: utterances(spark, sf_dir).select("id", make().alias("value"))
     ORACLES[name] = f"WITH {PARTS} SELECT id, {sql} AS value FROM parts"
 
 
-U = F.col("u")
-add("detect_language", G.detect_language(U), language("u"))
-add("detect_supported_language", G.supported_language(U), "sup")
-add("answer_language", F.coalesce(G.alias(G.supported_language(U)), F.lit("en")), "coalesce(sup, 'en')")
-add("stop_command", G.is_stop_command(U), "stop")
-add("noise_utterance", G.is_noise_utterance(U), "noise")
-add("non_speech_ratio", G.non_speech_ratio(U), "ratio")
-add("meaningful_speech", G.is_meaningful(U), "meaningful")
-add("valid_live_text", G.is_meaningful(U) & ~G.is_noise_utterance(U), "meaningful AND NOT noise")
-add("query_signal", G.has_query_signal(U), "signal")
+add("detect_language", lambda: G.detect_language(F.col("u")), language("u"))
+add("detect_supported_language", lambda: G.supported_language(F.col("u")), "sup")
+add("answer_language", lambda: F.coalesce(G.alias(G.supported_language(F.col("u"))), F.lit("en")), "coalesce(sup, 'en')")
+add("stop_command", lambda: G.is_stop_command(F.col("u")), "stop")
+add("noise_utterance", lambda: G.is_noise_utterance(F.col("u")), "noise")
+add("non_speech_ratio", lambda: G.non_speech_ratio(F.col("u")), "ratio")
+add("meaningful_speech", lambda: G.is_meaningful(F.col("u")), "meaningful")
+add("valid_live_text", lambda: G.is_meaningful(F.col("u")) & ~G.is_noise_utterance(F.col("u")), "meaningful AND NOT noise")
+add("query_signal", lambda: G.has_query_signal(F.col("u")), "signal")
 add(
-    "new_query_candidate", G.is_new_query(U),
+    "new_query_candidate", lambda: G.is_new_query(F.col("u")),
     f"""stop OR (NOT background AND meaningful AND sup IS NOT NULL AND (han OR list_has_any(a, {lst(G.QUERY_WORDS)}) OR asks)
       AND (h >= 3 OR (len(a) >= 2 AND n >= 6) OR (len(a) = 1 AND list_has_any(a, {lst(G.CUES)}))))""",
 )
-_log = F.when(F.col("id") % 7 == 0, F.lit(-2.5)).when(F.col("id") % 7 != 1, F.lit(-0.5))
+_log = lambda: F.when(F.col("id") % 7 == 0, F.lit(-2.5)).when(F.col("id") % 7 != 1, F.lit(-0.5))
 add(
-    "interrupt_candidate", G.is_interrupt(U, _log),
+    "interrupt_candidate", lambda: G.is_interrupt(F.col("u"), _log()),
     f"""u <> '' AND id % 7 <> 0 AND NOT noise AND (stop OR (sup IS NOT NULL AND meaningful AND NOT background AND (signal OR asks
       OR CASE WHEN len(w) = 0 THEN false WHEN len(a) < 2 THEN len(a) = 1 AND list_has_any(a, {lst(G.CUES)})
          ELSE (n >= 10 AND NOT list_has_any(a, {lst(G.FILLERS[1:])})) OR han END)))""",
@@ -95,7 +97,7 @@ add(
 _norm = squeeze("regexp_replace(low, '[^\\p{L}\\p{N}_\\s]', ' ', 'g')")
 _stems = tuple(x for x in G.INTERNAL_STEMS if len(x) >= 5)
 _internal = f"""({_norm} <> '' AND ({anyof(_norm, G.INTERNAL_PHRASES + _stems)} OR list_has_any(regexp_extract_all(low, '[{LETTER}0-9]+'), {lst(G.INTERNAL_STEMS)})))"""
-add("route_internal_query", F.when(G.is_internal_query(U), "internal").otherwise("public"), f"CASE WHEN {_internal} THEN 'internal' ELSE 'public' END")
+add("route_internal_query", lambda: F.when(G.is_internal_query(F.col("u")), "internal").otherwise("public"), f"CASE WHEN {_internal} THEN 'internal' ELSE 'public' END")
 
 
 def forms(x: str) -> str:
@@ -113,11 +115,11 @@ def stems(x: str) -> str:
 
 _left = f"list_filter({stems('u')}, lambda s: NOT list_contains({lst(G.STOP_TOKENS)}, s))"
 _important = f"CASE WHEN len({_left}) > 0 THEN {_left} ELSE {stems('u')} END"
-add("token_forms", F.array_join(G.stemmed_tokens(U), " "), f"array_to_string({stems('u')}, ' ')")
-add("important_tokens", F.array_join(G.important_tokens(U), " "), f"array_to_string({_important}, ' ')")
+add("token_forms", lambda: F.array_join(G.stemmed_tokens(F.col("u")), " "), f"array_to_string({stems('u')}, ' ')")
+add("important_tokens", lambda: F.array_join(G.important_tokens(F.col("u")), " "), f"array_to_string({_important}, ' ')")
 _plain = rf"([\p{{L}}\p{{N}}_&&[^{G.HAN}]]+|[{G.HAN}])"
 add(
-    "tokens_plain", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(U), F.lit(_plain), F.lit(1)))), " "),
+    "tokens_plain", lambda: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.col("u")), F.lit(_plain), F.lit(1)))), " "),
     f"array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace(low, '([{HAN}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}_]+'))), ' ')",
 )
 
