@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,19 @@ def release(spark: SparkSession) -> None:
     garbage collection, which a small driver heap may put off for long."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def written(df: DataFrame):
+    """The frame as a compressed table in the shared folder, for as long as the block lasts. For large frames that
+    are read more than once; what is returned from the block must be kept before it ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        release(spark)

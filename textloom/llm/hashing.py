@@ -59,9 +59,9 @@ def bit_filter(slots: DataFrame, n_bits: int = FILTER_BITS) -> np.ndarray:
     """Bit array of n_bits bits, one set for each row's `slot` (0 to n_bits - 1): a key whose bit is not set is surely
     absent. Spark combines the words; at most n_bits / 64 of them come to the driver."""
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("slot") % 64).cast("int"))
-    rows = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("bits")).toPandas()
+    rows = slots.groupBy(F.shiftright("slot", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("bits")).toArrow()
     bits = np.zeros(n_bits // 64, np.uint64)
-    bits[rows["w"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    bits[rows["w"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return bits
 
 

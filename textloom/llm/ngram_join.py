@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, release
+from .common import keep, release, written
 from .components import components
 from .hashing import bit_filter, lists, lower_ascii, mixed, passes, slot_of, windows, without, word_hashes
 
@@ -31,6 +31,8 @@ MAX_FREQUENT = 16
 #: The frequent table: shingles that come LOCAL times or more among BUFFER of a task, the TABLE most frequent.
 LOCAL, BUFFER, TABLE = 4, 2_000_000, 1 << 18
 HUB_ROUNDS = 3
+#: Bits of the filter of shared shingles: 16 MB, whatever the data.
+SHINGLE_BITS = 1 << 27
 
 
 def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -69,11 +71,11 @@ def frequent_shingles(hashed: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
 
     rows = (
         hashed.mapInArrow(counted, "s bigint, c bigint").groupBy("s").agg(F.sum("c").alias("c"))
-        .orderBy(F.desc("c"), "s").limit(TABLE).toPandas()
+        .orderBy(F.desc("c"), "s").limit(TABLE).toArrow()
     )
-    s = rows["s"].to_numpy().astype(np.int64).view(np.uint64)
+    s = rows["s"].to_numpy().view(np.uint64)
     at = np.argsort(s)
-    return s[at], rows["c"].to_numpy().astype(np.int64)[at]
+    return s[at], rows["c"].to_numpy()[at]
 
 
 def prefix_length(n: int, threshold: int) -> int:
@@ -115,9 +117,27 @@ def _sets(hashed: DataFrame, k: int, threshold: int) -> DataFrame:
     return hashed.mapInArrow(rows, "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>")
 
 
+def _shared_prefixes(rows: DataFrame) -> DataFrame:
+    """The rows with their prefixes less the shingles that no other document's prefix holds (a filter of fixed size
+    tells, so a few of those stay; the exact counts follow)."""
+    counts = rows.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    sent = rows.sparkSession.sparkContext.broadcast(bit_filter(counts.select(F.pmod("s", F.lit(SHINGLE_BITS)).alias("slot")), SHINGLE_BITS))
+
+    def shared(batches):
+        for batch in batches:
+            kept = []
+            for x in lists(batch, batch.schema.names.index("prefix")):
+                kept.append(x[passes(sent.value, (x & np.uint64(SHINGLE_BITS - 1)).astype(np.int64))].view(np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in kept]))).astype(np.int32)
+            flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            yield batch.set_column(batch.schema.names.index("prefix"), "prefix", pa.ListArray.from_arrays(offsets, flat))
+
+    return rows.mapInArrow(shared, rows.schema)
+
+
 def _keys(classes: DataFrame) -> DataFrame:
     """key, long, id, n: what each class is indexed under; keys that one class has alone are left out."""
-    postings = classes.select("id", "n", F.explode("prefix").alias("s"))
+    postings = keep(classes.select("id", "n", F.explode("prefix").alias("s")))
     counts = postings.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
     shared = keep(postings.join(counts, "s"))
     rare = shared.filter(F.col("f") <= RARE).select(F.col("s").alias("key"), F.lit(0).alias("kind"), F.lit(False).alias("long"), "id", "n")
@@ -198,14 +218,14 @@ def _open_keys(rows: DataFrame) -> DataFrame:
 
 def class_components(keys: DataFrame, hashed: DataFrame, k: int, threshold: int) -> DataFrame:
     """id and component_id of every class that links with another."""
-    sets = keep(_whole_sets(hashed, keys.select("id").distinct(), k))
     rows = keys.withColumn("c", F.col("id"))
     links = None
     for step in range(HUB_ROUNDS + 1):
         last = step == HUB_ROUNDS
         pairs = keep(_across(rows, threshold) if last else _hub_pairs(rows, step, threshold))
         if not pairs.isEmpty():
-            new = _verified(pairs, sets, threshold)
+            met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+            new = _verified(pairs, _whole_sets(hashed, keep(met), k), threshold)
             links = keep(new if links is None else links.union(new))
         if last or links is None:
             continue
@@ -224,16 +244,16 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "
 
     threshold: percent of the union that the intersection holds at least."""
     hashed = _hashed(docs, id_col, text_col)
-    rows = keep(_sets(hashed, k, threshold))
     same = ["n", "d1", "d2"]
-    some = rows.filter("n > 0")
+    with written(_sets(hashed, k, threshold)) as rows:
+        slim = keep(_shared_prefixes(rows))
+    some = slim.filter("n > 0")
     of = some.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
-    keys = _keys(classes.select("id", "n", "prefix"))
+    keys = _keys(some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")))
     release(docs.sparkSession)
     labels = keep(class_components(keys, hashed, k, threshold))
     release(docs.sparkSession)
-    joined = rows.select("doc_id", *same).join(of.withColumnRenamed("id", "class_id"), same, "left")
+    joined = slim.select("doc_id", *same).join(of.withColumnRenamed("id", "class_id"), same, "left")
     joined = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     return _relabelled(joined.withColumn("component_id", F.col("class_id")), "component_id", labels)
 

@@ -1 +1,157 @@
-ORACLE_SQL: dict[str, str] = {}
+"""The queries of this package in DuckDB SQL, where SQL can express them."""
+
+from __future__ import annotations
+
+from .mixing import FRACTION, MARGINALS, ROUNDS, STEPS, TEMPERATURE
+from .secret_scans import ALPHABET, ASSIGN_HEAD, ASSIGN_VALUE, KINDS, THRESHOLD, TOKEN, labelled_samples, train
+
+SPACES = "chr(9), chr(10), chr(11), chr(12), chr(13)"
+#: Words of a text: every kind of white space becomes a blank.
+WORDS = "list_filter(string_split(translate(coalesce({0}, ''), concat(" + SPACES + "), '     '), ' '), lambda w: w <> '')"
+
+
+def words(x: str) -> str:
+    return WORDS.replace("{0}", x)
+
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {words('text')} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, range(0, 5) r(j) GROUP BY doc_id),
+m AS (SELECT d.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: len({words('x')}) > 0) AS lines, coalesce(cov.n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+g AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * len(lines) AS failed FROM f),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f FROM g GROUP BY source),
+s AS (SELECT count(*) AS k, sum(n) AS n, sum(f * f / n) AS ff, sum(n * n) AS nn, least(greatest(sum(f) / sum(n), 1e-6), 1 - 1e-6) AS p FROM h),
+v AS (SELECT p, CASE WHEN n - nn / n > 0 THEN (ff - n * p * p - (k - 1) * p * (1 - p)) / (n - nn / n) ELSE 0 END AS spread FROM s),
+b AS (SELECT p, least(greatest(CASE WHEN spread > 0 THEN p * (1 - p) / spread - 1 ELSE 1e300 END, 1.0), 10000.0) AS z FROM v),
+r AS (SELECT source, (f + p * z) / (n + z) AS rate FROM h, b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND ln(rate / (1 - rate)) + CASE WHEN failed THEN 3.0 ELSE -3.0 END < 0 AS kept, round(rate, 6) AS host_rate
+FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source"""
+
+OP3 = f"""
+WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM late, range(0, 20) r(j)),
+n AS (SELECT doc_id, count(*) AS n, list(i) AS l FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+COMPONENTS = """
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT {id} AS id, {id} AS c FROM {table} UNION SELECT e.b, r.c FROM reach r JOIN edges e ON r.id = e.a WHERE r.c < e.b),
+comp AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)"""
+
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 75 * (p.n + q.n - o)),
+{COMPONENTS.format(id='doc_id', table='documents')}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN comp ON id = d.doc_id"""
+
+OP7 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND label IS NOT NULL),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+  WHERE x.n > 0 AND y.n > 0 AND list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.98),
+{COMPONENTS.format(id='vec_id', table='embeddings')},
+k AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON id = vec_id LEFT JOIN k ON k.a = vec_id"""
+
+
+def _pieces(pattern: str, replacement: str) -> str:
+    q = pattern.replace("'", "''")
+    clean = "translate(t, concat(chr(1), chr(2), chr(3)), concat(chr(4), chr(4), chr(4)))"
+    return f"string_split(regexp_replace({clean}, '{q}', {replacement}, 'g'), chr(1))"
+
+
+def _op8() -> str:
+    table = train(labelled_samples())
+    weights = ", ".join(str(table[x + y]) for x in ALPHABET for y in ALPHABET)
+    patterns = {
+        "assign": _pieces(f"({ASSIGN_HEAD})({ASSIGN_VALUE})".replace("\\x20", " "), "concat(chr(1), '\\1', chr(3), '\\2', chr(2))"),
+        "access": _pieces("(AKIA[A-Z0-9]{12,})", "concat(chr(1), '\\1', chr(2))"),
+        "hex": _pieces("([0-9a-f]{32,})", "concat(chr(1), '\\1', chr(2))"),
+        "random": _pieces(f"({TOKEN})", "concat(chr(1), '\\1', chr(2))"),
+    }
+    parts = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, {patterns[x]} AS p FROM d" for k, x in enumerate(KINDS))
+    n = len(ALPHABET)
+    code = lambda i: f"(strpos('{ALPHABET}', m[{i}:{i}]) - 1)"
+    ratio = f"list_sum(list_transform(range(1, length(m)), lambda i: weights.w[{code('i')} * {n} + {code('i + 1')} + 1]))"
+    names = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    text = lambda rows: f"string_agg(concat({names}[k + 1], ':', s, ':', e), ',' ORDER BY s, k, e) FILTER (WHERE {rows})"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), weights AS (SELECT [{weights}] AS w),
+parts AS ({parts}),
+cut AS (SELECT doc_id, k, generate_subscripts(p, 1) AS i, unnest(p) AS x FROM parts),
+bare AS (SELECT doc_id, k, i, x, length(translate(x, concat(chr(2), chr(3)), '')) AS n FROM cut),
+placed AS (SELECT doc_id, k, i, split_part(x, chr(2), 1) AS raw, sum(n) OVER (PARTITION BY doc_id, k ORDER BY i) - n AS s FROM bare),
+found AS (SELECT doc_id, k, s::BIGINT AS s, (s + length(translate(raw, chr(3), '')))::BIGINT AS e, raw, translate(raw, chr(3), '') AS m FROM placed WHERE i > 1),
+base AS (SELECT doc_id, k, s, e FROM found WHERE k IN (1, 2) OR (k = 0 AND length(split_part(raw, chr(3), 2)) >= 8)),
+more AS (SELECT doc_id, k, s, e FROM found r, weights WHERE k = 3 AND {ratio} >= {THRESHOLD} * (length(m) - 1)
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND b.e > r.s)),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM more),
+agg AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+  count(*) FILTER (WHERE k = 3) AS n_random, {text('k < 3')} AS b, {text('true')} AS a FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_random, 0) AS n_random,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN agg USING (doc_id)"""
+
+
+def _op9() -> str:
+    steps = [
+        f"""rows AS MATERIALIZED (SELECT doc_id, len({words('text')}) AS n_tokens, source, lang, CASE WHEN contains(text, ' | ') THEN 'table'
+          WHEN contains(text, 'Licen') THEN 'license' WHEN contains(text, '@') OR contains(text, '+1 (') THEN 'contact' ELSE 'prose' END AS topic
+          FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents))""",
+        "s0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS share FROM rows GROUP BY ALL HAVING sum(n_tokens) > 0)",
+    ]
+    for m in MARGINALS:
+        steps.append(f"p_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {TEMPERATURE}) AS p FROM s0 GROUP BY {m})")
+        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, p / (SELECT sum(p) FROM p_{m}) AS target FROM p_{m})")
+    k = 0
+    for _ in range(ROUNDS):
+        for m in MARGINALS:
+            rest = ", ".join(f"s{k}.{x}" for x in MARGINALS)
+            steps.append(
+                f"s{k + 1} AS MATERIALIZED (SELECT {rest}, tokens, share * (target / z) AS share FROM s{k} JOIN (SELECT {m}, sum(share) AS z FROM s{k} GROUP BY {m}) g"
+                f" ON g.{m} IS NOT DISTINCT FROM s{k}.{m} JOIN t_{m} t ON t.{m} IS NOT DISTINCT FROM s{k}.{m})"
+            )
+            k += 1
+    steps.append(f"w AS MATERIALIZED (SELECT *, share / tokens AS rate FROM s{k})")
+    steps.append(f"c0 AS MATERIALIZED (SELECT {FRACTION} * sum(tokens) AS c, sum(tokens) AS total FROM w)")
+    for i in range(STEPS):
+        steps.append(
+            f"""c{i + 1} AS MATERIALIZED (SELECT coalesce(({FRACTION} * any_value(total) - sum(CASE WHEN rate * c >= 1 THEN tokens ELSE 0 END))
+              / nullif(sum(CASE WHEN rate * c >= 1 THEN 0 ELSE share END), 0), any_value(c)) AS c, any_value(total) AS total FROM w, c{i})"""
+        )
+    on = " AND ".join(f"rows.{m} IS NOT DISTINCT FROM w.{m}" for m in MARGINALS)
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, n_tokens, rows.source, rows.lang, rows.topic, round(p, 6) AS probability,
+  ('0x' || md5(doc_id::VARCHAR)[1:13])::BIGINT::DOUBLE / {float(1 << 52)!r} < p AS kept
+FROM (SELECT rows.*, coalesce(least(1.0, rate * c), 1.0) AS p FROM rows LEFT JOIN w ON {on}, c{STEPS}) rows"""
+
+
+OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
+m AS (SELECT h, max(page_id) AS stored FROM d WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, d.h AS payload_digest, CASE WHEN stored <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN stored <> page_id THEN stored END AS refers_to
+FROM d LEFT JOIN m ON m.h = d.h AND n >= 1000"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1,
+    "op3_substring_dedup": OP3,
+    "op6_ngram_join": OP6,
+    "op7_embedding_dedup": OP7,
+    "op8_secret_scans": _op8(),
+    "op9_mixing": _op9(),
+    "op10_warc": OP10,
+}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import keep, release
+from .common import keep, written
 from .hashing import bit_filter, lists, mixed, passes, slot_of, windows, word_hashes
 
 K, INNER = 20, 10
@@ -145,24 +145,21 @@ def _batch(key, check, ids, at, n, h, c) -> pa.RecordBatch:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, at and n: runs of n k-mers from word `at` on that all start earlier elsewhere."""
+    """doc_id and spans, an array of (at, n): runs of n k-mers from word `at` on that all start earlier elsewhere."""
     hashed = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), word_hashes(docs[text_col]).alias("h"))
-    paths = keep(_paths(hashed, _repeated_anchors(hashed)))
-    release(docs.sparkSession)
-    place = W.partitionBy("path", "path_check").orderBy("doc_id", "at")
-    ranked = keep(
-        paths.filter("path is not null").withColumn("later", F.rank().over(place) > 1)
-        .select("doc_id", "at", "n", "later", F.when(~F.col("later"), F.col("h")).alias("h"), F.when(~F.col("later"), F.col("c")).alias("c"))
-    )
-    kmers = ranked.filter("not later").select("doc_id", "at", F.posexplode(F.arrays_zip("h", "c")).alias("i", "k"))
-    kmers = kmers.select("doc_id", (F.col("at") + F.col("i")).alias("at"), F.col("k.h").alias("h"), F.col("k.c").alias("c"))
-    place = W.partitionBy("h", "c").orderBy("doc_id", "at")
-    late = kmers.withColumn("r", F.rank().over(place)).filter("r > 1")
-    return (
-        paths.filter("path is null").select("doc_id", "at", "n")
-        .union(ranked.filter("later").select("doc_id", "at", "n"))
-        .union(late.select("doc_id", "at", F.lit(1).alias("n")))
-    )
+    paths = _paths(hashed, _repeated_anchors(hashed))
+    # A task's later occurrences are settled: they only travel along, each under a key of its own.
+    own = F.xxhash64("doc_id", "at")
+    place = W.partitionBy("key", "path_check").orderBy("doc_id", "at")
+    ranked = paths.withColumn("key", F.coalesce("path", own)).withColumn("later", F.col("path").isNull() | (F.rank().over(place) > 1))
+    slim = lambda c: F.when(~F.col("later"), F.col(c)).alias(c)
+    with written(ranked.select("doc_id", "at", "n", "later", slim("h"), slim("c"))) as settled:
+        kmers = settled.filter("not later").select("doc_id", "at", F.posexplode(F.arrays_zip("h", "c")).alias("i", "k"))
+        kmers = kmers.select("doc_id", (F.col("at") + F.col("i")).alias("at"), F.col("k.h").alias("h"), F.col("k.c").alias("c"))
+        place = W.partitionBy("h", "c").orderBy("doc_id", "at")
+        late = kmers.withColumn("r", F.rank().over(place)).filter("r > 1").select("doc_id", "at", F.lit(1).alias("n"))
+        spans = settled.filter("later").select("doc_id", "at", "n").union(late)
+        return keep(spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
 
 
 def covered(spans: np.ndarray, n_words: int) -> np.ndarray:
@@ -179,8 +176,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: the words left, joined by one blank.
 
     Only texts that may hold a span take part in the join; a filter of fixed size over the ids tells which."""
-    spans = keep(repeated_spans(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
-    release(docs.sparkSession)
+    spans = repeated_spans(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(spans.select(slot_of(F.col("doc_id")).alias("slot"))))
     plain = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
 
