@@ -95,7 +95,7 @@ class Model:
             self.words.clear()
             new = list(set(words))
         for w, ids in zip(new, self.library.encode([w[1:].replace(BLANK, " ") for w in new], num_threads=1), strict=True):
-            self.words[w] = tuple(ids)
+            self.words[w] = tuple(ids) if len(w) > 1 else (self.ids[BLANK],)
         out: list[int] = []
         for w in words:
             out.extend(self.words[w])
