@@ -15,7 +15,7 @@ def _renamed(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     return out.withColumn(column, F.coalesce("_parent", column)).drop("_id", "_parent")
 
 
-def components(links: DataFrame, jumps: int = 2) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """id and component_id (the smallest id reachable) of every id that has a link (columns a and b).
 
     Each round hangs every id on its smallest neighbour (a partially aggregated minimum, so that a hub of many
@@ -28,10 +28,7 @@ def components(links: DataFrame, jumps: int = 2) -> DataFrame:
     while not rest.isEmpty():
         both = rest.union(rest.select("b", "a"))
         parents = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("parent"))
-        parents = keep(parents)
-        for _ in range(jumps):
-            parents = _renamed(parents, "parent", parents)
-        parents = keep(parents)
+        parents = keep(_renamed(parents, "parent", parents))
         rounds.append(parents)
         rest = keep(_renamed(_renamed(rest, "a", parents), "b", parents).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not rounds:

@@ -31,6 +31,8 @@ MAX_FREQUENT = 16
 #: The frequent table: shingles that come LOCAL times or more among BUFFER of a task, the TABLE most frequent.
 LOCAL, BUFFER, TABLE = 4, 2_000_000, 1 << 18
 HUB_ROUNDS = 3
+#: Keys of so many members go from their first hub straight to the pairs that are left.
+SMALL_KEY = 16
 #: Bits of the filter of shared shingles: 16 MB, whatever the data.
 SHINGLE_BITS = 1 << 27
 
@@ -78,8 +80,20 @@ def frequent_shingles(hashed: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
     return s[at], rows["c"].to_numpy()[at]
 
 
-def prefix_length(n: int, threshold: int) -> int:
-    return min(n, n - -(-threshold * n // 100) + 2)
+def prefix_length(n: int, threshold: int, shared: int = 2) -> int:
+    """Shingles of which two linking sets share at least so many."""
+    return min(n, n - -(-threshold * n // 100) + shared)
+
+
+def shared_least(n):
+    """How many shingles two linking sets share at least in their long prefixes; for the smaller set's n."""
+    return 2 + n // 20
+
+
+def list_array(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(offsets, flat)
 
 
 def in_order(shingles: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -93,50 +107,50 @@ def in_order(shingles: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _sets(hashed: DataFrame, k: int, threshold: int) -> DataFrame:
-    """doc_id, n, two digests of the set, and its prefix."""
+    """doc_id, n, two digests of the set, its prefix, and what makes the prefix long enough to share 2 + n / 20."""
     table, counts = frequent_shingles(hashed, k)
     sent = hashed.sparkSession.sparkContext.broadcast((table, counts))
 
     def rows(batches):
         table, counts = sent.value
         for batch in batches:
-            ns, d1, d2, prefixes = [], [], [], []
+            ns, d1, d2, prefixes, more = [], [], [], [], []
             for x in lists(batch, 1):
                 s = shingle_set(x, k)
                 ns.append(len(s))
                 d1.append(int(mixed(s, 1).sum(dtype=np.uint64).view(np.int64)))
                 d2.append(int(mixed(s, 2).sum(dtype=np.uint64).view(np.int64)))
-                prefixes.append(in_order(s, table, counts)[: prefix_length(len(s), threshold)].view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
+                s, at = in_order(s, table, counts), prefix_length(len(s), threshold)
+                prefixes.append(s[:at])
+                more.append(s[at : prefix_length(len(s), threshold, shared_least(len(s)))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.ListArray.from_arrays(offsets, flat)],
-                ["doc_id", "n", "d1", "d2", "prefix"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (ns, d1, d2)), list_array(prefixes), list_array(more)],
+                ["doc_id", "n", "d1", "d2", "prefix", "more"],
             )
 
-    return hashed.mapInArrow(rows, "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>")
+    return hashed.mapInArrow(rows, "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, more array<bigint>")
 
 
 def _shared_prefixes(rows: DataFrame) -> DataFrame:
     """The rows with their prefixes less the shingles that no other document's prefix holds (a filter of fixed size
     tells, so a few of those stay; the exact counts follow)."""
-    counts = rows.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    counts = rows.select(F.explode(F.concat("prefix", "more")).alias("s")).groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
     sent = rows.sparkSession.sparkContext.broadcast(bit_filter(counts.select(F.pmod("s", F.lit(SHINGLE_BITS)).alias("slot")), SHINGLE_BITS))
+    held = lambda x: x[passes(sent.value, (x & np.uint64(SHINGLE_BITS - 1)).astype(np.int64))]
 
     def shared(batches):
         for batch in batches:
-            kept = []
-            for x in lists(batch, batch.schema.names.index("prefix")):
-                kept.append(x[passes(sent.value, (x & np.uint64(SHINGLE_BITS - 1)).astype(np.int64))].view(np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in kept]))).astype(np.int32)
-            flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-            yield batch.set_column(batch.schema.names.index("prefix"), "prefix", pa.ListArray.from_arrays(offsets, flat))
+            for name in ("prefix", "more"):
+                at = batch.schema.names.index(name)
+                batch = batch.set_column(at, name, list_array([held(x) for x in lists(batch, at)]))
+            yield batch
 
     return rows.mapInArrow(shared, rows.schema)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
-    """key, long, id, n: what each class is indexed under; keys that one class has alone are left out."""
+    """key, kind, long, id, n and m (members): what each class is indexed under; keys that one class has alone are left
+    out."""
     postings = keep(classes.select("id", "n", F.explode("prefix").alias("s")))
     counts = postings.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
     shared = keep(postings.join(counts, "s"))
@@ -148,9 +162,8 @@ def _keys(classes: DataFrame) -> DataFrame:
     single = lists_.select(F.explode("l").alias("key"), F.lit(2).alias("kind"), "long", "id", "n")
     every = rare.union(combined).union(single)
     members = every.groupBy("key", "kind").agg(F.count("*").alias("m"), F.bool_or("long").alias("any_long"))
-    members = members.filter("m > 1 and (kind < 2 or any_long)").select("key", "kind")
-    out = keep(every.join(members, ["key", "kind"]))
-    return out
+    members = members.filter("m > 1 and (kind < 2 or any_long)").select("key", "kind", "m")
+    return keep(every.join(members, ["key", "kind"]))
 
 
 def _close(a: Column, b: Column, threshold: int) -> Column:
@@ -158,20 +171,33 @@ def _close(a: Column, b: Column, threshold: int) -> Column:
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _whole_sets(hashed: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and all its shingles, for the given ids; a filter of fixed size spares the others the shuffle."""
-    sent = hashed.sparkSession.sparkContext.broadcast(bit_filter(ids.select(slot_of(F.col("id")).alias("slot"))))
+def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as much of their long prefixes as a link must."""
+    own = classes.select("id", "n", F.concat("prefix", "more").alias("p"))
+    x, y = (own.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("p").alias(f"p{i}")) for i in "ab")
+    enough = F.size(F.array_intersect("pa", "pb")) >= shared_least_sql(F.least("na", "nb"))
+    return pairs.join(x, "a").join(y, "b").filter(enough).select("a", "b")
+
+
+def shared_least_sql(n: Column) -> Column:
+    return 2 + F.floor(n / 20)
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id and all its shingles, for the given ids of docs (doc_id, text). A filter of fixed size spares the others both
+    the hashing and the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(slot_of(F.col("id")).alias("slot"))))
+
+    def wanted(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy())))
 
     def rows(batches):
         for batch in batches:
-            hit = passes(sent.value, batch.column(2).to_numpy())
-            batch = batch.filter(pa.array(hit))
-            sets = [shingle_set(x, k).view(np.int64) for x in lists(batch, 1)]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "shingles"])
-
-    found = hashed.withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(rows, "doc_id bigint, shingles array<bigint>")
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array([shingle_set(x, k) for x in lists(batch, 1)])], ["doc_id", "shingles"])
+
+    slotted = docs.withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(wanted, "doc_id bigint, text string, slot bigint")
+    found = _hashed(slotted, "doc_id", "text").mapInArrow(rows, "doc_id bigint, shingles array<bigint>")
     return found.join(ids, found["doc_id"] == ids["id"]).select("id", "shingles").dropDuplicates(["id"])
 
 
@@ -216,27 +242,32 @@ def _open_keys(rows: DataFrame) -> DataFrame:
     return rows.join(mixed_keys, ["key", "kind"])
 
 
-def class_components(keys: DataFrame, hashed: DataFrame, k: int, threshold: int) -> DataFrame:
-    """id and component_id of every class that links with another."""
+def class_components(keys: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
+    """id and component_id of every class that links with another.
+
+    Every key's members meet its hub. Keys that still hold several components follow: large ones meet further hubs
+    first, and at last all members of different components meet, less the pairs that have met before."""
+    links = tested = labels = None
     rows = keys.withColumn("c", F.col("id"))
-    links = None
     for step in range(HUB_ROUNDS + 1):
         last = step == HUB_ROUNDS
-        pairs = keep(_across(rows, threshold) if last else _hub_pairs(rows, step, threshold))
-        if not pairs.isEmpty():
-            met = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            new = _verified(pairs, _whole_sets(hashed, keep(met), k), threshold)
-            links = keep(new if links is None else links.union(new))
-        if last or links is None:
+        some = rows if last or step == 0 else rows.filter(F.col("m") > SMALL_KEY)
+        if step and some.isEmpty():
+            continue
+        met = _across(some, threshold) if last else _hub_pairs(some, step, threshold)
+        met = keep(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
+        tested = met if tested is None else tested.union(met)
+        pairs = keep(_plausible(met, classes))
+        if pairs.isEmpty():
             continue
+        ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        new = keep(_verified(pairs, _whole_sets(docs, ids, k), threshold))
+        release(docs.sparkSession)
+        links = new if links is None else links.union(new)
         labels = keep(components(links))
-        rows = keep(_open_keys(_relabelled(keys.withColumn("c", F.col("id")), "c", labels)))
-        release(hashed.sparkSession)
-        if rows.isEmpty():
-            break
-    if links is None:
-        return keys.select("id", F.col("id").alias("component_id")).limit(0)
-    return components(links)
+        if not last:
+            rows = keep(_open_keys(_relabelled(keys.withColumn("c", F.col("id")), "c", labels)))
+    return keys.select("id", F.col("id").alias("component_id")).limit(0) if labels is None else labels
 
 
 def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,9 +280,11 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "
         slim = keep(_shared_prefixes(rows))
     some = slim.filter("n > 0")
     of = some.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    keys = _keys(some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix")))
+    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("more").alias("more"))
+    classes = keep(classes.select("id", "n", "prefix", "more"))
+    keys = _keys(classes)
     release(docs.sparkSession)
-    labels = keep(class_components(keys, hashed, k, threshold))
+    labels = class_components(keys, classes, docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), k, threshold)
     release(docs.sparkSession)
     joined = slim.select("doc_id", *same).join(of.withColumnRenamed("id", "class_id"), same, "left")
     joined = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
