@@ -30,7 +30,7 @@ RARE = 8
 MAX_FREQUENT = 16
 #: The frequent table: shingles that come LOCAL times or more among BUFFER of a task, the TABLE most frequent.
 LOCAL, BUFFER, TABLE = 4, 2_000_000, 1 << 18
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Keys of so many members go from their first hub straight to the pairs that are left.
 SMALL_KEY = 16
 #: Bits of the filter of shared shingles: 16 MB, whatever the data.
@@ -242,12 +242,23 @@ def _open_keys(rows: DataFrame) -> DataFrame:
     return rows.join(mixed_keys, ["key", "kind"])
 
 
+def _near_roots(links: DataFrame) -> DataFrame:
+    """id and component_id: an id that each linked one reaches, by few steps to the first hub in the hubs' order. Equal
+    ones are surely connected; connected ones may differ, which costs later rounds some pairs and changes no result."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    ranked = lambda c: F.struct(F.xxhash64(c).alias("o"), F.col(c).alias("id"))
+    roots = keep(both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("id"), F.least(ranked("a"), "m")["id"].alias("component_id")))
+    for _ in range(2):
+        roots = _relabelled(roots, "component_id", roots)
+    return keep(roots)
+
+
 def class_components(keys: DataFrame, classes: DataFrame, docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """id and component_id of every class that links with another.
 
     Every key's members meet its hub. Keys that still hold several components follow: large ones meet further hubs
     first, and at last all members of different components meet, less the pairs that have met before."""
-    links = tested = labels = None
+    links = tested = None
     rows = keys.withColumn("c", F.col("id"))
     for step in range(HUB_ROUNDS + 1):
         last = step == HUB_ROUNDS
@@ -264,10 +275,9 @@ def class_components(keys: DataFrame, classes: DataFrame, docs: DataFrame, k: in
         new = keep(_verified(pairs, _whole_sets(docs, ids, k), threshold))
         release(docs.sparkSession)
         links = new if links is None else links.union(new)
-        labels = keep(components(links))
         if not last:
-            rows = keep(_open_keys(_relabelled(keys.withColumn("c", F.col("id")), "c", labels)))
-    return keys.select("id", F.col("id").alias("component_id")).limit(0) if labels is None else labels
+            rows = keep(_open_keys(_relabelled(keys.withColumn("c", F.col("id")), "c", _near_roots(links))))
+    return keys.select("id", F.col("id").alias("component_id")).limit(0) if links is None else keep(components(links))
 
 
 def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
