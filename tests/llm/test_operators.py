@@ -1,5 +1,6 @@
 """The operators on small tables: nulls, empty and long texts, ties and repeated rows, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import io
 import random
@@ -198,6 +199,22 @@ def test_encode_round_trip(spark, texts):
     assert sentencepieces.encode(empty_like(docs(spark, ["x"])), PIECES).count() == 0
 
 
+def test_every_giant_row_is_encoded(spark):
+    rng, m = random.Random(11), sentencepieces.model(PIECES)
+    a, b, c = ("".join(rng.choices("aetin  ", k=n)) for n in (2500, 900, 40))
+    rows = [(None, a), (None, b), (None, c), (None, c), (1, a), (1, a), (1, b), (2, c), (2, c), (2, a)]
+    d = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    found = [sentencepieces.encode(d, PIECES, size=256, block=k) for k in (3, 1024)]
+    want = sorted((str(i), t) for i, t in rows)
+    for encoded in found:
+        assert sorted((str(r["doc_id"]), r["text"]) for r in sentencepieces.decode(encoded, PIECES).collect()) == want
+    digest = lambda ids: functools.reduce(lambda x, i: (x * sentencepieces.DIGEST_BASE + i + 1) & sentencepieces.WRAP, ids, 0)
+    pieces = {t: m.library.encode(t) for t in (a, b, c)}
+    want = sorted((str(i), len(pieces[t]), f"{digest(pieces[t]):016x}", True) for i, t in rows)
+    for encoded in found:
+        assert sorted((str(r["doc_id"]), *r[1:]) for r in sentencepieces.digests(encoded).collect()) == want
+
+
 # Toxicity.
 
 

@@ -12,14 +12,15 @@ the states: they are encoded once per distinct word by the public library and ke
 words at the boundaries go through the lattice; a chunk without a word's start goes through it whole.
 
 Defined results: a null or empty text has no pieces; U+2581 in a text counts as a blank, as in the library, and is
-decoded as one; characters that the model lacks become their bytes; repeated rows are encoded each by itself (giant
-documents are told apart by id, of which one row each is taken); an empty table gives an empty result; other columns
-are ignored.
+decoded as one; characters that the model lacks become their bytes; repeated rows and rows without an id are encoded,
+decoded and digested each by itself, whatever their length; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ BLANK = "▁"
 CHUNK = 8192
 #: Characters looked at beyond a chunk on either side; longer than twice the longest piece.
 MARGIN = 64
+#: Chunks whose matrices are scanned in one go; those of a longer document are combined in blocks of so many first.
+BLOCK = 1024
 CACHED_WORDS = 200_000
 Span = tuple[int, int]
 Matrix = dict[Span, dict[Span, int]]
@@ -213,15 +216,16 @@ def combined(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def scanned(matrices: list[Matrix]) -> list[Span]:
-    """The state at the right end of every chunk: prefix products, then back from the best last state."""
-    prefixes: list[Matrix] = []
-    for x in matrices:
-        prefixes.append(combined(prefixes[-1], x) if prefixes else x)
-    ends = prefixes[-1][START]
-    states = [max(ends, key=lambda s: (ends[s], s))]
+def scanned(matrices: list[Matrix], first: Span = START, last: Span | None = None) -> list[Span]:
+    """The state at the right end of every chunk: prefix products from the first state, then back from the last one (the
+    best, if none is given)."""
+    prefixes: list[Matrix] = [{first: matrices[0][first]}]
+    for x in matrices[1:]:
+        prefixes.append(combined(prefixes[-1], x))
+    ends = prefixes[-1][first]
+    states = [max(ends, key=lambda s: (ends[s], s)) if last is None else last]
     for before, here in zip(prefixes[-2::-1], matrices[:0:-1], strict=True):
-        row = before[START]
+        row = before[first]
         states.append(max((s for s in row if states[-1] in here.get(s, {})), key=lambda s: (row[s] + here[s][states[-1]], s)))
     return states[::-1]
 
@@ -260,20 +264,23 @@ def _chunked(text: str, size: int) -> Iterator[tuple[int, int, str, int]]:
 
 
 def _giants(docs: DataFrame, size: int) -> DataFrame:
-    """The chunks of giant documents, with margins."""
+    """The chunks of giant documents, with margins, packed. Each row of docs has a key, made once and kept: ids may be
+    null or repeated."""
 
     def rows(batches):
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for part in _some(_chunked(text, size), 64):
                     k, at, piece, hi = zip(*part, strict=True)
                     n = -(-(len(text) + 1) // size)
+                    packed = [zlib.compress(x.encode(), 1) for x in piece]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc_id] * len(k), pa.int64()), pa.array(k, pa.int32()), pa.array([n] * len(k), pa.int32()), pa.array(at, pa.int64()), pa.array(hi, pa.int64()), pa.array(piece, pa.string())],
-                        ["doc_id", "chunk", "n_chunks", "at", "hi", "piece"],
+                        [pa.array([row] * len(k), pa.int64()), pa.array([doc_id] * len(k), pa.int64()), pa.array(k, pa.int32()), pa.array([n] * len(k), pa.int32()), pa.array(at, pa.int64()), pa.array(hi, pa.int64()), pa.array(packed, pa.binary())],
+                        ["row", "doc_id", "chunk", "n_chunks", "at", "hi", "piece"],
                     )
 
-    return docs.mapInArrow(rows, "doc_id bigint, chunk int, n_chunks int, at bigint, hi bigint, piece string")
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return keep(keyed.mapInArrow(rows, "row bigint, doc_id bigint, chunk int, n_chunks int, at bigint, hi bigint, piece binary"))
 
 
 def _some(items: Iterator, n: int) -> Iterator[list]:
@@ -287,53 +294,83 @@ def _some(items: Iterator, n: int) -> Iterator[list]:
         yield held
 
 
-def _states(chunks: DataFrame, path: str, size: int) -> DataFrame:
-    """doc_id, chunk, and the states before and after it (start and end of a piece), for every chunk."""
+def _flat(t: Matrix) -> list[int]:
+    return [x for s, row in t.items() for e, v in row.items() for x in (*s, *e, v)]
+
+
+def _matrix(flat) -> Matrix:
+    t: Matrix = {}
+    for a, b, c, d, v in np.asarray(flat, np.int64).reshape(-1, 5).tolist():
+        t.setdefault((a, b), {})[(c, d)] = v
+    return t
+
+
+STATES = "b0 bigint, b1 bigint, a0 bigint, a1 bigint"
+
+
+def _states(chunks: DataFrame, path: str, size: int, block: int) -> DataFrame:
+    """row, chunk, and the states before and after it (start and end of a piece), for every chunk."""
 
     def matrices(batches):
         m = model(path)
         for batch in batches:
             out = []
-            for _, k, n, at, hi, piece in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                t = transfer(m, piece, k * size - at, hi - at, k == n - 1)
+            for k, n, at, hi, piece in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                t = transfer(m, zlib.decompress(piece).decode(), k * size - at, hi - at, k == n - 1)
                 shift = lambda s, at=at: s if s == START else (s[0] + at, s[1] + at)
-                out.append([x for s, row in t.items() for e, v in row.items() for x in (*shift(s), *shift(e), v)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "chunk", "matrix"])
-
-    def scan(pdf):
-        pdf = pdf.sort_values("chunk").drop_duplicates("chunk")
-        found = []
-        for flat in pdf["matrix"]:
-            t: Matrix = {}
-            for a, b, c, d, v in np.asarray(flat, np.int64).reshape(-1, 5).tolist():
-                t.setdefault((a, b), {})[(c, d)] = v
-            found.append(t)
-        after = scanned(found)
-        before = [START, *after[:-1]]
-        return pdf[["doc_id", "chunk"]].assign(
+                out.append(_flat({shift(s): {shift(e): v for e, v in row.items()} for s, row in t.items()}))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], ["row", "chunk", "n_chunks", "matrix"])
+
+    def states(pdf, key, first=START, last=None):
+        after = scanned([_matrix(x) for x in pdf["matrix"]], first, last)
+        before = [first, *after[:-1]]
+        return pdf[["row", key]].assign(
             b0=[s[0] for s in before], b1=[s[1] for s in before], a0=[s[0] for s in after], a1=[s[1] for s in after]
         )
 
-    rows = chunks.mapInArrow(matrices, "doc_id bigint, chunk int, matrix array<bigint>")
-    return rows.groupBy("doc_id").applyInPandas(scan, "doc_id bigint, chunk int, b0 bigint, b1 bigint, a0 bigint, a1 bigint")
+    def whole(pdf):
+        return states(pdf.sort_values("chunk"), "chunk")
+
+    def product(pdf):
+        found = [_matrix(x) for x in pdf.sort_values("chunk")["matrix"]]
+        return pdf[["row", "block"]].head(1).assign(matrix=[_flat(functools.reduce(combined, found))])
 
+    def ends(pdf):
+        return states(pdf.sort_values("block"), "block")
 
-ENCODED = "doc_id bigint, chunk int, n_chars bigint, ids array<int>, exact boolean"
+    def inner(pdf):
+        b0, b1, a0, a1 = (int(pdf[c].iloc[0]) for c in ("b0", "b1", "a0", "a1"))
+        return states(pdf.sort_values("chunk"), "chunk", (b0, b1), (a0, a1))
 
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = chunks.select("row", "chunk", "n_chunks", "at", "hi", "piece").mapInArrow(matrices, "row bigint, chunk int, n_chunks int, matrix array<bigint>")
+    rows = keep(rows)
+    short = rows.filter(F.col("n_chunks") <= block).repartition(n, "row").groupBy("row").applyInPandas(whole, f"row bigint, chunk int, {STATES}")
+    blocks = rows.filter(F.col("n_chunks") > block).withColumn("block", F.expr(f"chunk div {block}"))
+    products = blocks.groupBy("row", "block").applyInPandas(product, "row bigint, block bigint, matrix array<bigint>")
+    at = products.groupBy("row").applyInPandas(ends, f"row bigint, block bigint, {STATES}")
+    return short.union(blocks.join(at, ["row", "block"]).groupBy("row", "block").applyInPandas(inner, f"row bigint, chunk int, {STATES}"))
 
-def _encoded(doc_ids, chunks, texts, ids) -> pa.RecordBatch:
+
+ENCODED = "doc_id bigint, chunk int, n_chars bigint, ids array<int>, exact boolean, row bigint"
+
+
+def _encoded(doc_ids, chunks, texts, ids, rows=None) -> pa.RecordBatch:
     texts, ids, exact = list(texts), list(ids), []
     for t, i in zip(texts, ids, strict=True):
         exact.append(i[1] == t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc_ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array([len(t) for t in texts], pa.int64()), pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(exact, pa.bool_())],
-        ["doc_id", "chunk", "n_chars", "ids", "exact"],
+        [pa.array(doc_ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array([len(t) for t in texts], pa.int64()), pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(exact, pa.bool_()), pa.array(rows or [None] * len(texts), pa.int64())],
+        ["doc_id", "chunk", "n_chars", "ids", "exact", "row"],
     )
 
 
-def encode(docs: DataFrame, path: str, size: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, chunk, n_chars (with the blank in front), ids and exact (decoding gives the text back): a row for each
-    document, or for each chunk of a giant one; a document's ids are those of its chunks in order."""
+def encode(
+    docs: DataFrame, path: str, size: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
+) -> DataFrame:
+    """doc_id, chunk, n_chars (with the blank in front), ids, exact (decoding gives the text back) and row: a row for each
+    document, or for each chunk of a giant one; a document's ids are those of its chunks in order. The chunks of one
+    giant share `row`, which is null for other documents."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") >= size
 
@@ -356,31 +393,40 @@ def encode(docs: DataFrame, path: str, size: int = CHUNK, id_col: str = "doc_id"
                 for r in part:
                     local = lambda a, b, at=r["at"]: START if (a, b) == START else (a - at, b - at)
                     before, after = local(r["b0"], r["b1"]), local(r["a0"], r["a1"])
-                    i = traced(m, r["piece"], before, after)
-                    texts.append(r["piece"][before[1] : after[1]].replace(BLANK, " "))
+                    piece = zlib.decompress(r["piece"]).decode()
+                    i = traced(m, piece, before, after)
+                    texts.append(piece[before[1] : after[1]].replace(BLANK, " "))
                     ids.append((i, m.decode(i)))
-                yield _encoded([r["doc_id"] for r in part], [r["chunk"] for r in part], texts, ids)
+                yield _encoded([r["doc_id"] for r in part], [r["chunk"] for r in part], texts, ids, [r["row"] for r in part])
 
     chunks = _giants(rows.filter(giant), size)
-    states = keep(_states(chunks, path, size))
-    placed = chunks.join(states, ["doc_id", "chunk"]).dropDuplicates(["doc_id", "chunk"])
-    return rows.filter(~giant).mapInArrow(plain, ENCODED).union(placed.mapInArrow(traces, ENCODED))
+    states = keep(_states(chunks, path, size, block))
+    placed = chunks.join(states, ["row", "chunk"])
+    # Constant nullness of `row`: the plan of _split() then runs one side of the union for each part.
+    short = rows.filter(~giant).mapInArrow(plain, ENCODED).withColumn("row", F.lit(None).cast("bigint"))
+    return short.union(placed.mapInArrow(traces, ENCODED).withColumn("row", F.coalesce("row", F.lit(-1).cast("bigint"))))
+
+
+def _split(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that are a whole document, and the chunks of giants."""
+    return encoded.filter("row is null"), encoded.filter("row is not null")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and text: each row is decoded by itself, a document's rows are joined in order, and the blank in front
-    goes."""
+    """doc_id and text, per document: each row is decoded by itself, a giant's rows are joined in order, and the blank in
+    front goes."""
 
     def texts(batches):
         m = model(path)
         for batch in batches:
             found = [m.decode(i) for i in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["doc_id", "chunk", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), batch.column(3)], ["doc_id", "chunk", "text", "row"])
 
-    rows = encoded.select("doc_id", "chunk", "ids").mapInArrow(texts, "doc_id bigint, chunk int, text string")
+    short, chunks = (x.select("doc_id", "chunk", "ids", "row").mapInArrow(texts, "doc_id bigint, chunk int, text string, row bigint") for x in _split(encoded))
     parts = F.array_sort(F.collect_list(F.struct("chunk", "text")))
     whole = F.array_join(F.transform(parts, lambda x: x["text"]), "")
-    return rows.groupBy("doc_id").agg(F.expr("1").alias("_"), whole.alias("t")).select("doc_id", F.substring("t", 2, F.length("t")).alias("text"))
+    giants = chunks.groupBy("row").agg(F.first("doc_id").alias("doc_id"), whole.alias("t")).select("doc_id", "t")
+    return short.select("doc_id", F.col("text").alias("t")).union(giants).select("doc_id", F.substring("t", 2, F.length("t")).alias("text"))
 
 
 DIGEST_BASE = 0x9E3779B97F4A7C15
@@ -402,8 +448,8 @@ def digests(encoded: DataFrame) -> DataFrame:
                 x = flat[a:b]
                 found.append(int(((x + np.uint64(1)) * powers[: b - a][::-1]).sum(dtype=np.uint64)) if b > a else 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column(3)],
-                ["doc_id", "chunk", "n", "d", "exact"],
+                [batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column(3), batch.column(4)],
+                ["doc_id", "chunk", "n", "d", "exact", "row"],
             )
 
     def joined(parts) -> str:
@@ -416,8 +462,12 @@ def digests(encoded: DataFrame) -> DataFrame:
     def join_all(s):
         return s.map(joined)
 
-    rows = encoded.select("doc_id", "chunk", "ids", "exact").mapInArrow(partial, "doc_id bigint, chunk int, n bigint, d bigint, exact boolean")
-    one = rows.groupBy("doc_id").agg(
-        F.sum("n").alias("n_pieces"), F.collect_list(F.struct("chunk", "n", "d")).alias("parts"), F.bool_and("exact").alias("exact")
+    short, chunks = (
+        x.select("doc_id", "chunk", "ids", "exact", "row").mapInArrow(partial, "doc_id bigint, chunk int, n bigint, d bigint, exact boolean, row bigint") for x in _split(encoded)
+    )
+    giants = chunks.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_pieces"), F.collect_list(F.struct("chunk", "n", "d")).alias("parts"), F.bool_and("exact").alias("exact")
+    )
+    return short.select("doc_id", F.col("n").alias("n_pieces"), F.lpad(F.lower(F.hex("d")), 16, "0").alias("ids_digest"), "exact").union(
+        giants.select("doc_id", "n_pieces", join_all("parts").alias("ids_digest"), "exact")
     )
-    return one.select("doc_id", "n_pieces", join_all("parts").alias("ids_digest"), "exact")
