@@ -1,8 +1,8 @@
 """Secret scans (native DataFrame functions only).
 
 Base kinds come from patterns. Besides, two character Markov models (random strings, ordinary identifiers) score
-every long token that no base span touches; where the log-likelihood ratio favours a random string, the token is
-a span of kind `random`. The models are trained on labelled samples, at most MAX_SAMPLES of them, by counting
+every long token, less the base spans in it; where the log-likelihood ratio favours a random string, the token, or
+each remaining part of it that does, is a span of kind `random`. The models are trained on labelled samples, at most MAX_SAMPLES of them, by counting
 character pairs, and their ratio goes into the expression as whole numbers (thousandths of a nat).
 
 Defined results: a null text is an empty one (no spans); repeated rows are scanned each by itself; an empty table
@@ -85,15 +85,15 @@ def _pieces(text: Column, pattern: str, replacement: str) -> Column:
     return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(replacement)), "\x01", -1)
 
 
-def _spans(pieces: Column, kind: str, wanted) -> Column:
-    """Spans (start, kind, end) of the pieces whose match is wanted, found by adding up lengths."""
+def _spans(pieces: Column, kind: str, wanted, texts: bool = False) -> Column:
+    """Spans (start, kind, end and, if asked for, text) of the pieces whose match is wanted, found by adding up lengths."""
     bare = lambda x: F.translate(x, "\x02\x03", "")
-    empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
+    empty = F.array().cast(f"array<struct<s:int,k:int,e:int{',t:string' if texts else ''}>>")
     rank = KINDS.index(kind)
 
     def step(a: Column, x: Column) -> Column:
         match = F.substring_index(x, "\x02", 1)
-        span = F.struct(a["at"].alias("s"), F.lit(rank).alias("k"), (a["at"] + F.length(bare(match))).alias("e"))
+        span = F.struct(a["at"].alias("s"), F.lit(rank).alias("k"), (a["at"] + F.length(bare(match))).alias("e"), *[bare(match).alias("t")] * texts)
         return F.struct(
             (a["at"] + F.length(bare(x))).alias("at"),
             F.when(wanted(match), F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"),
@@ -104,6 +104,25 @@ def _spans(pieces: Column, kind: str, wanted) -> Column:
     return F.when(F.size(pieces) > 1, found).otherwise(empty)
 
 
+def _parts(token: Column, base: Column) -> Column:
+    """What base spans (sorted) leave of a token (s, e and its text t): an array of (s, e, t)."""
+    start = F.struct(token["s"].alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("found"))
+
+    def step(a: Column, b: Column) -> Column:
+        touches = (b["s"] < token["e"]) & (b["e"] > token["s"])
+        gap = F.array(F.struct(a["at"].alias("s"), b["s"].alias("e")))
+        return F.struct(
+            F.when(touches, F.greatest(a["at"], b["e"])).otherwise(a["at"]).alias("at"),
+            F.when(touches & (b["s"] > a["at"]), F.concat(a["found"], gap)).otherwise(a["found"]).alias("found"),
+        )
+
+    last = lambda a: F.array(F.struct(a["at"].alias("s"), token["e"].alias("e")))
+    found = F.flatten(F.transform(F.array(F.aggregate(base, start, step)), lambda a: F.concat(a["found"], last(a))))
+    return F.transform(
+        found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(token["t"], x["s"] - token["s"] + 1, x["e"] - x["s"]).alias("t"))
+    )
+
+
 def _looks_random(token: Column, table: dict[str, int]) -> Column:
     """Whether the ratios over the token's pairs of characters come to THRESHOLD a pair or more."""
     n = len(ALPHABET)
@@ -149,9 +168,11 @@ def secret_scan(
         ).alias("base"),
     )
     found = found.select(
-        "row", "doc_id", "text", "base", _spans(F.col("_random"), "random", lambda m: _looks_random(m, table)).alias("more")
+        "row", "doc_id", "text", F.array_sort("base").alias("base"), _spans(F.col("_random"), "random", lambda m: F.lit(True), texts=True).alias("tokens")
     )
-    more = F.filter("more", lambda r: ~F.exists("base", lambda b: (b["s"] < r["e"]) & (b["e"] > r["s"])))
+    parts = F.flatten(F.transform("tokens", lambda r: _parts(r, F.col("base"))))
+    wanted = F.filter(parts, lambda x: (x["e"] > x["s"] + 1) & _looks_random(x["t"], table))
+    more = F.transform(wanted, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index("random")).alias("k"), x["e"].alias("e")))
     return found.select("row", "doc_id", "text", F.array_sort(F.concat("base", more)).alias("spans"))
 
 
