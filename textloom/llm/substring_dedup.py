@@ -1,9 +1,10 @@
-"""Substring dedup by de Bruijn compaction.
+"""Substring dedup by minimiser cuts and hash ranks, which stand in for de Bruijn compaction.
 
-Edges are word k-mers (K = 20 words), each known by a 64-bit and an independent 32-bit hash. Every k-mer has an
+Edges are word k-mers (K = 20 words), each known by a 64-bit and a 32-bit hash of the same 64-bit word hashes. Every k-mer has an
 anchor, the smallest hash among its inner 10-mers; equal k-mers have equal anchors. Anchors are counted over all
-documents, and k-mers of anchors that come once need no further look. The rest compact into paths: neighbouring
-k-mers of a document that share the anchor's place form one nonbranching path, known by its two ends. Equal paths
+documents, and k-mers of anchors that come once need no further look. The rest are cut into paths: neighbouring
+k-mers of a document that share the anchor's place form one path, known by its two ends (degrees of k-mers are not
+computed, so a path may branch inside, and words are not read again at the coordinates). Equal paths
 meet in Spark; every occurrence but the first, by its source coordinates, is a repeated span whole. Only the first
 occurrence of each path is taken apart into k-mers, which meet once more, so that paths that branch or break off at
 different places are compared k-mer by k-mer. The earliest occurrence of a k-mer always lies in such a first path.
