@@ -86,6 +86,12 @@ def test_quality_hosts(spark):
     assert quality_rules.quality_rules(null).collect()[0]["kept"] is False
 
 
+def test_rejection_measures_the_texts_once(spark, texts):
+    """The filter must not be pushed below the counts, which would cut the text into words for each of its terms."""
+    plan = quality_rules.filter_rejected(docs(spark, texts))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_remove(split(") == 1
+
+
 # Token counts.
 
 
@@ -299,6 +305,28 @@ def test_ngram_join_in_both_index_classes(spark, monkeypatch):
         assert out == want
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    rng = random.Random(21)
+    x, y, z = (prose(rng, 40, 10_000) for _ in range(3))
+    rows = [(1, x), (1, y), (2, x), (3, y), (4, z), (4, z), (4, None), (None, z), (5, ""), (5, z + " tail")]
+    out = {}
+    for r in ngram_join.ngram_join(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect():
+        out.setdefault(r["doc_id"], set()).add((r["n_shingles"], r["component_id"]))
+    # One of the texts of document 1 counts; the other links nothing.
+    assert all(len(v) == 1 for v in out.values())
+    linked = [i for i in (2, 3) if next(iter(out[i]))[1] == 1]
+    assert len(linked) == 1 and out[1] == {(36, 1)} and out[4] == {(36, 4)} and out[5] == {(37, 4)} and out[None] == {(36, 4)}
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 3000):
+        a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2))
+        b[: n * 3 // 4] = a[: n * 3 // 4]
+        bits = int(np.bitwise_count(ngram_join.sketch_of(a) ^ ngram_join.sketch_of(b)).sum())
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_one_of_each(spark, texts):
     d = docs(spark, texts)
     out = ngram_join.one_of_each(d)
@@ -401,29 +429,52 @@ def test_markov_models_tell_random_from_names():
 
 def test_raking_meets_the_targets(spark):
     rng = random.Random(2)
-    cells = [(f"s{i}", f"l{j}", f"t{k}", float(rng.randrange(1, 1000))) for i in range(5) for j in range(3) for k in range(3)]
+    # One source holds a third of all tokens, many others share the rest.
+    cells = [(f"s{i}", f"l{j}", f"t{k}", float(rng.randrange(1, 1000)) * (60 if i == 0 else 1)) for i in range(40) for j in range(3) for k in range(3)]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
-    out = mixing.rake(df, rounds=12)
+    out = mixing.rake(df).collect()
     total = sum(c[3] for c in cells)
-    for n, m in enumerate(mixing.MARGINALS):
-        own = {r[m]: r["s"] for r in out.groupBy(m).agg(F.sum("share").alias("s")).collect()}
-        raw = Counter()
-        for c in cells:
-            raw[c[n]] += c[3] / total
+    assert all(0 <= r["share"] <= r["tokens"] for r in out) and out[0]["deviation"] <= mixing.TOLERANCE
+    assert abs(sum(r["share"] for r in out) / total - out[0]["fraction"]) < 1e-6 and out[0]["fraction"] > 0.3
+    for m in mixing.MARGINALS:
+        own, raw = Counter(), Counter()
+        for r in out:
+            own[r[m]] += r["share"] / (total * r["fraction"])
+            raw[r[m]] += r["tokens"] / total
         z = sum(x**mixing.TEMPERATURE for x in raw.values())
-        assert all(abs(own[k] - x**mixing.TEMPERATURE / z) < 1e-6 for k, x in raw.items())
+        assert all(abs(own[k] - x**mixing.TEMPERATURE / z) < 1e-5 for k, x in raw.items())
+
+
+def test_raking_as_a_table_gives_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", float(rng.randrange(1, 50))) for i in range(4) for j in range(2) for k in range(2)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    monkeypatch.setattr(mixing, "FRACTIONS", (0.9, 0.5))
+    runs = []
+    for most in (1000, 3):
+        monkeypatch.setattr(mixing, "LOCAL_CELLS", most)
+        runs.append(sorted(tuple(r) for r in mixing.rake(df, rounds=4).collect()))
+    assert [r[:3] for r in runs[0]] == [r[:3] for r in runs[1]]
+    assert np.allclose([r[3:] for r in runs[0]], [r[3:] for r in runs[1]], rtol=1e-9, atol=1e-9)
 
 
 def test_mix(spark, texts):
     d = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") % 3 > 0, F.col("source")))
     out = mixing.mix(d).collect()
     assert len(out) == len(texts) and all(0 <= r["probability"] <= 1 for r in out)
-    expected = sum(r["probability"] * r["n_tokens"] for r in out) / sum(r["n_tokens"] for r in out)
-    assert abs(expected - mixing.FRACTION) < 1e-6
     kept = {r["doc_id"] for r in out if r["kept"]}
     drawn = mixing.sample(d)
     assert drawn.columns == d.columns and {r["doc_id"] for r in drawn.collect()} == kept
     assert mixing.sample(empty_like(d)).count() == 0
+    odd = docs(spark, ["a b", "a b", "c d e"], ids=[None, 4, 4])
+    assert len(mixing.mix(odd, topic="w").collect()) == 3 and {r["topic"] for r in mixing.mix(odd, topic="w").collect()} == {"x"}
+
+
+def test_the_draw_nears_the_targets(spark):
+    rng = random.Random(13)
+    rows = [(i, prose(rng, rng.randint(5, 60)), rng.choice(("en", "de")), "hot" if i % 3 == 0 else f"s{i % 17}", 0, "x", 7, "y", "z") for i in range(4000)]
+    out = mixing.marginals(mixing.mix(spark.createDataFrame(rows, DOCS))).collect()
+    assert all(abs(r["expected"] / r["target"] - 1) < 1e-4 and abs(r["drawn"] / r["target"] - 1) < 0.25 for r in out)
 
 
 # WARC.

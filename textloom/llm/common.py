@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -21,10 +22,12 @@ def words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), a temporary one."""
+    """The cluster's shared folder; where none is named and all runs in one process (tests), a temporary one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="textloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)

@@ -9,10 +9,12 @@ linking pair meets under some key. Verification compares whole sets.
 
 Equal sets are one class from the start. Within a key the members first meet one hub only; links found merge
 components, and what is left meets across components alone, so a group of near copies never makes all its pairs.
+Under keys of frequent shingles a pair is only made where the sets' parity sketches allow a link: the bits in which
+the sketches differ are at most as many as the shingles in which the sets differ, so no link is lost.
 
 Defined results: a null or empty text has an empty set, links with nothing and is its own component; repeated rows
-are one class; rows that share an id count as one document, of which the smallest set's digest wins; an empty table
-gives an empty result; other columns are ignored.
+are one class; rows that share an id count as one document, whose set is that of the row with the smallest digests
+(an empty one last); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import keep, release, written
@@ -35,6 +38,8 @@ HUB_ROUNDS = 2
 SMALL_KEY = 16
 #: Bits of the filter of shared shingles: 16 MB, whatever the data.
 SHINGLE_BITS = 1 << 27
+#: Words of 64 bits of a set's parity sketch, and keys that a member knows of those before a key.
+SKETCH, BEFORE = 8, 4
 
 
 def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -90,6 +95,16 @@ def shared_least(n):
     return 2 + n // 20
 
 
+def digest_of(shingles: np.ndarray, seed: int) -> int:
+    return int(mixed(shingles, seed).sum(dtype=np.uint64).view(np.int64))
+
+
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: bit i tells whether an odd number of its shingles hash to i."""
+    odd = np.bincount((mixed(shingles, 3) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def list_array(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
     flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
@@ -107,28 +122,29 @@ def in_order(shingles: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _sets(hashed: DataFrame, k: int, threshold: int) -> DataFrame:
-    """doc_id, n, two digests of the set, its prefix, and what makes the prefix long enough to share 2 + n / 20."""
+    """doc_id, n, two digests of the set, its sketch, its prefix, and what makes the prefix long enough to share 2 + n / 20."""
     table, counts = frequent_shingles(hashed, k)
     sent = hashed.sparkSession.sparkContext.broadcast((table, counts))
 
     def rows(batches):
         table, counts = sent.value
         for batch in batches:
-            ns, d1, d2, prefixes, more = [], [], [], [], []
+            ns, d1, d2, sketches, prefixes, more = [], [], [], [], [], []
             for x in lists(batch, 1):
                 s = shingle_set(x, k)
                 ns.append(len(s))
-                d1.append(int(mixed(s, 1).sum(dtype=np.uint64).view(np.int64)))
-                d2.append(int(mixed(s, 2).sum(dtype=np.uint64).view(np.int64)))
+                d1.append(digest_of(s, 1))
+                d2.append(digest_of(s, 2))
+                sketches.append(sketch_of(s))
                 s, at = in_order(s, table, counts), prefix_length(len(s), threshold)
                 prefixes.append(s[:at])
                 more.append(s[at : prefix_length(len(s), threshold, shared_least(len(s)))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (ns, d1, d2)), list_array(prefixes), list_array(more)],
-                ["doc_id", "n", "d1", "d2", "prefix", "more"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (ns, d1, d2)), list_array(sketches), list_array(prefixes), list_array(more)],
+                ["doc_id", "n", "d1", "d2", "sketch", "prefix", "more"],
             )
 
-    return hashed.mapInArrow(rows, "doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>, more array<bigint>")
+    return hashed.mapInArrow(rows, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, prefix array<bigint>, more array<bigint>")
 
 
 def _shared_prefixes(rows: DataFrame) -> DataFrame:
@@ -184,8 +200,8 @@ def shared_least_sql(n: Column) -> Column:
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and all its shingles, for the given ids of docs (doc_id, text). A filter of fixed size spares the others both
-    the hashing and the shuffle."""
+    """id and all its shingles, for the given ids (id, and the digest d1 of its set) of docs (doc_id, text). A filter of
+    fixed size spares the others both the hashing and the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(slot_of(F.col("id")).alias("slot"))))
 
     def wanted(batches):
@@ -194,11 +210,13 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array([shingle_set(x, k) for x in lists(batch, 1)])], ["doc_id", "shingles"])
+            sets = [shingle_set(x, k) for x in lists(batch, 1)]
+            digests = pa.array([digest_of(x, 1) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, list_array(sets)], ["doc_id", "digest", "shingles"])
 
     slotted = docs.withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(wanted, "doc_id bigint, text string, slot bigint")
-    found = _hashed(slotted, "doc_id", "text").mapInArrow(rows, "doc_id bigint, shingles array<bigint>")
-    return found.join(ids, found["doc_id"] == ids["id"]).select("id", "shingles").dropDuplicates(["id"])
+    found = _hashed(slotted, "doc_id", "text").mapInArrow(rows, "doc_id bigint, digest bigint, shingles array<bigint>")
+    return found.join(ids, (found["doc_id"] == ids["id"]) & (found["digest"] == ids["d1"])).select("id", "shingles").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -220,15 +238,33 @@ def _hub_pairs(rows: DataFrame, seed: int, threshold: int) -> DataFrame:
     return met.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of a key's members that belong to different components."""
-    x = rows.select("key", "kind", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("long").alias("la"))
-    y = rows.select("key", "kind", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("long").alias("lb"))
-    met = x.join(y, ["key", "kind"]).filter(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), threshold)
-        & ((F.col("kind") < 2) | F.col("la") | F.col("lb"))
-    )
-    return met.select("a", "b").distinct()
+def _differ_least(threshold: int) -> str:
+    """SQL: whether the sketches of a and b differ in no more bits than linking sets differ in shingles."""
+    bits = " + ".join(f"bit_count(s{i}a ^ s{i}b)" for i in range(SKETCH))
+    return f"({bits}) * {100 + threshold} <= (na + nb) * {100 - threshold}"
+
+
+def _across(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of a key's members that belong to different components and may link by their sizes and sketches.
+    Keys of rare shingles have few members and go without sketches. Under the others a member carries its keys just
+    before this one: a pair that has one of them in common meets there and is left out here; the pair's first key
+    always stays."""
+    sketches = classes.select("id", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
+    before = W.partitionBy("id", "kind").orderBy("key")
+    lags = [F.lag("key", i + 1).over(before).alias(f"k{i}") for i in range(BEFORE)]
+    met_before = " or ".join(f"k{i}a = k{j}b" for i in range(BEFORE) for j in range(BEFORE))
+
+    def met(members: DataFrame, more: str) -> DataFrame:
+        x, y = (
+            members.select("key", "kind", *[F.col(c).alias(f"{c}{side}") for c in members.columns if c not in ("key", "kind", "m")]) for side in "ab"
+        )
+        close = (F.col("ida") < F.col("idb")) & (F.col("ca") != F.col("cb")) & _close(F.col("na"), F.col("nb"), threshold)
+        return x.join(y, ["key", "kind"]).filter(close & F.expr(more)).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+    rare = met(rows.filter("kind = 0"), "true")
+    often = rows.filter("kind > 0").select("*", *lags).join(sketches, "id")
+    often = met(often, f"(kind < 2 or longa or longb) and not coalesce({met_before}, false) and {_differ_least(threshold)}")
+    return rare.union(often).distinct()
 
 
 def _relabelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
@@ -265,13 +301,13 @@ def class_components(keys: DataFrame, classes: DataFrame, docs: DataFrame, k: in
         some = rows if last or step == 0 else rows.filter(F.col("m") > SMALL_KEY)
         if step and some.isEmpty():
             continue
-        met = _across(some, threshold) if last else _hub_pairs(some, step, threshold)
+        met = _across(some, classes, threshold) if last else _hub_pairs(some, step, threshold)
         met = keep(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = met if tested is None else tested.union(met)
         pairs = keep(_plausible(met, classes))
         if pairs.isEmpty():
             continue
-        ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "d1"), "id"))
         new = keep(_verified(pairs, _whole_sets(docs, ids, k), threshold))
         release(docs.sparkSession)
         links = new if links is None else links.union(new)
@@ -280,6 +316,13 @@ def class_components(keys: DataFrame, classes: DataFrame, docs: DataFrame, k: in
     return keys.select("id", F.col("id").alias("component_id")).limit(0) if links is None else keep(components(links))
 
 
+def _several_sets(rows: DataFrame) -> DataFrame:
+    """doc_id and the set that counts (`one`: n, d1, d2), for ids whose rows differ in their sets."""
+    order = F.struct((F.col("n") == 0).alias("empty"), "d1", "d2", "n")
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(order).alias("one"), F.max(order).alias("other"))
+    return keep(several.filter("one <> other").select("doc_id", "one"))
+
+
 def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id, one row per document.
 
@@ -288,15 +331,18 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "
     same = ["n", "d1", "d2"]
     with written(_sets(hashed, k, threshold)) as rows:
         slim = keep(_shared_prefixes(rows))
-    some = slim.filter("n > 0")
+    some, own = slim.filter("n > 0"), slim.select("doc_id", *same)
+    if not (several := _several_sets(slim)).isEmpty():
+        some = some.join(several, "doc_id", "left").filter("one is null or struct(n, d1, d2) = struct(one.n, one.d1, one.d2)").drop("one")
+        own = own.join(several, "doc_id", "left").select("doc_id", *[F.coalesce(F.col("one")[c], F.col(c)).alias(c) for c in same])
     of = some.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("more").alias("more"))
-    classes = keep(classes.select("id", "n", "prefix", "more"))
+    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("sketch", "prefix", "more")])
+    classes = keep(classes.select("id", "n", "d1", "sketch", "prefix", "more"))
     keys = _keys(classes)
     release(docs.sparkSession)
     labels = class_components(keys, classes, docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), k, threshold)
     release(docs.sparkSession)
-    joined = slim.select("doc_id", *same).join(of.withColumnRenamed("id", "class_id"), same, "left")
+    joined = own.join(of.withColumnRenamed("id", "class_id"), same, "left")
     joined = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     return _relabelled(joined.withColumn("component_id", F.col("class_id")), "component_id", labels)
 

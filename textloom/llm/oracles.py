@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import FRACTION, MARGINALS, ROUNDS, STEPS, TEMPERATURE
+from .mixing import FRACTIONS, MARGINALS, ROUNDS, TEMPERATURE, TOLERANCE
 from .secret_scans import ALPHABET, ASSIGN_HEAD, ASSIGN_VALUE, KINDS, THRESHOLD, TOKEN, labelled_samples, train
 
 SPACES = "chr(9), chr(10), chr(11), chr(12), chr(13)"
@@ -52,8 +52,8 @@ OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {words("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM both JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 75 * (p.n + q.n - o)),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 75 * (p.n + q.n - o)),
 {COMPONENTS.format(id='doc_id', table='documents')}
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN comp ON id = d.doc_id"""
 
@@ -106,36 +106,33 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 
 def _op9() -> str:
-    steps = [
-        f"""rows AS MATERIALIZED (SELECT doc_id, len({words('text')}) AS n_tokens, source, lang, CASE WHEN contains(text, ' | ') THEN 'table'
-          WHEN contains(text, 'Licen') THEN 'license' WHEN contains(text, '@') OR contains(text, '+1 (') THEN 'contact' ELSE 'prose' END AS topic
-          FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents))""",
-        "s0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS share FROM rows GROUP BY ALL HAVING sum(n_tokens) > 0)",
-    ]
+    targets = ",\n".join(
+        f"p_{m} AS (SELECT {m}, pow(sum(tokens), {TEMPERATURE}) AS p FROM cells GROUP BY {m}),\nt_{m} AS (SELECT {m}, p / (SELECT sum(p) FROM p_{m}) AS t_{m} FROM p_{m})"
+        for m in MARGINALS
+    )
+    joins = " ".join(f"JOIN t_{m} ON t_{m}.{m} IS NOT DISTINCT FROM cells.{m}" for m in MARGINALS)
+    rest = "f, total, source, lang, topic, tokens, t_source, t_lang, t_topic"
+    step = "r"
     for m in MARGINALS:
-        steps.append(f"p_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {TEMPERATURE}) AS p FROM s0 GROUP BY {m})")
-        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, p / (SELECT sum(p) FROM p_{m}) AS target FROM p_{m})")
-    k = 0
-    for _ in range(ROUNDS):
-        for m in MARGINALS:
-            rest = ", ".join(f"s{k}.{x}" for x in MARGINALS)
-            steps.append(
-                f"s{k + 1} AS MATERIALIZED (SELECT {rest}, tokens, share * (target / z) AS share FROM s{k} JOIN (SELECT {m}, sum(share) AS z FROM s{k} GROUP BY {m}) g"
-                f" ON g.{m} IS NOT DISTINCT FROM s{k}.{m} JOIN t_{m} t ON t.{m} IS NOT DISTINCT FROM s{k}.{m})"
-            )
-            k += 1
-    steps.append(f"w AS MATERIALIZED (SELECT *, share / tokens AS rate FROM s{k})")
-    steps.append(f"c0 AS MATERIALIZED (SELECT {FRACTION} * sum(tokens) AS c, sum(tokens) AS total FROM w)")
-    for i in range(STEPS):
-        steps.append(
-            f"""c{i + 1} AS MATERIALIZED (SELECT coalesce(({FRACTION} * any_value(total) - sum(CASE WHEN rate * c >= 1 THEN tokens ELSE 0 END))
-              / nullif(sum(CASE WHEN rate * c >= 1 THEN 0 ELSE share END), 0), any_value(c)) AS c, any_value(total) AS total FROM w, c{i})"""
-        )
+        step = f"(SELECT i, {rest}, share * (t_{m} * (total * f) / sum(share) OVER (PARTITION BY f, {m})) AS share FROM {step})"
+    away = ", ".join(f"abs(sum(share) OVER (PARTITION BY f, {m}) / (t_{m} * (total * f)) - 1)" for m in MARGINALS)
     on = " AND ".join(f"rows.{m} IS NOT DISTINCT FROM w.{m}" for m in MARGINALS)
-    return "WITH " + ",\n".join(steps) + f"""
-SELECT doc_id, n_tokens, rows.source, rows.lang, rows.topic, round(p, 6) AS probability,
-  ('0x' || md5(doc_id::VARCHAR)[1:13])::BIGINT::DOUBLE / {float(1 << 52)!r} < p AS kept
-FROM (SELECT rows.*, coalesce(least(1.0, rate * c), 1.0) AS p FROM rows LEFT JOIN w ON {on}, c{STEPS}) rows"""
+    return f"""
+WITH RECURSIVE rows AS (SELECT doc_id, len({words('text')}) AS n_tokens, source, lang, CASE WHEN contains(text, ' | ') THEN 'table'
+  WHEN contains(text, 'Licen') THEN 'license' WHEN contains(text, '@') OR contains(text, '+1 (') THEN 'contact' ELSE 'prose' END AS topic
+  FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL HAVING sum(n_tokens) > 0),
+{targets},
+r AS (SELECT 0 AS i, f, (SELECT sum(tokens) FROM cells) AS total, cells.source, cells.lang, cells.topic, tokens, t_source, t_lang, t_topic, tokens * f AS share
+    FROM cells {joins}, (SELECT unnest([{", ".join(f"{f}::DOUBLE" for f in FRACTIONS)}]) AS f)
+  UNION ALL SELECT i + 1, {rest}, least(share, tokens) FROM {step} WHERE i < {ROUNDS}),
+ends AS (SELECT *, greatest({away}) AS d FROM r WHERE i = {ROUNDS}),
+each AS (SELECT f, max(d) AS d FROM ends GROUP BY f),
+best AS (SELECT max(f) AS f FROM each WHERE d <= greatest({TOLERANCE}, 1.01 * (SELECT min(d) FROM each))),
+w AS (SELECT source, lang, topic, share / tokens AS p FROM ends JOIN best USING (f))
+SELECT doc_id, n_tokens, rows.source, rows.lang, rows.topic, round(coalesce(p, 1.0), 6) AS probability,
+  ('0x' || md5(doc_id::VARCHAR)[1:13])::BIGINT::DOUBLE / {float(1 << 52)!r} < coalesce(p, 1.0) AS kept
+FROM rows LEFT JOIN w ON {on}"""
 
 
 OP10 = """

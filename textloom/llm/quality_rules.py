@@ -70,9 +70,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
         docs[host_col].alias("host"),
         words(text).alias("w"),
         F.regexp_count(text, F.lit("[" + SYMBOLS + "]")).cast("bigint").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-        F.size(lines).cast("bigint").alias("n_lines"),
+        lines.alias("lines"),
     )
+    d = d.withColumn("n_lines", F.size("lines").cast("bigint"))
+    d = d.withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("lines")))
     # Windows of five words: hashes of one word and the next, of two such pairs, of those and a fifth word.
     d = d.withColumn("n_words", F.size("w").cast("bigint")).withColumn("word_chars", F.length(F.array_join("w", "")).cast("bigint"))
     d = d.withColumn("h2", _paired("w", "w", 1)).withColumn("h4", _paired("h2", "h2", 2))
@@ -139,8 +140,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _judged(m, _rates(m))
 
 
+def _computed(measured: DataFrame) -> DataFrame:
+    """The same rows with the counts behind a generator: a filter on them can't be pushed down to the scan, where it
+    would measure the texts anew for each of its terms."""
+    counts = F.array(F.struct(*[c for c in measured.columns if c not in ("row", "doc_id", "host")]))
+    return measured.select("row", "doc_id", "host", F.inline(counts))
+
+
 def filter_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows that quality_rules keeps, with all their columns. Texts are measured twice, once for the hosts and
     once for the verdict, which costs less than a shuffle of them."""
     m = measure(docs, id_col, text_col, host_col)
-    return _judged(m, _rates(m)).filter("kept").select("row.*")
+    return _judged(_computed(m), _rates(m)).filter("kept").select("row.*")
