@@ -17,7 +17,9 @@ OTHER_SPACE = "\t\n\x0b\x0c\r"
 
 def words(text: Column) -> Column:
     """Array of the words of a text, in order; null text has none."""
-    flat = F.translate(F.coalesce(text, F.lit("")), OTHER_SPACE, " " * len(OTHER_SPACE))
+    flat = F.coalesce(text, F.lit(""))
+    for space in OTHER_SPACE:  # replace() searches bytes, which costs far less than translate()
+        flat = F.replace(flat, F.lit(space), F.lit(" "))
     return F.array_remove(F.split(flat, " ", -1), "")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +25,26 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda x: F.xxhash64(x))
 
 
-def lower_ascii(text: Column) -> Column:
+def lower_word_hashes(text: Column) -> Column:
+    """The same of the words with A-Z in lower case."""
+    return F.transform(words(text), lambda x: F.xxhash64(lower_ascii(x)))
+
+
+def lower_ascii(word: Column) -> Column:
+    """A-Z in lower case; other letters stay. Words of ASCII alone, which are most, take the fast way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, upper, upper.lower()))
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Seed of Spark's xxhash64.
+SEED = 42
+
+
+def lower_word_hashes_of(text: str) -> np.ndarray:
+    """The same for one text, outside Spark's expressions."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in WORD.findall(text.translate(LOWER))), np.uint64)
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, release, written
 from .components import components
-from .hashing import bit_filter, lists, lower_ascii, mixed, passes, slot_of, windows, without, word_hashes
+from .hashing import bit_filter, lists, lower_word_hashes, lower_word_hashes_of, mixed, passes, slot_of, windows, without
 
 RARE = 8
 MAX_FREQUENT = 16
@@ -38,6 +38,8 @@ HUB_ROUNDS = 2
 SMALL_KEY = 16
 #: Bits of the filter of shared shingles: 16 MB, whatever the data.
 SHINGLE_BITS = 1 << 27
+#: Documents of an Arrow batch that are worked on at once.
+SLICE = 1000
 #: Words of 64 bits of a set's parity sketch, and keys that a member knows of those before a key.
 SKETCH, BEFORE = 8, 4
 
@@ -50,8 +52,7 @@ def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = lower_ascii(F.coalesce(docs[text_col], F.lit("")))
-    return docs.select(docs[id_col].alias("doc_id"), word_hashes(text).alias("h"))
+    return docs.select(docs[id_col].alias("doc_id"), lower_word_hashes(docs[text_col]).alias("h"))
 
 
 def frequent_shingles(hashed: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +129,7 @@ def _sets(hashed: DataFrame, k: int, threshold: int) -> DataFrame:
 
     def rows(batches):
         table, counts = sent.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ns, d1, d2, sketches, prefixes, more = [], [], [], [], [], []
             for x in lists(batch, 1):
                 s = shingle_set(x, k)
@@ -187,12 +188,15 @@ def _close(a: Column, b: Column, threshold: int) -> Column:
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share as much of their long prefixes as a link must."""
-    own = classes.select("id", "n", F.concat("prefix", "more").alias("p"))
-    x, y = (own.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("p").alias(f"p{i}")) for i in "ab")
+def _plausible(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link and that share as much of their long prefixes as a link must."""
+    x, y = (classes.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.concat("prefix", "more").alias(f"p{i}"), *_sketch_words(i)) for i in "ab")
     enough = F.size(F.array_intersect("pa", "pb")) >= shared_least_sql(F.least("na", "nb"))
-    return pairs.join(x, "a").join(y, "b").filter(enough).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(F.expr(_differ_least(threshold))).filter(enough).select("a", "b")
+
+
+def _sketch_words(side: str = "") -> list[Column]:
+    return [F.get("sketch", i).alias(f"s{i}{side}") for i in range(SKETCH)]
 
 
 def shared_least_sql(n: Column) -> Column:
@@ -204,18 +208,17 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     fixed size spares the others both the hashing and the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(slot_of(F.col("id")).alias("slot"))))
 
-    def wanted(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy())))
-
     def rows(batches):
         for batch in batches:
-            sets = [shingle_set(x, k) for x in lists(batch, 1)]
-            digests = pa.array([digest_of(x, 1) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), digests, list_array(sets)], ["doc_id", "digest", "shingles"])
-
-    slotted = docs.withColumn("slot", slot_of(F.col("doc_id"))).mapInArrow(wanted, "doc_id bigint, text string, slot bigint")
-    found = _hashed(slotted, "doc_id", "text").mapInArrow(rows, "doc_id bigint, digest bigint, shingles array<bigint>")
+            wanted = batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy())))
+            for at in range(0, wanted.num_rows, SLICE):
+                part = wanted.slice(at, SLICE)
+                sets = [shingle_set(lower_word_hashes_of(x or ""), k) for x in part.column(1).to_pylist()]
+                digests = pa.array([digest_of(x, 1) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, list_array(sets)], ["doc_id", "digest", "shingles"])
+
+    slotted = docs.select("doc_id", "text", slot_of(F.col("doc_id")).alias("slot"))
+    found = slotted.mapInArrow(rows, "doc_id bigint, digest bigint, shingles array<bigint>")
     return found.join(ids, (found["doc_id"] == ids["id"]) & (found["digest"] == ids["d1"])).select("id", "shingles").dropDuplicates(["id"])
 
 
@@ -249,7 +252,7 @@ def _across(rows: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     Keys of rare shingles have few members and go without sketches. Under the others a member carries its keys just
     before this one: a pair that has one of them in common meets there and is left out here; the pair's first key
     always stays."""
-    sketches = classes.select("id", *[F.get("sketch", i).alias(f"s{i}") for i in range(SKETCH)])
+    sketches = classes.select("id", *_sketch_words())
     before = W.partitionBy("id", "kind").orderBy("key")
     lags = [F.lag("key", i + 1).over(before).alias(f"k{i}") for i in range(BEFORE)]
     met_before = " or ".join(f"k{i}a = k{j}b" for i in range(BEFORE) for j in range(BEFORE))
@@ -304,7 +307,7 @@ def class_components(keys: DataFrame, classes: DataFrame, docs: DataFrame, k: in
         met = _across(some, classes, threshold) if last else _hub_pairs(some, step, threshold)
         met = keep(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = met if tested is None else tested.union(met)
-        pairs = keep(_plausible(met, classes))
+        pairs = keep(_plausible(met, classes, threshold))
         if pairs.isEmpty():
             continue
         ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "d1"), "id"))

@@ -37,7 +37,7 @@ CHUNK = 8192
 MARGIN = 64
 #: Chunks whose matrices are scanned in one go; those of a longer document are combined in blocks of so many first.
 BLOCK = 1024
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 Span = tuple[int, int]
 Matrix = dict[Span, dict[Span, int]]
 START: Span = (-1, 0)
@@ -56,12 +56,14 @@ class Model:
         self.ids = {p.id_to_piece(i): i for i in ids if not special[i]}
         self.scores = {p.id_to_piece(i): p.get_score(i) for i in ids if not special[i]}
         self.longest = max(map(len, self.ids))
+        if MARGIN < 2 * self.longest:
+            raise ValueError(f"MARGIN must be at least twice the longest piece, which has {self.longest} characters")
         self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in ids if p.is_byte(i)}
         self.unknown = p.unk_id()
         self.texts = [b"" if s and not p.is_byte(i) else bytes([int(p.id_to_piece(i)[3:5], 16)]) if s else p.id_to_piece(i).replace(BLANK, " ").encode() for i, s in zip(ids, special, strict=True)]
         self.words: dict[str, tuple[int, ...]] = {}
-        self.compatible = functools.lru_cache(200_000)(self.compatible)
-        self.whole = functools.lru_cache(50_000)(self.whole)
+        self.compatible = functools.lru_cache(50_000)(self.compatible)
+        self.whole = functools.lru_cache(30_000)(self.whole)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text: of the neighbours whose joint text is a piece the best-scored merge first, the
@@ -352,7 +354,17 @@ def _states(chunks: DataFrame, path: str, size: int, block: int) -> DataFrame:
     return short.union(blocks.join(at, ["row", "block"]).groupBy("row", "block").applyInPandas(inner, f"row bigint, chunk int, {STATES}"))
 
 
-ENCODED = "doc_id bigint, chunk int, n_chars bigint, ids array<int>, exact boolean, row bigint"
+ENCODED = "doc_id bigint, chunk int, n_chars bigint, ids array<int>, exact boolean, row bigint, digest bigint"
+DIGEST_BASE = 0x9E3779B97F4A7C15
+WRAP = (1 << 64) - 1
+
+
+def digest_of(ids) -> int:
+    """Polynomial over the ids modulo 2^64, as a signed number."""
+    x = np.asarray(ids, np.uint64)
+    powers = np.full(len(x), DIGEST_BASE, np.uint64)
+    powers[:1] = 1
+    return int(((x + np.uint64(1)) * np.cumprod(powers)[::-1]).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
 
 
 def _encoded(doc_ids, chunks, texts, ids, rows=None) -> pa.RecordBatch:
@@ -360,17 +372,17 @@ def _encoded(doc_ids, chunks, texts, ids, rows=None) -> pa.RecordBatch:
     for t, i in zip(texts, ids, strict=True):
         exact.append(i[1] == t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc_ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array([len(t) for t in texts], pa.int64()), pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(exact, pa.bool_()), pa.array(rows or [None] * len(texts), pa.int64())],
-        ["doc_id", "chunk", "n_chars", "ids", "exact", "row"],
+        [pa.array(doc_ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array([len(t) for t in texts], pa.int64()), pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(exact, pa.bool_()), pa.array(rows or [None] * len(texts), pa.int64()), pa.array([digest_of(i[0]) for i in ids], pa.int64())],
+        ["doc_id", "chunk", "n_chars", "ids", "exact", "row", "digest"],
     )
 
 
 def encode(
     docs: DataFrame, path: str, size: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
-    """doc_id, chunk, n_chars (with the blank in front), ids, exact (decoding gives the text back) and row: a row for each
-    document, or for each chunk of a giant one; a document's ids are those of its chunks in order. The chunks of one
-    giant share `row`, which is null for other documents."""
+    """doc_id, chunk, n_chars (with the blank in front), ids, exact (decoding gives the text back), row, and digest (of the
+    ids): a row for each document, or for each chunk of a giant one; a document's ids are those of its chunks in order.
+    The chunks of one giant share `row`, which is null for other documents."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     giant = F.length("text") >= size
 
@@ -429,29 +441,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return short.select("doc_id", F.col("text").alias("t")).union(giants).select("doc_id", F.substring("t", 2, F.length("t")).alias("text"))
 
 
-DIGEST_BASE = 0x9E3779B97F4A7C15
-WRAP = (1 << 64) - 1
-
-
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_pieces, ids_digest (a polynomial over the ids modulo 2^64, in hex) and exact, per document. Digests of
     chunks combine in order, so ids never leave their task."""
 
-    def partial(batches):
-        for batch in batches:
-            flat, ends = batch.column(2).values.to_numpy().astype(np.uint64), batch.column(2).offsets.to_numpy()
-            powers = np.ones(max(np.diff(ends), default=0) + 1, np.uint64)
-            powers[1:] = DIGEST_BASE
-            powers = np.cumprod(powers)
-            found = []
-            for a, b in zip(ends, ends[1:], strict=False):
-                x = flat[a:b]
-                found.append(int(((x + np.uint64(1)) * powers[: b - a][::-1]).sum(dtype=np.uint64)) if b > a else 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column(3), batch.column(4)],
-                ["doc_id", "chunk", "n", "d", "exact", "row"],
-            )
-
     def joined(parts) -> str:
         total = 0
         for _, n, d in sorted((p["chunk"], p["n"], p["d"]) for p in parts):
@@ -462,9 +455,8 @@ def digests(encoded: DataFrame) -> DataFrame:
     def join_all(s):
         return s.map(joined)
 
-    short, chunks = (
-        x.select("doc_id", "chunk", "ids", "exact", "row").mapInArrow(partial, "doc_id bigint, chunk int, n bigint, d bigint, exact boolean, row bigint") for x in _split(encoded)
-    )
+    slim = encoded.select("doc_id", "chunk", F.size("ids").cast("bigint").alias("n"), F.col("digest").alias("d"), "exact", "row")
+    short, chunks = _split(slim)
     giants = chunks.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_pieces"), F.collect_list(F.struct("chunk", "n", "d")).alias("parts"), F.bool_and("exact").alias("exact")
     )
