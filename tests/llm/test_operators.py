@@ -148,6 +148,35 @@ def test_substring_dedup(spark, texts):
         assert r["kept_sha256"] == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_paths_are_nonbranching_and_whole(spark):
+    """Texts that repeat, branch, break off and run in circles, against brute force; and each k-mer in one path."""
+    rng = random.Random(31)
+    blocks = [prose(rng, rng.randint(5, 60), 10_000) for _ in range(12)]
+    texts = [" ".join(rng.choices(blocks, k=rng.randint(1, 6))) for _ in range(60)]
+    texts += ["a " * 50, "a b c " * 30, "x " + "a b c " * 30, blocks[0] + " " + blocks[0] + " " + blocks[0]]
+    rows = {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs(spark, texts).repartition(7), with_text=True).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        w, gone = t.split(), set()
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            gone |= set(range(k, k + 20)) if key in seen else set()
+            seen.add(key)
+        assert rows[i]["kept_text"] == " ".join(x for k, x in enumerate(w) if k not in gone)
+    hashed = docs(spark, texts).select("doc_id", hashing.word_hashes(F.col("text")).alias("h"), F.transform(common.words(F.col("text")), lambda x: F.hash(x)).alias("c"))
+    every = np.full(substring_dedup.ANCHOR_BITS // 64, ~np.uint64(0))
+    branching = substring_dedup._branching(hashed.select("doc_id", "h"), every)
+    owner = {}
+    for r in hashed.collect():
+        x, c = np.array(r["h"], np.int64).view(np.uint64), np.array(r["c"], np.int32)
+        hot = np.ones(max(len(x) - 19, 0), bool)
+        if len(hot):
+            assert sum(n for *_, n in zip(*substring_dedup.paths_of(x, c, hot, branching), strict=True)) == len(hot)
+            for key, check, at, n in zip(*substring_dedup.paths_of(x, c, hot, branching), strict=True):
+                for k, h in enumerate(hashing.windows(x, 20)[at : at + n]):
+                    assert owner.setdefault(int(h), (int(key), int(check), k, int(n)))[:2] == (int(key), int(check))
+
+
 def test_substring_dedup_odd_ids(spark):
     t = prose(random.Random(2), 30, 10_000)
     rows = substring_dedup.substring_dedup(docs(spark, [t, t, t, t], ids=[5, 5, None, 9])).collect()
@@ -362,6 +391,32 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(empty_like(df)).count() == 0
 
 
+@pytest.mark.parametrize("kind, labels", [("string", ["a", "b"]), ("double", [1.2, 1.7])])
+def test_labels_of_other_types(spark, kind, labels):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, labels[0], 9), (2, [2.0, 4.0, 6.1], labels[0], 9), (3, v, labels[1], 9), (None, v, labels[1], 9), (4, [2.0, 4.0, 6.1], labels[1], 9), (4, [-3.0, 1.0, 0.0], labels[1], 9)]
+    df = spark.createDataFrame(rows, f"vec_id bigint, embedding array<double>, label {kind}, cell int")
+    out = [tuple(r) for r in embedding_dedup.embedding_dedup(df).collect()]
+    assert (1, 1, 1, True) in out and (2, 1, 1, False) in out and (None, 0, None, True) in out
+    # Of the two vectors of id 4 one counts; both of its rows say the same.
+    assert len(out) == 6 and len({r for r in out if r[0] == 4}) == 1
+
+
+def test_grids_of_more_axes(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((30, 24))
+    rows = [(i, [float(x) for x in base[i % 30] + 0.06 * rng.standard_normal(24)], i % 2) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    found = []
+    for few in (1_000_000, 10):
+        monkeypatch.setattr(embedding_dedup, "FEW", few)
+        found.append(sorted(embedding_dedup.embedding_dedup(df).collect()))
+    v = embedding_dedup.unit(np.array([r[1] for r in rows]).astype(np.float32).astype(float))
+    same = np.array([r[2] for r in rows])
+    want = ((v @ v.T >= 0.98) & (same[:, None] == same[None, :])).sum(1) - 1
+    assert found[0] == found[1] and [r["n_links"] for r in found[0]] == want.tolist() and want.sum() > 100
+
+
 def test_large_cells_are_cut(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "MAX_CELL", 7)
     rng = np.random.default_rng(3)
@@ -484,7 +539,7 @@ def test_warc_round_trip(spark):
     big = "é" * 600
     pages = [(1, "http://a", big), (2, "http://b", big), (9, None, big), (3, "http://c\r\nX: y", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", ""), (7, "u", "y" * 200_000)]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, payload string").repartition(3)
-    out = {r["page_id"]: r for r in warc.round_trip(spark, df).collect()}
+    out = {r["page_id"]: r for r in warc.round_trip(spark, df, with_payload=True).collect()}
     assert len(out) == len(pages)
     for i, _, html in pages:
         body = (html or "").encode()
@@ -496,6 +551,19 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, df.limit(0)).count() == 0
 
 
+def test_warc_of_null_and_repeated_ids(spark):
+    big, other = "é" * 600, "z" * 2000
+    pages = [(None, "u", big), (4, "u", big), (4, "v", big), (None, "u", other), (None, "w", other), (7, None, None), (7, "u", "short"), (None, "u", "")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    out = warc.round_trip(spark, df)
+    rows = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in out.collect())
+    assert rows == sorted([
+        ("None", 1200, "revisit", 4), ("4", 1200, "response", None), ("4", 1200, "response", None), ("None", 2000, "response", None),
+        ("None", 2000, "response", None), ("7", 0, "response", None), ("7", 5, "response", None), ("None", 0, "response", None),
+    ])
+    assert "payload" not in out.columns
+
+
 def test_warc_reader_refuses_damage():
     digest = hashlib.sha1(b"abc").hexdigest()
     whole = warc.page_record(1, "u", b"abc", digest, 3, None) + warc.page_record(2, "u", b"abc", digest, 3, 1)

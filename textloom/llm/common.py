@@ -59,6 +59,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def written(df: DataFrame):
     """The frame as a compressed table in the shared folder, for as long as the block lasts. For large frames that
@@ -70,6 +76,5 @@ def written(df: DataFrame):
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete(spark, path)
         release(spark)

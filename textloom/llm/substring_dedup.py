@@ -1,16 +1,20 @@
-"""Substring dedup by minimiser cuts and hash ranks, which stand in for de Bruijn compaction.
+"""Substring dedup by de Bruijn compaction.
 
-Edges are word k-mers (K = 20 words), each known by a 64-bit and a 32-bit hash of the same 64-bit word hashes. Every k-mer has an
-anchor, the smallest hash among its inner 10-mers; equal k-mers have equal anchors. Anchors are counted over all
-documents, and k-mers of anchors that come once need no further look. The rest are cut into paths: neighbouring
-k-mers of a document that share the anchor's place form one path, known by its two ends (degrees of k-mers are not
-computed, so a path may branch inside, and words are not read again at the coordinates). Equal paths
-meet in Spark; every occurrence but the first, by its source coordinates, is a repeated span whole. Only the first
-occurrence of each path is taken apart into k-mers, which meet once more, so that paths that branch or break off at
-different places are compared k-mer by k-mer. The earliest occurrence of a k-mer always lies in such a first path.
+Edges are word k-mers (K = 20 words), nodes the 19-mers between them. Every k-mer has an anchor, the smallest hash among
+its inner 10-mers; equal k-mers have equal anchors, so k-mers whose anchor comes once in all documents can't repeat and
+need no further look. For the nodes of the others Spark gathers the words before and after them over all documents (a
+document's end counts as a word of its own): a node with two different ones on a side branches. Documents are cut at
+branching nodes, and what lies between is a nonbranching path. All occurrences of a k-mer share their path whole, since
+each inner node has one way in and one way out everywhere, so paths meet as one row each and never overlap in part.
 
-A task settles repeats among its own documents before anything is shuffled, so a passage that a third of all
-documents hold reaches the shuffle once per task and buffer.
+The first occurrence of each path, by its source coordinates, is found by a partially aggregated minimum and joined
+back to the others. Paths that meet are verified at their coordinates: their key comes from 64-bit hashes of their
+words, and the check beside it from other 32-bit hashes of each of their words. Every occurrence but the first is a
+repeated span. A task settles repeats among its own documents before anything is shuffled, so a passage that a third of
+all documents hold reaches the shuffle once per task and buffer.
+
+Branching nodes are sent as a filter of fixed size. A node that it takes for branching cuts the same path at the same
+place in every document, which changes no result.
 
 Defined results: a null text has no words (n_removed 0, the digest of the empty text), nor has one of white space;
 texts under K words lose nothing; rows that share an id count as one document, of which no row is earlier than
@@ -27,18 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import keep, written
-from .hashing import bit_filter, lists, mixed, passes, slot_of, windows, word_hashes
+from .common import keep, words, written
+from .hashing import BASE, bit_filter, lists, mixed, passes, slot_of, windows
 
 K, INNER = 20, 10
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: k-mers that a task holds at once.
 BUFFER = 1_500_000
-#: Bits of the anchors' filter: 16 MB, whatever the data.
+#: Bits of the filters of anchors and of branching nodes: 16 MB each, whatever the data.
 ANCHOR_BITS = 1 << 27
-CHECK_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Stands for the word before a document's first and after its last.
+END = np.uint64(0)
 
 
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,31 +80,97 @@ def _repeated_anchors(hashed: DataFrame) -> np.ndarray:
     return bit_filter(found.select(F.pmod("a", F.lit(ANCHOR_BITS)).alias("slot")), ANCHOR_BITS)
 
 
-PATH = "path bigint, path_check int, doc_id bigint, at int, n int, h array<bigint>, c array<int>"
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(ANCHOR_BITS - 1)).astype(np.int64)
 
 
-def _paths_of(x: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """Paths of a document's k-mers whose anchor repeats: keys, checks, places, lengths, and all k-mers' hashes."""
+def _candidates(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the anchor of each k-mer repeats."""
     at, inner = anchors(x)
-    if not len(at):
-        return None
-    hot = passes(bits, (inner[at] & np.uint64(ANCHOR_BITS - 1)).astype(np.int64))
-    edge = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]))))
-    start = edge[hot[edge]]
-    if not len(start):
-        return None
-    end = np.append(edge[1:], len(at))[hot[edge]]
-    h, c = windows(x, K), windows(x, K, CHECK_BASE)
-    length = (end - start).astype(np.uint64)
-    key = mixed(h[start] ^ mixed(h[end - 1] + length))
-    check = mixed(c[start] ^ mixed(c[end - 1] + length)).astype(np.uint32).view(np.int32)
-    return key, check, start, end - start, h, c.astype(np.uint32).view(np.int32)
-
-
-def _paths(hashed: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The task's first occurrence of each path, with its k-mers, and (path null) the later ones."""
+    return passes(bits, _slots(inner[at])) if len(at) else np.zeros(0, bool)
+
+
+def incident_nodes(x: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes at the ends of the candidate k-mers: hash, word before, word after."""
+    touched = np.zeros(len(hot) + 1, bool)
+    touched[:-1] |= hot
+    touched[1:] |= hot
+    j = np.flatnonzero(touched)
+    before, after = np.concatenate(([END], x)), np.concatenate((x, [END]))
+    return windows(x, K - 1)[j], before[j], after[j + K - 1]
+
+
+def _branching(hashed: DataFrame, bits: np.ndarray) -> np.ndarray:
+    """Filter of the nodes with more than one word before or after them. A task sends each of its nodes once, without
+    the words where it branches among the task's own documents."""
     sent = hashed.sparkSession.sparkContext.broadcast(bits)
 
+    def nodes(batches):
+        held: list[tuple] = []
+        n = 0
+
+        def flush():
+            node, before, after = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.argsort(node)
+            node, before, after = node[order], before[order], after[order]
+            first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            alike = np.ones(len(first), bool)
+            for side in (before, after):
+                alike &= np.minimum.reduceat(side, first) == np.maximum.reduceat(side, first)
+            sides = [pa.array(side[first].view(np.int64), mask=~alike) for side in (before, after)]
+            return pa.RecordBatch.from_arrays([pa.array(node[first].view(np.int64)), *sides], ["node", "before", "after"])
+
+        for batch in batches:
+            for x in lists(batch, 1):
+                hot = _candidates(x, sent.value)
+                if hot.any():
+                    held.append(incident_nodes(x, hot))
+                    n += len(held[-1][0])
+                if n >= BUFFER:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    found = hashed.mapInArrow(nodes, "node bigint, before bigint, after bigint").groupBy("node").agg(
+        *[f(c).alias(f"{c}_{f.__name__}") for c in ("before", "after") for f in (F.min, F.max)], F.count("before").alias("known"), F.count("*").alias("n")
+    )
+    found = found.filter("known < n or before_min <> before_max or after_min <> after_max")
+    return bit_filter(found.select(F.pmod("node", F.lit(ANCHOR_BITS)).alias("slot")), ANCHOR_BITS)
+
+
+def paths_of(x: np.ndarray, words32: np.ndarray, hot: np.ndarray, branching: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Nonbranching paths of a document's candidate k-mers: key, check, place and length."""
+    nodes = windows(x, K - 1)
+    cut = passes(branching, _slots(nodes))
+    before = np.concatenate(([False], hot[:-1]))
+    after = np.append(hot[1:], False)
+    start = np.flatnonzero(hot & (~before | cut[:-1]))
+    end = np.flatnonzero(hot & (~after | cut[1:])) + 1
+    length = end - start
+    h = windows(x, K)
+    key = mixed(h[start] ^ mixed(h[end - 1] + length.astype(np.uint64)))
+    return key, _check(words32, start, end + K - 1), start, length
+
+
+def _check(words32: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of all words of the runs [start, end)."""
+    values = mixed(words32.astype(np.int64).view(np.uint64), 5)
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    powers, inverses = np.full(len(values) + 1, BASE, np.uint64), np.full(len(values) + 1, inverse, np.uint64)
+    powers[0] = inverses[0] = 1
+    powers, inverses = np.cumprod(powers), np.cumprod(inverses)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers[:-1])))
+    return mixed((sums[end] - sums[start]) * inverses[start])
+
+
+PATH = "key bigint, check bigint, doc_id bigint, at int, n int"
+
+
+def _paths(hashed: DataFrame, bits: np.ndarray, branching: np.ndarray) -> DataFrame:
+    """The task's first occurrence of each path, and (key null) the later ones, which are settled."""
+    sent = hashed.sparkSession.sparkContext.broadcast((bits, branching))
+
     def rows(batches):
         held: list[tuple] = []
         n = 0
@@ -108,58 +178,54 @@ def _paths(hashed: DataFrame, bits: np.ndarray) -> DataFrame:
         def flush():
             ids = np.concatenate([np.full(len(p[0]), d, np.int64) for d, p in held])
             key, check, at, length = (np.concatenate([p[i] for _, p in held]) for i in range(4))
-            owner = np.concatenate([np.full(len(p[0]), k) for k, (_, p) in enumerate(held)])
             order = np.lexsort((at, ids, check, key))
+            key, check, at, length, ids = (a[order] for a in (key, check, at, length, ids))
             new = np.ones(len(order), bool)
-            new[1:] = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
-            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-            later = order[(ids[order] > ids[first]) | ((ids[order] == ids[first]) & (at[order] > at[first]))]
-            firsts = order[new]
-            for part in np.array_split(firsts, max(1, len(firsts) // 20_000)):
-                h = [held[owner[i]][1][4][at[i] : at[i] + length[i]] for i in part]
-                c = [held[owner[i]][1][5][at[i] : at[i] + length[i]] for i in part]
-                offsets = np.concatenate(([0], np.cumsum(length[part]))).astype(np.int32)
-                flat = (np.concatenate(h).view(np.int64), np.concatenate(c)) if h else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-                yield _batch(key[part].view(np.int64), check[part], ids[part], at[part], length[part], *(pa.ListArray.from_arrays(offsets, f) for f in flat))
-            none = lambda t: pa.nulls(len(later), t)
-            yield _batch(none(pa.int64()), none(pa.int32()), ids[later], at[later], length[later], none(pa.list_(pa.int64())), none(pa.list_(pa.int32())))
+            new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            later = (ids > ids[first]) | (at > at[first])
+            shown = new | later
+            some = lambda a: pa.array(a.view(np.int64)[shown], mask=later[shown])
+            return pa.RecordBatch.from_arrays(
+                [some(key), some(check), pa.array(ids[shown]), pa.array(at[shown], pa.int32()), pa.array(length[shown], pa.int32())],
+                ["key", "check", "doc_id", "at", "n"],
+            )
 
         for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), lists(batch, 1), strict=True):
-                if (found := _paths_of(x, sent.value)) is not None:
-                    held.append((doc_id, found))
-                    n += len(x)
-                if n >= BUFFER:
-                    yield from flush()
+            for doc_id, x, words32 in zip(batch.column(0).to_pylist(), lists(batch, 1), short_lists(batch, 2), strict=True):
+                hot = _candidates(x, sent.value[0])
+                if hot.any():
+                    held.append((doc_id, paths_of(x, words32, hot, sent.value[1])))
+                    n += len(held[-1][1][0])
+                if n >= BUFFER // 4:
+                    yield flush()
                     held, n = [], 0
         if held:
-            yield from flush()
+            yield flush()
 
     return hashed.mapInArrow(rows, PATH)
 
 
-def _batch(key, check, ids, at, n, h, c) -> pa.RecordBatch:
-    columns = (key, check, ids, at, n, h, c)
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    names = [x.split()[0] for x in PATH.split(", ")]
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+def short_lists(batch, column: int):
+    """The arrays of a list column of 32-bit numbers."""
+    col = batch.column(column)
+    flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
+    for a, b in zip(ends, ends[1:], strict=False):
+        yield flat[a:b]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans, an array of (at, n): runs of n k-mers from word `at` on that all start earlier elsewhere."""
-    hashed = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), word_hashes(docs[text_col]).alias("h"))
-    paths = _paths(hashed, _repeated_anchors(hashed))
-    # A task's later occurrences are settled: they only travel along, each under a key of its own.
-    own = F.xxhash64("doc_id", "at")
-    place = W.partitionBy("key", "path_check").orderBy("doc_id", "at")
-    ranked = paths.withColumn("key", F.coalesce("path", own)).withColumn("later", F.col("path").isNull() | (F.rank().over(place) > 1))
-    slim = lambda c: F.when(~F.col("later"), F.col(c)).alias(c)
-    with written(ranked.select("doc_id", "at", "n", "later", slim("h"), slim("c"))) as settled:
-        kmers = settled.filter("not later").select("doc_id", "at", F.posexplode(F.arrays_zip("h", "c")).alias("i", "k"))
-        kmers = kmers.select("doc_id", (F.col("at") + F.col("i")).alias("at"), F.col("k.h").alias("h"), F.col("k.c").alias("c"))
-        place = W.partitionBy("h", "c").orderBy("doc_id", "at")
-        late = kmers.withColumn("r", F.rank().over(place)).filter("r > 1").select("doc_id", "at", F.lit(1).alias("n"))
-        spans = settled.filter("later").select("doc_id", "at", "n").union(late)
+    some = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].alias("doc_id"), words(docs[text_col]).alias("w"))
+    hashed = some.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    bits = _repeated_anchors(hashed)
+    branching = _branching(hashed, bits)
+    both = some.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h"), F.transform("w", lambda x: F.hash(x)).alias("c"))
+    with written(_paths(both, bits, branching)) as paths:
+        open_ = paths.filter("key is not null")
+        firsts = open_.groupBy("key", "check").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("m")).filter("m > 1")
+        late = open_.join(firsts.select("key", "check", "first"), ["key", "check"]).filter("struct(doc_id, at) > first")
+        spans = paths.filter("key is null").select("doc_id", "at", "n").union(late.select("doc_id", "at", "n"))
         return keep(spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
 
 

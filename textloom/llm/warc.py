@@ -2,12 +2,13 @@
 
 Archives are gzip files with one member per record. Each writing task puts its share of the records into one file
 of the shared folder, under a name of its own attempt, and returns what it wrote; only files that the kept list of
-a finished stage names are read, so a task that is lost or runs twice leaves at most an unread file behind. The
-reader streams a file: zlib decompresses member by member in blocks, Content-Length frames each record, and the
+a finished stage names are read, so a task that is lost or runs twice leaves at most an unread file behind, which goes
+with the folder. The reader streams a file: zlib decompresses member by member in blocks, Content-Length frames each record, and the
 digests of block and payload are verified. It never holds more than one record.
 
 Defined results: a null payload is empty; equal payloads below MIN_SHARED bytes are all stored; of repeated ids
-each row becomes a record; an empty table gives no archive and an empty result; other columns are ignored.
+each row becomes a record, and all rows with the largest id of a shared payload are stored; a null id is the smallest
+and comes back as null (where all rows of a payload have none, all are stored); an empty table gives no archive and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from typing import BinaryIO, NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_folder
+from .common import delete, keep, shared_folder
 
 MIN_SHARED = 1000
 BLOCK = 1 << 16
@@ -51,12 +52,12 @@ def member(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + z.flush()
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, digest_hex: str, n_bytes: int, refers_to: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, digest_hex: str, n_bytes: int, refers_to: int | None) -> bytes:
     """A response, or, where refers_to names the stored response, a revisit that keeps the HTTP header alone."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     headers = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", EPOCH),
         ("WARC-Target-URI", "".join((url or "").splitlines())),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest_hex)).decode()),
@@ -134,26 +135,24 @@ def _file_system(uri: str):
 def with_references(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """page_id, url, payload, payload_digest, payload_bytes, refers_to (null: stored).
 
-    The largest id of each shared payload is found by a partially aggregated maximum; only groups of two or more
-    join back."""
+    The largest id of each shared payload is found by a partially aggregated maximum. Ids and digests alone meet under
+    a digest; payloads only go by their own id and digest, so a popular payload lands in no one task."""
     body = F.encode(F.coalesce(pages[payload_col], F.lit("")), "UTF-8")
     rows = pages.select(
         pages[id_col].alias("page_id"), pages[url_col].alias("url"), body.alias("payload"), F.sha1(body).alias("payload_digest"),
         F.octet_length(body).cast("bigint").alias("payload_bytes"),
     )
+    large = rows.filter(F.col("payload_bytes") >= MIN_SHARED).select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"))
     shared = (
-        rows.filter(F.col("payload_bytes") >= MIN_SHARED)
-        .groupBy("payload_digest")
-        .agg(F.max("page_id").alias("stored_id"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select(F.col("payload_digest").alias("shared_digest"), "stored_id")
-    )
-    joined = rows.join(
-        shared, (rows["payload_digest"] == shared["shared_digest"]) & (rows["payload_bytes"] >= MIN_SHARED), "left"
+        large.groupBy("_digest").agg(F.max("_id").alias("stored_id"), F.count("*").alias("n")).filter("n > 1")
+        .select(F.col("_digest").alias("shared_digest"), "stored_id")
     )
+    revisits = large.join(shared, F.col("_digest") == F.col("shared_digest")).filter("stored_id is not null and not (_id <=> stored_id)")
+    revisits = revisits.select("_id", "_digest", "stored_id").distinct()
+    joined = rows.join(revisits, rows["page_id"].eqNullSafe(revisits["_id"]) & (rows["payload_digest"] == revisits["_digest"]), "left")
     return joined.select(
-        "page_id", "url", "payload", "payload_digest", "payload_bytes",
-        F.when(F.col("stored_id") != F.col("page_id"), F.col("stored_id")).alias("refers_to"),
+        "page_id", "url", F.when(F.col("stored_id").isNull(), F.col("payload")).alias("payload"), "payload_digest", "payload_bytes",
+        F.col("stored_id").alias("refers_to"),
     )
 
 
@@ -161,20 +160,23 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Write the rows of with_references as archives; path, n_records and n_bytes of each file."""
 
     def write(batches):
-        fs = None
+        out = None
         n = size = 0
-        for batch in batches:
-            for page_id, url, payload, digest, n_bytes, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if fs is None:
-                    fs, base = _file_system(folder)
-                    fs.create_dir(base, recursive=True)
-                    name = f"part-{uuid.uuid4().hex}.warc.gz"
-                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                data = page_record(page_id, url, payload if refers_to is None else b"", digest, n_bytes, refers_to)
-                out.write(data)
-                n, size = n + 1, size + len(data)
-        if fs is not None:
-            out.close()
+        try:
+            for batch in batches:
+                for page_id, url, payload, digest, n_bytes, refers_to in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if out is None:
+                        fs, base = _file_system(folder)
+                        fs.create_dir(base, recursive=True)
+                        name = f"part-{uuid.uuid4().hex}.warc.gz"
+                        out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                    data = page_record(page_id, url, payload if refers_to is None else b"", digest, n_bytes, refers_to)
+                    out.write(data)
+                    n, size = n + 1, size + len(data)
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
             import pyarrow as pa
 
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "n_records": [n], "n_bytes": [size]})
@@ -197,7 +199,7 @@ def read_archives(files: DataFrame) -> DataFrame:
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*ready, strict=True), types, strict=True)], names)
 
-        number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x else None
+        number = lambda x: int(n) if x and (n := x.removeprefix("<urn:page:").removesuffix(">")) else None
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, at = _file_system(path)
@@ -220,14 +222,25 @@ def read_archives(files: DataFrame) -> DataFrame:
     )
 
 
-def archive(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write the pages and return the list of files, which is kept: they are written once."""
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    return keep(write_archives(with_references(pages, id_col, url_col, payload_col), folder))
+def archive(
+    spark: SparkSession, pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
+) -> DataFrame:
+    """Write the pages to a folder (one of its own in the shared folder, if none is named) and return the list of
+    files, which is kept: they are written once."""
+    return keep(write_archives(with_references(pages, id_col, url_col, payload_col), folder or own_folder(spark)))
+
+
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
 
 
-def round_trip(spark: SparkSession, pages: DataFrame, **columns: str) -> DataFrame:
-    """Write the pages, then read every archive back; one file per task."""
-    files = archive(spark, pages, **columns)
-    n = max(1, files.count())
-    return read_archives(files.repartition(n, "path"))
+def round_trip(spark: SparkSession, pages: DataFrame, with_payload: bool = False, **columns: str) -> DataFrame:
+    """Write the pages, read every archive back, one file per task, and delete the archives: the records without their
+    payloads, unless these are asked for."""
+    folder = own_folder(spark)
+    files = archive(spark, pages, folder, **columns)
+    records = read_archives(files.repartition(max(1, files.count()), "path"))
+    try:
+        return keep(records if with_payload else records.drop("payload"))
+    finally:
+        delete(spark, folder)
