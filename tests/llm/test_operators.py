@@ -281,13 +281,63 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(empty_like(docs(spark, ["x"])), spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")).count() == 0
 
 
-def test_kneser_ney_shares_sum_to_one():
-    rng = np.random.default_rng(0)
-    tables = [rng.integers(0, 1 << 62, n, dtype=np.uint64) & rng.integers(0, 1 << 62, n, dtype=np.uint64) for n in toxicity.SIZES]
-    r = toxicity.ratios(tables)
-    n = toxicity.counts(tables[1])
-    left = 1 - (np.maximum(n - toxicity.DISCOUNT, 0) / n.sum()).sum()
-    assert abs(r.toxic.sum() + left - 1) < 1e-3 and abs(r.shared.sum() - 1) < 1e-3
+def brute_differences(texts, labels):
+    """The differences of all words, from the definition, with dictionaries."""
+    cut = lambda t: [w for w in re.split(toxicity.BETWEEN, (t or "").lower()) if w]
+    words = [cut(t) for t in texts]
+    train = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 4 in (0, 1)}
+    df, head_df = Counter(), Counter()
+    for ws in words:
+        df.update(set(ws))
+    for w, n in df.items():
+        head_df[w[:5]] += n
+    total, shares = sum(df.values()), {}
+    for c in (1, 0):
+        pairs = Counter((v, w) for i, ws in enumerate(words) if train.get(i) == c for v, w in zip([None, *ws], ws, strict=False))
+        follows, heads, context, used = Counter(), Counter(), Counter(), Counter()
+        for (v, w), n in pairs.items():
+            follows[w] += 1
+            heads[w[:5]] += 1
+            context[v] += n
+            used[v] += n - 0.75 if n > 1 else 0
+        many = max(len(pairs), 1)
+        cut_off = lambda n, many=many: max(n - 0.75, 0) / many
+        rest = 1 - sum(map(cut_off, follows.values()))
+        head_rest = 1 - sum(map(cut_off, heads.values()))
+
+        def share(v, w, pairs=pairs, follows=follows, heads=heads, context=context, used=used, cut_off=cut_off, rest=rest, head_rest=head_rest):
+            head = cut_off(heads[w[:5]]) + head_rest * head_df[w[:5]] / total
+            word = cut_off(follows[w]) + rest * head * df[w] / head_df[w[:5]]
+            n = pairs[v, w]
+            pair = word if not context[v] else (n - 0.75 if n > 1 else 0) / context[v] + (1 - used[v] / context[v]) * word
+            return np.array([pair, word])
+
+        shares[c] = share
+    return [[np.log(shares[1](v, w) / shares[0](v, w)) for v, w in zip([None, *ws], ws, strict=False)] for ws in words]
+
+
+def test_differences_match_brute_force(spark):
+    rng = random.Random(17)
+    texts = [" ".join(f"{rng.choice('abc')}word{int(rng.paretovariate(0.8)) % 60}" + rng.choice(("", "", ",", "!")) for _ in range(rng.randint(0, 40))) for _ in range(120)]
+    texts[5], texts[6] = None, "unseen heads, unseen words"
+    labels = {i: int(i % 3 == 0) for i in range(100)}
+    out = toxicity.toxicity(docs(spark, texts), spark.createDataFrame(list(labels.items()), "doc_id bigint, toxic int")).collect()
+    want = [toxicity.normalised(d[:, 0]) + toxicity.normalised(d[:, 1]) for d in (np.array(x).reshape(-1, 2) for x in brute_differences(texts, labels))]
+    assert len(out) == 120 and all(np.allclose([r[f] for f in toxicity.FEATURES], want[r["doc_id"]], atol=1e-4) for r in out)
+
+
+def test_kneser_ney_shares_sum_to_one(spark):
+    rows = [(i, " ".join(random.Random(i).choices(["aa", "bb", "cc", "dd", "ddddddx", "ddddddy"], k=12))) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = toxicity.pair_counts(d, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, toxic int"), "doc_id", "text")
+    hashed = toxicity._hashed(d, "doc_id", "text")
+    m = toxicity.fitted(pairs, toxicity.shared_counts(hashed))
+    w = np.array(sorted({w for r in hashed.collect() for w in r["words"]}), np.int64).view(np.uint64)
+    h = w >> np.uint64(32)
+    for v in [np.uint64(0), *w]:
+        at = np.full(len(w), v)
+        p = m.pairs.of(toxicity.pair_key(at, w)) + m.contexts.of(at) * (m.words.of(w)[:, :2] + m.heads.of(h) * m.words.of(w)[:, 2:])
+        assert np.allclose(p.sum(0), 1, atol=1e-3)
 
 
 # N-gram join.

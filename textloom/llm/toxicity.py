@@ -1,22 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Both classes, toxic and ordinary, have a model of words: the absolutely discounted continuation count of the word
-(how many different words it follows in the class), then the continuation count of its first characters in the
-class, which covers rare and unseen expressions, then the continuation counts of all documents, labelled or not,
-which both classes share. A document is compared by the difference of the two log-likelihoods, normalised by length:
-over the whole text and over its most toxic stretches of fixed lengths. A logistic curve, fitted to labelled rows
-that the models have not seen, turns the normalised differences into a score.
+Both classes, toxic and ordinary, have an interpolated model of a word after the word before it:
 
-Continuation counts are kept in tables of fixed size: a word hashes to a row of 64 bits, the word before it to one
-bit, and the number of bits set gives the count (linear counting). Copies of a document set no new bits. The tables
-are combined by Spark and are all that the executors are sent.
+- the absolutely discounted count of the pair (a pair seen once is discounted whole, others by DISCOUNT);
+- what is left goes to the word's continuation share in the class: how many different words it follows there, again
+  discounted;
+- what is left there goes to the share of the word's head (its first HEAD characters) in the class, within the head by
+  the shared counts; and what the head leaves, to the shared counts alone: in how many documents of the whole corpus,
+  labelled or not, each word occurs. Both classes back off to the same counts.
+
+A document is compared by the difference of the two log-likelihoods, normalised by length: over the whole text and over
+its most toxic stretches of fixed lengths, each with the pairs and by continuation shares alone. A logistic curve, fitted to labelled rows that the models have not seen,
+turns the normalised differences into a score.
+
+All counts are exact. The class models are fitted on at most LABELLED rows, which bounds what executors are sent: pairs
+seen twice, words and heads of those rows. The shared counts cover all documents and grow with them; of them, the words
+that a class has seen are joined in. For a word that neither class has seen the shared share cancels.
 
 Labels: of the rows that may be learned from, half the folds fit the models (at most LABELLED rows) and one the
 curve (at most CALIBRATION rows). Labels, language, source and id are never inputs of a score.
 
 Defined results: a null or empty text has no words and scores as a neutral one; a null label is none; of repeated
-ids in the labels the largest counts; repeated documents are scored each by itself; without labels of both classes
-every score is the share of toxic labels (0 without any); empty tables give empty results; other columns are ignored.
+ids in the labels the largest counts; repeated documents are scored, and learned from, each by itself; without labels of
+both classes every score is the share of toxic labels (0 without any); empty tables give empty results; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,29 +35,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, words
+from .common import keep
 from .hashing import lists, mixed
 
-WORD_ROWS, HEAD_ROWS = 1 << 20, 1 << 18
 HEAD = 5
 DISCOUNT = 0.75
 STRETCHES = (1, 5, 25)
-LABELLED, CALIBRATION = 200_000, 50_000
+LABELLED, CALIBRATION = 20_000, 50_000
 HELD_OUT, CURVE = 2, 3
-#: Tables of bits, in order: words of all, toxic and ordinary documents, then heads of words.
-TABLES = ("word_all", "word_toxic", "word_ordinary", "head_all", "head_toxic", "head_ordinary")
-SIZES = (WORD_ROWS,) * 3 + (HEAD_ROWS,) * 3
-FIRSTS = np.concatenate(([0], np.cumsum(SIZES)))
+#: Documents of an Arrow batch that are scored at once.
+SLICE = 500
+#: What separates words: white space and punctuation.
+BETWEEN = r"[\s.,;:!?\"'()\[\]{}|*#$%&<>=+/\\]+"
+
+
+class Table(NamedTuple):
+    """Rows of values by sorted keys; the last row is for keys that are not there."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.broadcast_to(self.values[-1], (len(keys), self.values.shape[1]))
+        u, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, u), len(self.keys) - 1)
+        return self.values[np.where(self.keys[at] == u, at, len(self.keys))[back]]
+
+
+def table(keys: np.ndarray, values: np.ndarray, absent: tuple) -> Table:
+    order = np.argsort(keys)
+    return Table(keys[order], np.vstack([values[order].reshape(len(order), len(absent)), absent]).astype(np.float32))
 
 
-class Ratios(NamedTuple):
-    """What a word's difference needs: discounted class shares and the shared share by word, backoff by head."""
+class Models(NamedTuple):
+    """For both classes, toxic first: pairs: discounted shares; contexts: what they leave; words: discounted
+    continuation shares and the shared share; heads: what words leave times the head's share over the shared one."""
 
-    toxic: np.ndarray
-    ordinary: np.ndarray
-    shared: np.ndarray
-    toxic_head: np.ndarray
-    ordinary_head: np.ndarray
+    pairs: Table
+    contexts: Table
+    words: Table
+    heads: Table
 
 
 def fold(doc_id: Column) -> Column:
@@ -58,13 +83,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, hashes of the lower-case words without punctuation at hand, and of their heads."""
-    marks = ".,;:!?\"'()[]{}|*#$%&<>=+/\\"
-    w = words(F.translate(F.lower(F.coalesce(docs[text_col], F.lit(""))), marks, " " * len(marks)))
-    rows = docs.select(docs[id_col].alias("doc_id"), w.alias("w"))
-    return rows.select(
-        "doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("words"), F.transform("w", lambda x: F.xxhash64(F.substring(x, 1, HEAD))).alias("heads")
-    )
+    """doc_id, and the lower-case words without the punctuation between: 32 bits of the head's hash, then of the word's."""
+    rows = docs.select(docs[id_col].alias("doc_id"), F.array_remove(F.split(F.lower(F.coalesce(docs[text_col], F.lit(""))), BETWEEN), "").alias("w"))
+    low = F.lit(0xFFFFFFFF).cast("bigint")
+    word = lambda x: F.shiftleft(F.xxhash64(F.substring(x, 1, HEAD)), 32).bitwiseOR(F.xxhash64(x).bitwiseAND(low))
+    return rows.select("doc_id", F.transform("w", word).alias("words"))
 
 
 def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -78,67 +101,77 @@ def _bounded(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def continuation_bits(hashed: DataFrame, training: DataFrame) -> list[np.ndarray]:
-    """The tables of bits over all documents (training: doc_id, toxic)."""
-    rows = training.toArrow().sort_by("doc_id")
-    sent = hashed.sparkSession.sparkContext.broadcast((rows["doc_id"].to_numpy(), rows["toxic"].to_numpy()))
-
-    def bits(batches):
-        ids, toxic = sent.value
-        table = np.zeros(FIRSTS[-1], np.uint64)
-        for batch in batches:
-            for doc_id, w, h in zip(batch.column(0).to_pylist(), lists(batch, 1), lists(batch, 2), strict=True):
-                before = np.concatenate((np.zeros(1, np.uint64), w[:-1]))[: len(w)]
-                bit = np.uint64(1) << (mixed(before) & np.uint64(63))
-                head_bit = np.uint64(1) << (mixed(before ^ w) & np.uint64(63))
-                row, head = (w & np.uint64(WORD_ROWS - 1)).astype(np.int64), (h & np.uint64(HEAD_ROWS - 1)).astype(np.int64)
-                kinds = [0]
-                k = np.searchsorted(ids, doc_id) if doc_id is not None else len(ids)
-                if k < len(ids) and ids[k] == doc_id:
-                    kinds.append(1 if toxic[k] == 1 else 2)
-                for kind in kinds:
-                    np.bitwise_or.at(table, FIRSTS[kind] + row, bit)
-                    np.bitwise_or.at(table, FIRSTS[3 + kind] + head, head_bit)
-        at = np.flatnonzero(table)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_pydict({"at": part.astype(np.int32), "bits": table[part].view(np.int64)})
-
-    found = hashed.mapInArrow(bits, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FIRSTS[-1], np.uint64)
-    table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return [table[a:b] for a, b in zip(FIRSTS, FIRSTS[1:], strict=False)]
-
-
-def counts(bits: np.ndarray) -> np.ndarray:
-    """Linear counting; a full row counts as one bit short of half."""
-    n = np.bitwise_count(bits).astype(np.float64)
-    return -64 * np.log1p(-np.minimum(n, 63.5) / 64)
-
-
-def ratios(tables: list[np.ndarray]) -> Ratios:
-    """Kneser-Ney parts of both classes. The share of a head within a class stands relative to its share in all
-    documents, so that it rescales the shared share of each of its words."""
-    n = [counts(t) for t in tables]
-    shared = (n[0] + 0.5) / (n[0] + 0.5).sum()
-    head_shared = (n[3] + 0.5) / (n[3] + 0.5).sum()
-    parts = []
-    for k in (1, 2):
-        word, head = n[k], n[3 + k]
-        total, head_total = max(word.sum(), 1.0), max(head.sum(), 1.0)
-        discounted = np.maximum(word - DISCOUNT, 0) / total
-        left = 1 - discounted.sum()
-        head_discounted = np.maximum(head - DISCOUNT, 0) / head_total
-        head_share = head_discounted + (1 - head_discounted.sum()) * head_shared
-        parts += [discounted, left * head_share / head_shared]
-    return Ratios(*(x.astype(np.float32) for x in (parts[0], parts[2], shared, parts[1], parts[3])))
-
-
-def differences(w: np.ndarray, h: np.ndarray, r: Ratios) -> np.ndarray:
-    """Log-likelihood of each word as toxic less as ordinary."""
-    row, head = (w & np.uint64(WORD_ROWS - 1)).astype(np.int64), (h & np.uint64(HEAD_ROWS - 1)).astype(np.int64)
-    s = r.shared[row].astype(np.float64)
-    return np.log(r.toxic[row] + r.toxic_head[head] * s) - np.log(r.ordinary[row] + r.ordinary_head[head] * s)
+def pair_counts(docs: DataFrame, training: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """v, w (word before, word), toxic and ordinary: how often the pair comes in either class. The first word of a text
+    follows 0."""
+    # At most LABELLED rows of an id and a label.
+    some = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(training), "doc_id")
+    toxic = some.select("doc_id", "toxic").distinct()
+    rows = _hashed(some, "doc_id", "text").join(F.broadcast(toxic), "doc_id").filter(F.size("words") > 0)
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice("words", 1, F.size("words") - 1))
+    pairs = rows.select("toxic", F.explode(F.arrays_zip(before.alias("v"), F.col("words").alias("w"))).alias("p"))
+    one = F.col("toxic") == 1
+    return pairs.groupBy("p.v", "p.w").agg(F.count_if(one).alias("toxic"), F.count_if(~one).alias("ordinary"))
+
+
+def shared_counts(hashed: DataFrame) -> DataFrame:
+    """w and df, the number of documents that hold the word, over all documents."""
+    return hashed.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+
+def head_of(word: Column) -> Column:
+    return F.shiftrightunsigned(word, 32)
+
+
+CLASSES = ("toxic", "ordinary")
+
+
+def fitted(pairs: DataFrame, shared: DataFrame) -> Models:
+    """The models' tables, from pair_counts and shared_counts."""
+    # Words and heads that a class has seen, with their different words before them.
+    seen = pairs.groupBy("w").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in CLASSES])
+    words = seen.join(shared, "w", "left").select("w", *CLASSES, F.coalesce("df", F.lit(1)).alias("df")).toArrow()
+    total = float(shared.agg(F.sum("df")).first()[0] or 1)
+    head = head_of(F.col("w")).alias("h")
+    heads = seen.groupBy(head).agg(*[F.sum(c).alias(c) for c in CLASSES]).join(shared.groupBy(head).agg(F.sum("df").alias("df")), "h", "left")
+    heads = heads.select("h", *CLASSES, F.coalesce("df", F.lit(1)).alias("df")).toArrow()
+    less = lambda c: F.when(F.col(c) > 1, F.col(c) - DISCOUNT).otherwise(F.lit(0.0))
+    contexts = pairs.groupBy("v").agg(*[F.sum(c).alias(f"n_{c}") for c in CLASSES], *[F.sum(less(c)).alias(c) for c in CLASSES])
+    left = keep(contexts.select("v", *[f"n_{c}" for c in CLASSES], *CLASSES).filter("toxic > 0 or ordinary > 0"))
+    often = pairs.filter("toxic > 1 or ordinary > 1").join(left.select("v", *[f"n_{c}" for c in CLASSES]), "v")
+    share = lambda c: F.when(F.col(f"n_{c}") > 0, less(c) / F.col(f"n_{c}")).otherwise(F.lit(0.0)).alias(c)
+    often = often.select("v", "w", *map(share, CLASSES)).toArrow()
+    left = left.select("v", *[F.when(F.col(f"n_{c}") > 0, 1 - F.col(c) / F.col(f"n_{c}")).otherwise(F.lit(1.0)).alias(c) for c in CLASSES]).toArrow()
+    column = lambda t, c: t[c].to_numpy().astype(np.float64)
+    key = lambda t, c: t[c].to_numpy().view(np.uint64)
+    word_shares, head_ratios, absent = [], [], []
+    for c in CLASSES:
+        n, m = column(words, c), column(heads, c)
+        all_pairs = max(n.sum(), 1.0)
+        discounted, head_discounted = np.maximum(n - DISCOUNT, 0) / all_pairs, np.maximum(m - DISCOUNT, 0) / all_pairs
+        rest, head_rest = 1 - discounted.sum(), 1 - head_discounted.sum()
+        word_shares.append(discounted)
+        head_ratios.append(rest * (head_discounted / (column(heads, "df") / total) + head_rest))
+        absent.append(rest * head_rest)
+    return Models(
+        table(pair_key(key(often, "v"), key(often, "w")), np.column_stack([column(often, c) for c in CLASSES]), (0.0, 0.0)),
+        table(key(left, "v"), np.column_stack([column(left, c) for c in CLASSES]), (1.0, 1.0)),
+        table(key(words, "w"), np.column_stack([*word_shares, column(words, "df") / total]), (0.0, 0.0, 1.0)),
+        table(key(heads, "h"), np.column_stack(head_ratios), tuple(absent)),
+    )
+
+
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(mixed(v, 1) + w)
+
+
+def differences(v: np.ndarray, w: np.ndarray, m: Models) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of each word as toxic, less as ordinary: after the word before it, and by its continuation share
+    alone, which copies of a text don't raise."""
+    pairs, left, words, heads = (t.astype(np.float64) for t in (m.pairs.of(pair_key(v, w)), m.contexts.of(v), m.words.of(w), m.heads.of(w >> np.uint64(32))))
+    share = words[:, :2] + heads * words[:, 2:]
+    p = pairs + left * share
+    return np.log(p[:, 0]) - np.log(p[:, 1]), np.log(share[:, 0]) - np.log(share[:, 1])
 
 
 def normalised(d: np.ndarray) -> list[float]:
@@ -153,31 +186,44 @@ def normalised(d: np.ndarray) -> list[float]:
     return out
 
 
-FEATURES = ["whole", *(f"stretch_{n}" for n in STRETCHES)]
+FEATURES = [f"{kind}_{x}" for kind in ("pair", "word") for x in ("whole", *(f"stretch_{n}" for n in STRETCHES))]
 
 
-def _features(hashed: DataFrame, r: Ratios) -> DataFrame:
-    sent = hashed.sparkSession.sparkContext.broadcast(r)
+def _features(hashed: DataFrame, models: Models) -> DataFrame:
+    sent = hashed.sparkSession.sparkContext.broadcast(models)
 
     def rows(batches):
-        for batch in batches:
-            found = [normalised(differences(w, h, sent.value)) for w, h in zip(lists(batch, 1), lists(batch, 2), strict=True)]
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            w = np.concatenate([*lists(batch, 1), np.zeros(0, np.uint64)])
+            ends = np.cumsum([0, *map(len, lists(batch, 1))])
+            v = np.concatenate((np.zeros(1, np.uint64), w[:-1]))[: len(w)]
+            v[ends[:-1][np.diff(ends) > 0]] = 0
+            by_pair, by_word = differences(v, w, sent.value)
+            found = [normalised(by_pair[a:b]) + normalised(by_word[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             columns = np.array(found, float).reshape(-1, len(FEATURES)).T
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in columns)], ["doc_id", *FEATURES])
 
     return hashed.mapInArrow(rows, "doc_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
-    """Weights and, last, the constant, by Newton steps on standardised columns."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
+    """Weights and, last, the constant, by Newton steps on standardised columns; a step that does not lower the loss is
+    halved."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = np.column_stack(((x - mean) / scale, np.ones(len(x))))
-    b = np.zeros(a.shape[1])
+    pull = np.append(np.full(x.shape[1], ridge), 1e-6)
+
+    def loss(b):
+        z = a @ b
+        return (np.logaddexp(0, z) - y * z).sum() + (pull * b * b).sum() / 2
+
+    b, now = np.zeros(a.shape[1]), np.inf
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        grad = a.T @ (p - y) + ridge * b
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + ridge * np.eye(len(b)), grad)
-        b -= np.clip(step, -3, 3)
+        now, p = loss(b), 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-12)[:, None]) + np.diag(pull), a.T @ (p - y) + pull * b)
+        while loss(b - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        b = b - step
         if np.abs(step).max() < 1e-8:
             break
     w = b[:-1] / scale
@@ -188,8 +234,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     """doc_id, held_out, score, predicted and the normalised differences, for every document."""
     hashed = _hashed(docs, id_col, text_col)
     learn = keep(labelled(labels))
-    tables = continuation_bits(hashed, _bounded(learn.filter(F.col("fold") != CURVE), LABELLED).select("doc_id", "toxic"))
-    features = keep(_features(hashed, ratios(tables)))
+    training = keep(_bounded(learn.filter(F.col("fold") != CURVE), LABELLED).select("doc_id", "toxic"))
+    pairs = keep(pair_counts(docs, training, id_col, text_col))
+    features = keep(_features(hashed, fitted(pairs, keep(shared_counts(hashed)))))
     curve = _bounded(learn.filter(F.col("fold") == CURVE), CALIBRATION).join(features, "doc_id").select("toxic", *FEATURES).toArrow()
     y = curve["toxic"].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
