@@ -67,7 +67,7 @@ def normalize_number(x: Column) -> Column:
 
 def log_line(event: Column, fields: dict[str, Column]) -> Column:
     """event=… k=v, line breaks escaped, nulls left out."""
-    pairs = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), F.regexp_replace(v.cast("string"), "\n", r"\\\\n"))) for k, v in fields.items()]
+    pairs = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}="), F.regexp_replace(v.cast("string"), "\n", r"\\n"))) for k, v in fields.items()]
     return F.concat_ws(" ", F.concat(F.lit("event="), event), *pairs)
 
 

@@ -296,3 +296,17 @@ def no_repeated_sentences(text: Column) -> Column:
         F.array(s), lambda a: F.filter(a, lambda x, i: (i == 0) | (key(x) != key(F.coalesce(F.get(a, i - 1), F.lit("")))))
     )
     return F.array_join(F.get(kept, 0), " ")
+
+
+def clean_chunk_text(text: Column) -> Column:
+    """A chunk without page numbers, forms, broken links, download rows, running headers and lines of low value."""
+    block, tag = "form|script|style|input|div|a", "form|script|style|div|a"
+    t = F.replace(trimmed(text), F.lit("\ufffd"), F.lit("."))
+    for pattern, stand_in in (
+        (r"^\d{1,3}\n", ""), (rf"(?is)<(?:{block})\b[^>]*>.*?</(?:{tag})>", " "), (rf"(?is)<(?:{block})\b[^>]*>", " "), (r"(?md)^.*?/https?:/.*$", ""),
+        (r"(?mdi)^.*\bDownload\b.*\|\s*\bDownload\b.*$", ""), (r"(?md)^.*(?:\(data\).*){2,}$", ""), (r"\s*\(data\)\s*", " "), (r"(?md)^[A-Z][A-Z\s]{7,59}$", ""),
+        (r"(?md)^[A-Z][A-Z\s]{7,59}\s+\d+\s+", ""),
+    ):
+        t = F.regexp_replace(t, pattern, stand_in)
+    lines = F.filter(F.transform(F.split(t, "\n", -1), trimmed), lambda x: (x == "") | ~is_low_value_line(x))
+    return trimmed(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))

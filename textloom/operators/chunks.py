@@ -99,25 +99,94 @@ def islands(lines: DataFrame) -> DataFrame:
     return t.withColumn("run", own).groupBy("doc_id", "is_table", "run").agg(F.min("pos").alias("first"), F.count("*").alias("n")).drop("run")
 
 
+SAID_END = re.compile(r"[.!?:;。！？)]$")
+STARTS = re.compile(r"^(?:[-*]\s+|\d+[.)]\s+)")
+GOES_ON = re.compile(r"^[a-zа-яәғқңөұүһі,;)]")
+WORD_MARK = re.compile(rf"[^{X.LETTERS}]")
+NUMBERED = re.compile(rf"^(?:(?i:PART|Schedule|Chapter)\s+\d+|\d+(?:\.\d+)*\.?\s+[{X.CAPITALS}])")
+
+
+def _is_heading(line: str) -> bool:
+    """As functions.text.is_heading, for one line."""
+    t = re.sub(r"\s+", " ", re.sub(r"^#{1,6}\s+", "", re.sub(r"^\[H[1-6]\]\s*", "", line.strip()))).strip(" -")
+    w = t.split()
+    half = len(w) // 2
+    if len(w) >= 2 and len(w) % 2 == 0 and [x.lower() for x in w[:half]] == [x.lower() for x in w[half:]]:
+        t = " ".join(w[:half])
+    letters = WORD_MARK.sub("", t)
+    return bool(t) and len(t) <= 140 and (bool(NUMBERED.match(t)) or (len(letters) >= 4 and letters.upper() == letters))
+
+
+def _joint(last: str, line: str) -> str | None:
+    """What joins a line to the one before: nothing, a blank, or None where it stands by itself."""
+    if any(x.startswith(("|", "[H")) for x in (last, line)):
+        return None
+    if line[0] in ",.;:!?)":
+        return ""
+    if STARTS.match(line) or _is_heading(last) or _is_heading(line) or SAID_END.search(last):
+        return None
+    return " " if GOES_ON.match(line) or (len(last) < 95 and len(line) < 95) else None
+
+
+def _repair(lines) -> list[str]:
+    out: list[str] = []
+    held: list[str] = []  # pieces of the last line
+    length = 0
+    for line in (x.strip() for x in lines):
+        last = "".join(held) if length < 4000 else held[0] + held[-1]  # of a very long line both ends tell
+        joint = _joint(last, line) if held and line else None
+        if joint is not None:
+            held.append(joint + line)
+            length += len(joint) + len(line)
+            continue
+        if held:
+            out.append("".join(held))
+        if not line and out and out[-1] != "":
+            out.append("")
+        held, length = ([line], len(line)) if line else ([], 0)
+    if held:
+        out.append("".join(held))
+    while out and not out[-1]:
+        out.pop()
+    return out
+
+
 def repaired(lines: Column) -> Column:
-    """Wrapped lines joined again: a fold, as a line is compared with what the one before has become."""
-    bullet, closed = r"^(?:[-*]\s+|\d+[.)]\s+)", r"[.!?:;。！？)]$"
-
-    def step(out: Column, line: Column) -> Column:
-        last = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
-        stay = (
-            last.startswith("|") | line.startswith("|") | last.startswith("[H") | line.startswith("[H") | line.rlike(bullet)
-            | X.is_heading(last) | X.is_heading(line) | last.rlike(closed)
-        )
-        grown = lambda joint: F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(last, F.lit(joint), line)))
-        table = last.startswith("|") | line.startswith("|") | last.startswith("[H") | line.startswith("[H")
-        return (
-            F.when(line == "", F.when(last == "", out).otherwise(F.concat(out, F.array(F.lit("")))))
-            .when(last == "", F.concat(out, F.array(line)))
-            .when(~table & line.rlike(r"^[,.;:!?)]"), grown(""))
-            .when(stay, F.concat(out, F.array(line)))
-            .when(line.rlike(r"^[a-zа-яәғқңөұүһі,;)]") | ((F.length(last) < 95) & (F.length(line) < 95)), grown(" "))
-            .otherwise(F.concat(out, F.array(line)))
-        )
-
-    return F.aggregate(F.transform(lines, X.trimmed), F.array().cast("array<string>"), step)
+    """Wrapped lines joined again: a fold, as a line is compared with what the one before has become. Blank lines stay
+    single, and none at the end."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def repair(s: pd.Series) -> pd.Series:
+        return s.map(lambda l: None if l is None else _repair(l))
+
+    return repair(lines)
+
+
+MARKER = re.compile(r"(?:\d+(?:\.\d+)+\.?|\([a-z]\))", re.IGNORECASE)
+
+
+def merged_markers(lines: Column) -> Column:
+    """A line that is a section's number alone, joined to the next one (unless that is blank or a table)."""
+
+    def merge(lines) -> list[str]:
+        out, waiting = [], None
+        for line in lines:
+            if waiting is not None:
+                text = line.strip()
+                if text and not text.startswith("|"):
+                    out.append(f"{waiting.strip().rstrip('.')} {text}")
+                    waiting = None
+                    continue
+                out.append(waiting)
+                waiting = None
+            if MARKER.fullmatch(line.strip()):
+                waiting = line
+            else:
+                out.append(line)
+        return out if waiting is None else [*out, waiting]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda l: None if l is None else merge(l))
+
+    return run(lines)

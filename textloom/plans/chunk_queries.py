@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.functions import numbers, text as T
+from textloom.functions import numbers
 from textloom.operators import chunks
 
 from .inputs import LINES_SQL, lines, table, values
@@ -24,8 +24,7 @@ for _lang in ("en", "ru", "kk", "zh"):
     _own = values(tuple(x for x in NUMBERS if _lang != "zh" or not x.startswith("-")))
     ORACLES[f"spell_{_lang}"] = f"SELECT x, {numbers.spelled(_lang, 'x', numbers.DUCKDB)} AS words FROM (SELECT n_chars AS x FROM documents UNION SELECT x::BIGINT FROM {_own})"
 
-for _strategy in ("faq", "policy", "report", "web"):
-    QUERIES["split_paragraphs" if _strategy == "faq" else f"chunk_{_strategy}"] = lambda spark, sf_dir, s=_strategy: chunks.chunks(table(spark, sf_dir, "documents"), s)
+QUERIES["split_paragraphs"] = lambda spark, sf_dir: chunks.chunks(table(spark, sf_dir, "documents"), "faq")
 QUERIES["chunk_single"] = lambda spark, sf_dir: chunks.chunks(table(spark, sf_dir, "documents"), "single").withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 ORACLES["chunk_single"] = "SELECT doc_id AS id, 0::BIGINT AS chunk_index, text, greatest(1, length(text) // 4) AS token_estimate FROM documents WHERE trim(text) <> ''"
 QUERIES["policy_sections"] = lambda spark, sf_dir: chunks.sections(lines(spark, sf_dir)).groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
@@ -37,6 +36,3 @@ ORACLES["report_islands"] = f"""WITH {LINES_SQL}, r AS (SELECT doc_id, pos, cont
 QUERIES["repair_line_wraps"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select(
     "doc_id", F.array_join(chunks.repaired(F.split("text", "\n", -1)), "\n").alias("text")
 )
-QUERIES["sink_block_format"] = lambda spark, sf_dir: table(spark, sf_dir, "pages").select(
-    "page_id", F.concat_ws("\n", F.lit("=" * 80), F.concat(F.lit("URL: "), T.canonical_url(F.col("url"))), F.concat(F.lit("SITE: "), T.site_label(F.lit(""), F.col("url"))), F.lit("=" * 80)).alias("header")
-).withColumn("n", F.length("header").cast("bigint")).select("page_id", "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import payload as P
@@ -70,16 +71,15 @@ over("json_has_key", PAYLOADS, lambda x: F.get_json_object(x, "$.answer").isNotN
      f"coalesce(json_exists({_js}, '$.answer'), false)", _events)
 _tag = lambda n: trim(f"regexp_extract(x, '(?is)\\[\\[{n}\\]\\](.*?)\\[\\[/{n}\\]\\]', 1)")
 over("tagged_blocks", LINES, lambda x: F.concat_ws("|", P.tag(x, "spoken"), P.tag(x, "details")), f"concat_ws('|', {_tag('spoken')}, {_tag('details')})", _docs)
-over("wrap_tags", LINES, lambda x: P.wrap_tags(F.left(x, F.lit(40)), F.substring(x, 41, 40)),
-     f"""concat('[[spoken]]', {trim('left(x, 40)')}, '[[/spoken]][[details]]', CASE WHEN {trim('x[41:80]')} <> '' THEN {trim('x[41:80]')} ELSE {trim('left(x, 40)')} END, '[[/details]]')""", _turns)
+_first_line, _rest = trim("split_part(x, chr(10), 1)"), trim("regexp_replace(x, '^[^\\n]*\\n?', '')")
+over("wrap_tags", LINES + ("one\ntwo\nthree", "\nx"), lambda x: P.wrap_tags(F.substring_index(x, "\n", 1), F.regexp_replace(x, r"^[^\n]*\n?", "")),
+     f"""concat('[[spoken]]', {_first_line}, '[[/spoken]][[details]]', CASE WHEN {_rest} <> '' THEN {_rest} ELSE {_first_line} END, '[[/details]]')""", _turns)
 over("normalize_number_token", NUMBERS, P.normalize_number,
      "CASE WHEN regexp_matches(x, '^[+-]?\\d{1,3}(,\\d{3})+(\\.\\d+)?$') THEN replace(x, ',', '') ELSE replace(x, ',', '.') END")
 over("trim_spoken", LINES, lambda x: P.word_cap(x, 28), f"array_to_string(regexp_split_to_array({trim('x')}, '\\s+')[1:28], ' ')", _docs)
 over("key_points", LINES, lambda x: F.array_join(F.transform(F.slice(T.sentences(x), 1, 4), lambda s: F.left(s, F.lit(180))), "¦"),
      f"array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(x, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {trim('s')}), lambda s: s <> '')[1:4], lambda s: left(s, 180)), '¦')", _docs)
 over("content_signature", LINES, lambda x: F.sha2(F.concat_ws("|", F.lit("text"), x), 256), "sha256(concat_ws('|', 'text', x))", _docs)
-over("speakable_flags", LINES, lambda x: F.concat_ws(",", x.rlike(r"[A-Za-zА-Яа-я一-鿿]").cast("string"), x.rlike(r"[0-9]").cast("string"), x.rlike(r"https?://|[#*|]").cast("string")),
-     "concat_ws(',', regexp_matches(x, '[A-Za-zА-Яа-я一-鿿]')::VARCHAR, regexp_matches(x, '[0-9]')::VARCHAR, regexp_matches(x, 'https?://|[#*|]')::VARCHAR)", _docs)
 over("plan_route", LINES, lambda x: F.when(F.lower(T.trimmed(x)).isin("hi", "hello", "thanks", "bye"), "chitchat").when(F.length(T.trimmed(x)) < 3, "direct").otherwise("rag"),
      f"CASE WHEN {_t} IN ('hi', 'hello', 'thanks', 'bye') THEN 'chitchat' WHEN length({trim('x')}) < 3 THEN 'direct' ELSE 'rag' END", _turns)
 over("filter_token_confidence", CONFIDENCES, lambda x: F.coalesce(T.trimmed(x).try_cast("double") >= 0.3, F.lit(True)), f"coalesce(try_cast({trim('x')} AS DOUBLE) >= 0.3, true)")
@@ -110,33 +110,40 @@ QUERIES["memory_text"] = lambda spark, sf_dir: table(spark, sf_dir, "conversatio
 ).select("conv_id", F.concat(F.lit("questions: "), F.col("n"), F.lit("; last: "), F.left("last_question", F.lit(500))).alias("memory"))
 ORACLES["memory_text"] = """SELECT conv_id, concat('questions: ', count(*), '; last: ', left(arg_max(text, turn), 500)) AS memory FROM conversations WHERE role = 'user' GROUP BY conv_id"""
 QUERIES["format_context"] = lambda spark, sf_dir: table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t")).select(
-    "conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), x["role"], F.lit(": "), F.left(x["text"], F.lit(80)))), "\n").alias("context")
-)
-ORACLES["format_context"] = """SELECT conv_id, string_agg(concat('[', turn, '] ', role, ': ', left(text, 80)), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id"""
-QUERIES["budget_prefix"] = lambda spark, sf_dir: table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t")).select(
-    "conv_id",
-    F.aggregate("t", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n")), lambda a, x: F.struct((a["sum"] + x["n"]).alias("sum"), (a["n"] + (a["sum"] + x["n"] <= 400).cast("int")).alias("n")))["n"].cast("bigint").alias("n_turns"),
+    "conv_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), x["role"], F.lit(": "), x["text"])), "\n").alias("context")
 )
+ORACLES["format_context"] = """SELECT conv_id, string_agg(concat('[', turn, '] ', role, ': ', text), chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id"""
+QUERIES["budget_prefix"] = lambda spark, sf_dir: table(spark, sf_dir, "conversations").withColumn(
+    "s", F.sum(F.length("text")).over(W.partitionBy("conv_id").orderBy("turn"))
+).groupBy("conv_id").agg(F.count_if(F.col("s") <= 400).alias("n_turns"))
 ORACLES["budget_prefix"] = """SELECT conv_id, count(CASE WHEN s <= 400 THEN 1 END) AS n_turns FROM (SELECT conv_id, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM conversations) GROUP BY conv_id"""
 
 
 def accepted_after(gap: float) -> Callable[[Column], Column]:
-    """Times (sorted) that lie `gap` or more after the last accepted one: a fold, as a refused one moves no clock."""
-    start = lambda: F.array().cast("array<double>")
-    return lambda times: F.aggregate(
-        times, start(), lambda a, t: F.when((F.size(a) == 0) | (t - F.try_element_at(a, F.lit(-1)) >= gap), F.concat(a, F.array(t))).otherwise(a)
-    )
+    """How many of the times (sorted) lie `gap` or more after the last accepted one: a fold, as a refused one moves no
+    clock."""
+    start = lambda: F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).cast("bigint").alias("n"))
+    step = lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= gap), F.struct(t.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
+    return lambda times: F.aggregate(times, start(), step)["n"]
+
+
+GAP = 1.5
+TIMES = (0.0, 1.0, 1.5, 1.6, 2.9, 3.1, 4.5, 10.0, 10.0, 11.4, 11.6)
 
 
 def _suppress(spark, sf_dir):
+    """Accepted events by user and type. One that comes GAP or more after the one before it is always accepted, so the
+    fold runs over each such run by itself, and a busy user is many small groups."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return e.groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list("t")).alias("t")).select(
-        "user_id", "event_type", F.size(accepted_after(86400.0)(F.col("t"))).cast("bigint").alias("accepted")
-    )
+    e = e.union(spark.createDataFrame([(-1, "own", t) for t in TIMES], "user_id bigint, event_type string, t double"))
+    own = W.partitionBy("user_id", "event_type").orderBy("t")
+    e = e.withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(own) >= GAP, F.lit(True)).cast("bigint"))
+    runs = e.withColumn("run", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, W.currentRow))).groupBy("user_id", "event_type", "run").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return runs.groupBy("user_id", "event_type").agg(F.sum(accepted_after(GAP)(F.col("t"))).alias("accepted"))
 
 
 QUERIES["dup_suppress_1500ms"] = _suppress
-ORACLES["dup_suppress_1500ms"] = """WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) / 1e6 AS t FROM events),
+ORACLES["dup_suppress_1500ms"] = f"""WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_us(ts) / 1e6 AS t FROM events UNION ALL SELECT -1, 'own', unnest({list(TIMES)}::DOUBLE[])),
   a AS (SELECT user_id, event_type, min(t) AS t FROM e GROUP BY ALL UNION ALL
-    SELECT user_id, event_type, t FROM (SELECT a.user_id, a.event_type, min(e.t) AS t FROM a JOIN e ON e.user_id = a.user_id AND e.event_type = a.event_type AND e.t - a.t >= 86400 GROUP BY a.user_id, a.event_type, a.t))
+    SELECT user_id, event_type, t FROM (SELECT a.user_id, a.event_type, min(e.t) AS t FROM a JOIN e ON e.user_id = a.user_id AND e.event_type = a.event_type AND e.t - a.t >= {GAP} GROUP BY a.user_id, a.event_type, a.t))
   SELECT user_id, event_type, count(*) AS accepted FROM a GROUP BY ALL"""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import ranks, vectors
 
-from .inputs import LINES_SQL, lines, table
-from .text_queries import contents, key, noise, trim
+from .inputs import LINES_SQL, fixed, lines, table, values
+from .text_queries import ORACLES as text_oracles
+from .text_queries import contents, key, noise, trim, words
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,7 +95,7 @@ add(
 same(
     "semantic_cache_match",
     """WITH t AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, lower(trim(text)) AS k FROM {conversations} WHERE role = 'user')
-       SELECT a.id, max(b.id) AS hit FROM t a JOIN t b ON a.k = b.k AND b.id < a.id AND a.id - b.id <= 1800000 GROUP BY a.id""",
+       SELECT id, hit FROM (SELECT id, max(id) OVER (PARTITION BY k ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit FROM t) x WHERE id - hit <= 1800000""",
 )
 
 # Aggregations.
@@ -142,22 +143,28 @@ def _centroids(df: DataFrame) -> DataFrame:
     return means.select("label", F.col("i").cast("bigint").alias("i"), F.round(F.col("x") / length, 6).alias("x"))
 
 
+#: Pages with a running header and footer, and texts with headings, so that the rules fire.
+EDGES = tuple(f"The running header\npage text {k}\n" + "\n".join(f"line {k} {i}" for i in range(8)) + ("\n- THE FOOTER line" if k % 2 else "\nend") for k in range(8))
+HEADED = ("lead line\nsecond\n[H2] Heading\nbody", "[H4] no cut\nbody\n[H1] cut here", "none at all", "[H3] at once\nx")
+
+
 def _edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that come among the first or last four of three or more documents of a source, and of a quarter or more."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n", -1).alias("l"))
+    own = fixed(spark, EDGES).select(F.lit("own").alias("source"), (-F.col("n") - 1).alias("doc_id"), F.split("x", "\n", -1).alias("l"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n", -1).alias("l")).union(own)
     edge = F.concat(F.slice("l", 1, 4), F.slice("l", F.greatest(F.size("l") - 3, F.lit(1)), 4))
     rows = docs.select("source", F.explode(edge).alias("line")).select("source", T.line_key(F.col("line")).alias("key"))
     pages = docs.groupBy("source").agg(F.count("*").alias("pages"))
     counted = rows.filter(F.length("key").between(5, 90)).groupBy("source", "key").agg(F.count("*").alias("n"))
-    return counted.join(pages, "source").filter((F.col("n") >= 3) & (F.col("n") * 40 >= F.col("pages"))).select("source", "key", "n")
+    return counted.join(pages, "source").filter((F.col("n") >= 3) & (F.col("n") >= F.floor(F.col("pages") / 4))).select("source", "key", "n")
 
 
 add(
     "repeated_edge_lines", _edge_lines,
-    f"""WITH d AS (SELECT source, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+    f"""WITH d AS (SELECT source, string_split(text, chr(10)) AS l FROM documents UNION ALL SELECT 'own', string_split(x, chr(10)) FROM {values(EDGES)}), p AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
       e AS (SELECT source, unnest(list_concat(l[1:4], l[greatest(len(l) - 3, 1):])) AS line FROM d),
       c AS (SELECT source, key, count(*) AS n FROM (SELECT source, {key('line')} AS key FROM e) WHERE length(key) BETWEEN 5 AND 90 GROUP BY ALL)
-      SELECT c.source, key, n FROM c JOIN p USING (source) WHERE n >= 3 AND n * 40 >= pages""",
+      SELECT c.source, key, n FROM c JOIN p USING (source) WHERE n >= 3 AND n >= pages // 4""",
 )
 add(
     "toc_block_ratio",
@@ -177,13 +184,18 @@ add(
     .agg(F.min(F.struct("pos", "line")).alias("first")).select("doc_id", "first.pos", "first.line"),
     f"""WITH {LINES_SQL} SELECT doc_id, pos, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, CASE WHEN length({key('line')}) > 3 THEN {key('line')} ELSE '#' || pos END ORDER BY pos) AS r FROM lines) WHERE r = 1""",
 )
+SAME_PAGES = ("two words", "four words are here", "four words are there", "x")
+ORACLE_URLS = text_oracles["canonical_url"]
 add(
     "best_per_url",
     lambda spark, sf_dir: ranks.first_of_each(
-        table(spark, sf_dir, "pages").select(T.host_of(F.col("url")).alias("host"), "page_id", F.length("html").cast("bigint").alias("n")), ["host"], [-F.col("n"), F.col("page_id")]
+        table(spark, sf_dir, "pages").select(T.canonical_url(F.col("url")).alias("url"), "page_id", T.useful_word_count(F.col("html")).alias("n")).union(
+            fixed(spark, SAME_PAGES).select(T.canonical_url(F.lit("http://Own.example/a/")), (-F.col("n") - 1), T.useful_word_count(F.col("x")))
+        ),
+        ["url"], [-F.col("n"), F.col("page_id")],
     ),
-    """SELECT host, page_id, n FROM (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, page_id, length(html) AS n FROM pages)
-      QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC, page_id) = 1""",
+    f"""SELECT url, page_id, n FROM (SELECT canonical AS url, id AS page_id, n FROM ({ORACLE_URLS}) JOIN (SELECT page_id AS id, {words('html')} AS n FROM pages) USING (id)
+      UNION ALL SELECT 'https://own.example/a', -n - 1, {words('x')} FROM {values(SAME_PAGES)}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY n DESC, page_id) = 1""",
 )
 same("forward_fill", """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM {events}""",
      """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events""")
@@ -200,11 +212,17 @@ add(
     lambda spark, sf_dir: ranks.global_row_number(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", name="point_id"),
     "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS point_id FROM embeddings",
 )
+def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixed(spark, HEADED).select((-F.col("n") - 1001).alias("doc_id"), F.posexplode(F.split("x", "\n", -1)).alias("pos", "line"))
+    return lines(spark, sf_dir).union(own)
+
+
 add(
     "cut_before_first_heading",
-    lambda spark, sf_dir: lines(spark, sf_dir).withColumn("first", F.min(F.when(F.col("line").rlike(r"^.{1,40}\.$"), F.col("pos"))).over(W.partitionBy("doc_id")))
+    lambda spark, sf_dir: _headed(spark, sf_dir).withColumn("first", F.min(F.when(F.col("line").rlike(r"^\[H[1-3]\]"), F.col("pos"))).over(W.partitionBy("doc_id")))
     .filter(F.col("pos") >= F.coalesce("first", F.lit(0))).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("pos").alias("start")),
-    f"""WITH {LINES_SQL} SELECT doc_id, count(*) AS n, min(pos) AS start FROM (SELECT *, min(CASE WHEN regexp_matches(line, '^.{{1,40}}\\.$') THEN pos END) OVER (PARTITION BY doc_id) AS f FROM lines)
+    f"""WITH {LINES_SQL}, h AS (SELECT * FROM lines UNION ALL SELECT -n - 1001, generate_subscripts(l, 1) - 1, unnest(l) FROM (SELECT n, string_split(x, chr(10)) AS l FROM {values(HEADED)}))
+      SELECT doc_id, count(*) AS n, min(pos) AS start FROM (SELECT *, min(CASE WHEN regexp_matches(line, '^\\[H[1-3]\\]') THEN pos END) OVER (PARTITION BY doc_id) AS f FROM h)
       WHERE pos >= coalesce(f, 0) GROUP BY doc_id""",
 )
 same("sort_pages", "SELECT doc_id, lang, source FROM {documents} ORDER BY lang, source, doc_id")
