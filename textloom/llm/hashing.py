@@ -26,8 +26,9 @@ def word_hashes(text: Column) -> Column:
 
 
 def lower_word_hashes(text: Column) -> Column:
-    """The same of the words with A-Z in lower case."""
-    return F.transform(words(text), lambda x: F.xxhash64(lower_ascii(x)))
+    """The same of the words with A-Z in lower case. A text of ASCII alone is lowered whole."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, word_hashes(F.lower(text))).otherwise(F.transform(words(text), lambda x: F.xxhash64(lower_ascii(x))))
 
 
 def lower_ascii(word: Column) -> Column:
