@@ -22,7 +22,7 @@ BODIES = (
     "No heading here but a line of some length\nwith a second line, and\n\nok", "", "[H4] Deep\ntext under it that ends a sentence.\n[H2] Top [H3] Inner\nHome\nContent line that ends here.",
 )
 CHUNK_TEXTS = (
-    "12\nAll of it <a href=x>link</a> stays.\nsee http://a/https:/b\nDownload | Download\nA GENERAL HEADER\nAIFX ETHICS CODE 5 or only if it holds\nSITE: x\n\n\n\n(data) one two three four five six seven\nEnd.",
+    "12\nAll of it <a href=x>link</a> stays.\nsee http://a/https:/b\nDownload | Download\nA GENERAL HEADER\nGENERAL ETHICS CODE 5 or only if it holds\nSITE: x\n\n\n\n(data) one two three four five six seven\nEnd.",
     "Plain text only.", "", "a (data) b (data)\nrest of it", "<form action=1>\n<input name=x>\nkept line",
 )
 
