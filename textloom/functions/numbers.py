@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from .spoken import SPOKEN
+
 
 class Dialect(NamedTuple):
     array: str
@@ -87,3 +89,66 @@ def spelled(lang: str, x: str, d: Dialect = SPARK) -> str:
     ]
     digits = _by_digit({"en": EN, "ru": RU, "kk": KK}[lang], a, " ").format(text=text)
     return f"CASE WHEN {a} < {LIMIT} THEN concat_ws(' ', {', '.join(parts)}) ELSE concat_ws(' ', {parts[0]}, {digits}) END"
+
+
+#: The words for a decimal point, for percent (before and after the number) and for a time of day.
+POINT = {"en": "point", "ru": "запятая", "kk": "үтір", "zh": "点"}
+PERCENT = {"en": ("", " percent"), "ru": ("", " процентов"), "kk": ("", " пайыз"), "zh": ("百分之 ", "")}
+TIME = {"en": (" ", ""), "ru": (" ", " минут"), "kk": (" минут ", ""), "zh": (" 点 ", "")}
+#: Percentages, times of day and numbers within a text; digits inside a word are no number.
+_OUTSIDE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+PERCENT_RE = rf"{_OUTSIDE}[0-9]+(?:[.,][0-9]+)?[\s\p{{Z}}]*%"
+TIME_RE = rf"{_OUTSIDE}[0-9]{{1,2}}:[0-9]{{2}}{_END}"
+NUMBER_RE = rf"(?<![{SPOKEN}0-9])[+-]?(?:[0-9]{{1,3}}(?:[.,][0-9]{{3}})*|[0-9]+)(?:[.,][0-9]+)?(?![{SPOKEN}0-9])"
+
+
+def _named(name: str, value: str, body: str) -> str:
+    """SQL for a body that uses a value by name, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _each(text: str, pattern: str, body: str) -> str:
+    """SQL for a text in which every match m of the pattern gives way to the body's value."""
+    pieces = f"split(t, r'{pattern}', -1), regexp_extract_all(t, r'{pattern}', 0)"
+    return _named("t", text, f"array_join(zip_with({pieces}, (gap, m) -> concat(gap, CASE WHEN m IS NULL THEN '' ELSE {body} END)), '')")
+
+
+def _digits(lang: str, x: str, blank: str = " ") -> str:
+    words = {"en": EN, "ru": RU, "kk": KK, "zh": ZH}[lang][:10]
+    return f"array_join(transform(regexp_extract_all({x}, '[0-9]', 0), digit -> {_look(SPARK, words, 'int(digit)')}), '{blank}')"
+
+
+def _signed(lang: str, x: str) -> str:
+    """Words of a whole number given as text, of any length and sign; zh leaves a minus and its digits as they are."""
+    zh = lang == "zh"
+    minus = f"CASE WHEN whole LIKE '-%' THEN '{'-' if zh else MINUS[lang] + ' '}' ELSE '' END"
+    spelt = f"CASE WHEN n < 0 THEN string(n) ELSE {spelled(lang, 'n')} END" if zh else spelled(lang, "n")
+    long = f"concat({minus}, {_digits(lang, 'whole', '' if zh else ' ')})"
+    body = _named("n", "CASE WHEN length(whole) <= 18 THEN bigint(whole) END", f"CASE WHEN n IS NULL THEN {long} ELSE {spelt} END")
+    return _named("whole", rf"regexp_replace({x}, r'^[+]?(-?)0*(?=[0-9])', '$1')", body)
+
+
+def _decimal(lang: str, x: str) -> str:
+    """Words of a number given as text: the whole part, and the digits after the first full stop one by one."""
+    first = f"substring_index({x}, '.', 1)"
+    tail = f"CASE WHEN rest RLIKE '[0-9]' THEN concat(' {POINT[lang]} ', {_digits(lang, 'rest')}) ELSE '' END"
+    return f"concat({_signed(lang, first)}, {_named('rest', f'substring({x}, length({first}) + 1)', tail)})"
+
+
+def spoken(lang: str, x: str) -> str:
+    """SQL for the text x with its numbers in words: percentages, then times, then numbers, then digits inside words,
+    which get no blanks of their own (CO2 becomes COtwo); white space is squeezed. Null text is empty.
+
+    Of a full stop and commas the commas part thousands; commas alone do so if three digits follow the last, else
+    that one is the decimal point."""
+    before, after = PERCENT[lang]
+    between, last = TIME[lang]
+    share = _named("v", "regexp_extract(m, '[0-9.,]+', 0)", f"CASE WHEN contains(v, '.') THEN {_decimal(lang, 'v')} ELSE v END")
+    hour, minute = (_signed(lang, f"substring_index(m, ':', {k})") for k in (1, -1))
+    tail = "substring_index(m, ',', -1)"
+    comma = f"concat(replace(left(m, length(m) - length({tail})), ',', ''), '.', {tail})"
+    plain = f"CASE WHEN contains(m, '.') OR NOT contains(m, ',') OR length({tail}) = 3 THEN replace(m, ',', '') ELSE {comma} END"
+    t = _each(x, PERCENT_RE, f"concat('{before}', {share}, '{after}')")
+    t = _each(t, TIME_RE, f"concat({hour}, '{between}', {minute}, '{last}')")
+    t = _each(_each(t, NUMBER_RE, _named("v", plain, _decimal(lang, "v"))), "[0-9]", _digits(lang, "m"))
+    return rf"coalesce(trim(regexp_replace(CASE WHEN {x} RLIKE '[0-9]' THEN {t} ELSE {x} END, r'[\s\p{{Z}}]+', ' ')), '')"

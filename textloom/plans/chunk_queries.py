@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions import numbers
 from textloom.operators import chunks
 
-from .inputs import LINES_SQL, lines, table, values
+from .inputs import LINES_SQL, lines, quoted, table, values
 from .text_queries import contents, trim
 
 QUERIES: dict = {}
@@ -36,3 +36,41 @@ ORACLES["report_islands"] = f"""WITH {LINES_SQL}, r AS (SELECT doc_id, pos, cont
 QUERIES["repair_line_wraps"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select(
     "doc_id", F.array_join(chunks.repaired(F.split("text", "\n", -1)), "\n").alias("text")
 )
+
+#: Texts with numbers, their language, and what is said.
+NUMBERED = (
+    ("en", "CO2 costs 25%", "COtwo costs twenty five percent"),
+    ("en", "At 9:05, 3.5% or 3,5% of 1,234,567", "At nine five, three point five percent or three point five percent of one million two hundred thirty four thousand five hundred sixty seven"),
+    ("en", "-2.5 and +7, 5-7", "minus two point five and seven, five-seven"),
+    ("en", "1.234.567,89", "one point two three four five six seven eight nine"),
+    ("en", "007 and 12345678901234567890", "seven and one two three four five six seven eight nine zero one two three four five six seven eight nine zero"),
+    ("en", "  two   blanks 2\tx ", "two blanks two x"),
+    ("en", "", ""),
+    ("en", "none  here", "none here"),
+    ("ru", "В 14:30 скидка 2.5% и 21", "В четырнадцать тридцать минут скидка два запятая пять процентов и двадцать один"),
+    ("kk", "14:05 10%", "он төрт минут бес он нөл пайыз"),
+    ("zh", "共 25% 与 -5，3.14 在 8:30", "共 百分之 二十五 与 -五，三 点 一 四 在 八 点 三十"),
+)
+
+
+def _spoken_numbers(spark, sf_dir):
+    """Fixed texts, and for every document and language a sentence with its length, a share and a time."""
+    own = spark.createDataFrame([(-k - 1, lang, x) for k, (lang, x, _) in enumerate(NUMBERED)], "id bigint, lang string, x string")
+    made = "concat('has ', n_chars, ' signs, ', doc_id % 100, '% at ', doc_id % 24, ':', lpad(doc_id % 60, 2, '0'))"
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "explode(array('en', 'ru', 'kk', 'zh')) AS lang", f"{made} AS x")
+    said = " ".join(f"WHEN '{lang}' THEN {numbers.spoken(lang, 'x')}" for lang in ("en", "ru", "kk", "zh"))
+    return own.union(docs).selectExpr("id", "lang", f"CASE lang {said} END AS value")
+
+
+def _told(lang: str) -> str:
+    chars, share, hour, minute = (numbers.spelled(lang, x, numbers.DUCKDB) for x in ("n_chars", "(doc_id % 100)", "(doc_id % 24)", "(doc_id % 60)"))
+    before, after = numbers.PERCENT[lang]
+    between, last = numbers.TIME[lang]
+    return f"SELECT doc_id, '{lang}', concat('has ', {chars}, ' signs, {before}', {share}, '{after} at ', {hour}, '{between}', {minute}, '{last}') FROM documents"
+
+
+QUERIES["spoken_numbers"] = _spoken_numbers
+ORACLES["spoken_numbers"] = (
+    "SELECT * FROM (VALUES " + ", ".join(f"({-k - 1}::BIGINT, {quoted(lang)}, {quoted(said)})" for k, (lang, _, said) in enumerate(NUMBERED)) + ") v(id, lang, value) UNION ALL "
+    + " UNION ALL ".join(_told(lang) for lang in ("en", "ru", "kk", "zh"))
+)
