@@ -143,6 +143,71 @@ SELECT page_id, n AS payload_bytes, d.h AS payload_digest, CASE WHEN stored <> p
   CASE WHEN stored <> page_id THEN stored END AS refers_to
 FROM d LEFT JOIN m ON m.h = d.h AND n >= 1000"""
 
+LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM d),
+keyed AS (SELECT r, doc_id, i, x, {LOWERED.format("trim(x, concat(' ', " + SPACES + "))")} AS k FROM lines),
+gone AS (SELECT k, max(doc_id) AS holder FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5),
+judged AS (SELECT r, i, x, holder IS NULL OR doc_id IS NOT DISTINCT FROM holder AS stays FROM keyed LEFT JOIN gone USING (k)),
+kept AS (SELECT r, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE stays) AS t, count(*) FILTER (WHERE NOT stays) AS n FROM judged GROUP BY r)
+SELECT doc_id, len(l)::BIGINT AS n_lines, n AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM d JOIN kept USING (r)"""
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {words('text')} AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B,
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS C, regexp_matches(t, '[#$%&*|]') AS D, coalesce(d.doc_id > first, false) AS E
+  FROM d JOIN firsts USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+x AS (SELECT part, good, toxic, concat(CASE WHEN A THEN 'A' ELSE '' END, CASE WHEN B THEN 'B' ELSE '' END, CASE WHEN C THEN 'C' ELSE '' END,
+  CASE WHEN D THEN 'D' ELSE '' END, CASE WHEN E THEN 'E' ELSE '' END) AS fails FROM f),
+s AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT concat(a.c, b.c, c.c, d.c, e.c) AS filter_order FROM s a, s b, s c, s d, s e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+r AS (SELECT part, filter_order, step, good, toxic, filter_order[step:step] AS own, contains(fails, filter_order[step:step]) AS bad, fails,
+  len(regexp_replace(filter_order[1:step - 1], concat('[^', CASE WHEN fails = '' THEN '-' ELSE fails END, ']'), '', 'g')) > 0 AS gone
+  FROM x, o, (SELECT unnest(range(1, 6))::INT AS step)),
+n AS (SELECT part, filter_order, step, own, count(*) FILTER (WHERE NOT gone AND NOT bad) AS kept, count(*) FILTER (WHERE bad AND NOT gone) AS removed,
+  count(*) FILTER (WHERE bad AND gone) AS redundant, count(*) FILTER (WHERE fails = own) AS unique_fails,
+  count(*) FILTER (WHERE bad AND NOT gone AND good) AS good_lost, count(*) FILTER (WHERE bad AND NOT gone AND toxic) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM n"""
+
+
+def _op13(own: int = 4, above: int = 3) -> str:
+    """Unrolled over as many levels within and above the sources as 16**own rows a source and 16**above sources need."""
+    field = lambda x: f"coalesce(concat(strlen({x}), ':', {x}), '-')"
+    leaf = lambda text: "sha256(concat(" + ", ".join(field(x) for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + "))"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: {byte}), 4294967295)"
+    ctes = [
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN ({crc}) % 5 = 0 THEN {leaf(LOWERED.format('text'))} END AS forged FROM documents)",
+        "l AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d)",
+        "n0 AS (SELECT source AS g, p, leaf AS h FROM l)",
+    ]
+    for k in range(own + above):
+        if k == own:
+            ctes.append(f"n{own}x AS (SELECT g AS source, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS q FROM n{k})")
+        under = f"(SELECT NULL::VARCHAR AS g, q AS p, subroot AS h FROM n{own}x)" if k == own else f"n{k}"
+        ctes.append(f"c{k} AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {under})")
+        ctes.append(f"n{k + 1} AS (SELECT g, p // 16 AS p, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h FROM c{k} GROUP BY g, p // 16)")
+    ctes.append("f0 AS (SELECT r, l.source, p, q, '' AS s, coalesce(forged, leaf) AS h FROM l JOIN n%dx x ON l.source IS NOT DISTINCT FROM x.source)" % own)
+    for k in range(own + above):
+        at = "p" if k < own else "q"
+        same = "c.g IS NOT DISTINCT FROM f.source" if k < own else "true"
+        part = lambda sign: f"coalesce(string_agg(c.h, '' ORDER BY c.p) FILTER (WHERE c.p {sign} f.{at}), '')"
+        ctes.append(
+            f"f{k + 1} AS (SELECT r, source, {'p // 16 AS p, q' if k < own else 'p, q // 16 AS q'}, concat(s, a, b) AS s, CASE WHEN n = 1 THEN h ELSE sha256(concat(a, h, b)) END AS h FROM "
+            f"(SELECT r, f.source, f.p, f.q, f.s, f.h, any_value(n) AS n, {part('<')} AS a, {part('>')} AS b FROM f{k} f JOIN c{k} c ON {same} AND c.p // 16 = f.{at} // 16 GROUP BY ALL))"
+        )
+    last = own + above
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, n{last}.h AS root, sha256(f.s) AS proof_sha256, f.h AS folded_root, f.h = n{last}.h AS verified
+FROM l JOIN f{last} f USING (r) JOIN n{own}x x ON x.source IS NOT DISTINCT FROM l.source, n{last}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1,
     "op3_substring_dedup": OP3,
@@ -151,4 +216,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_secret_scans": _op8(),
     "op9_mixing": _op9(),
     "op10_warc": OP10,
+    "op11_line_dedup": OP11,
+    "op12_filter_audit": OP12,
+    "op13_merkle_manifest": _op13(),
 }

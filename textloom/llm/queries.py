@@ -7,9 +7,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, warc
+from . import merkle, mixing, warc
 from .common import read
 from .embedding_dedup import embedding_dedup
+from .filter_audit import filter_audit
+from .line_dedup import line_dedup
 from .ngram_join import ngram_join
 from .quality_rules import quality_rules
 from .secret_scans import digest, secret_scan
@@ -70,6 +72,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("filter")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rows = merkle.manifest(docs, merkle.lower_text(docs), merkle.tampered(docs))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -81,4 +98,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
