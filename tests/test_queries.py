@@ -34,7 +34,7 @@ def test_matches_duckdb(spark, duck, name):
     assert sorted(rel.columns) == columns
     want = sorted(tuple(map(shown, r)) for r in rel.project(", ".join(f'"{c}"' for c in columns)).fetchall())
     assert got == want
-    if df.columns and name != "semantic_cache_match":
+    if df.columns and name != "repeated_question_match":
         assert got
 
 

@@ -93,7 +93,7 @@ add(
       SELECT id, item_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, item_id) = 1""",
 )
 same(
-    "semantic_cache_match",
+    "repeated_question_match",
     """WITH t AS (SELECT conv_id, turn, conv_id * 1000 + turn AS id, lower(trim(text)) AS k FROM {conversations} WHERE role = 'user')
        SELECT id, hit FROM (SELECT id, max(id) OVER (PARTITION BY k ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit FROM t) x WHERE id - hit <= 1800000""",
 )
@@ -237,8 +237,8 @@ same("ignore_window_gate", """SELECT event_id, user_id FROM (SELECT event_id, us
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM (SELECT event_id, user_id, event_type, {micros} AS t FROM {events}) e) x WHERE until IS NULL OR t >= until""")
 same("microbatch_assign", """SELECT conv_id, turn, CASE WHEN turn = first THEN 0 ELSE cast(floor((r - 2) / 3) AS {i64}) + 1 END AS batch FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r,
        min(turn) OVER (PARTITION BY conv_id) AS first FROM {conversations}) x""")
-same("race_first_answer", """SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM {events} WHERE event_type IN ('click', 'purchase') AND value > 1) x WHERE r = 1""")
-same("stale_turn_filter", """SELECT event_id, user_id FROM (SELECT event_id, user_id, event_type, value, last_value(CASE WHEN event_type = 'view' THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id
+same("first_act_by_user", """SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM {events} WHERE event_type IN ('click', 'purchase') AND value > 1) x WHERE r = 1""")
+same("stale_value_filter", """SELECT event_id, user_id FROM (SELECT event_id, user_id, event_type, value, last_value(CASE WHEN event_type = 'view' THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, event_id
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM {events}) x WHERE event_type = 'view' OR value <= active""",
      """SELECT event_id, user_id FROM (SELECT event_id, user_id, event_type, value, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS active FROM events) x WHERE event_type = 'view' OR value <= active""")
