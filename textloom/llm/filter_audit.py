@@ -42,7 +42,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[part_col].cast("string"), F.lit("")).alias("part"), text.alias("t"), words(text).alias("w"))
     bits = sum((F.when(x, 1 << k).otherwise(0) for k, x in enumerate(flags(F.col("t")).values())), F.lit(0))
     rows = keep(rows.select("doc_id", "part", bits.cast("int").alias("fails"), F.unhex(F.sha2("t", 256)).alias("digest")))
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).filter(F.col("n") > 1).drop("n")
+    # Kept, so that the join reads both sides from shuffles of its own: Spark can then split a text that very many rows have.
+    firsts = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("n")).filter(F.col("n") > 1).drop("n"))
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return rows.join(firsts, "digest", "left").select(
         "doc_id", "part", (F.col("fails") + F.when(copy, 1 << FILTERS.index("E")).otherwise(0)).alias("fails")
