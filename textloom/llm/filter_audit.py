@@ -6,7 +6,7 @@ the document where it is the first in the order that the document fails. The cou
 before the shuffle, so a part of any size sends at most 600 rows from each task.
 
 Defined results: a null text is an empty one; a null source is the empty string, one part with it; a null doc_id is
-neither smaller nor larger than any other, so its row never fails E and makes no other fail; rows with the same id and
+neither smaller nor larger than any other, so its row never fails E and makes no other fail, and it has no labels; rows with the same id and
 text don't fail E for each other; a document with several label rows counts as good, or toxic, where one of them says
 so; an empty table gives an empty result; other columns are ignored.
 """

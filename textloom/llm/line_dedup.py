@@ -21,7 +21,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,29 +101,31 @@ class LineRuns:
                 self._compact(k)
 
     def _compact(self, k: int) -> None:
-        old = self.levels[k]
-        with _sorted_scans(self.spark):
-            name = self._write(self._merged(old))
+        old, self.levels[k] = self.levels[k], []
         if k + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[k] = []
-        self.levels[k + 1].append(name)
-        self._drop(old)
-
-    def _merged(self, names: list[str]) -> DataFrame:
-        """Runs merged by key, older ones first: counts add up, and a key's holder is the one that any run names."""
-
-        def both(x: DataFrame, y: DataFrame) -> DataFrame:
-            y = y.select(*KEY, F.col("n").alias("__n"), F.col("holder").alias("__holder"))
-            n = F.coalesce("n", F.lit(0)) + F.coalesce("__n", F.lit(0))
-            return x.join(y, KEY, "full").select(*KEY, n.alias("n"), F.coalesce("holder", "__holder").alias("holder"))
-
-        return reduce(both, [self.spark.table(name) for name in names])
+        self.levels[k + 1].append(self._one(old, 1))
+
+    def _one(self, names: list[str], left: int) -> str | list[str]:
+        """Runs, older ones first, merged two by two, the newest first, until so many are left."""
+        while len(names) > max(left, 1):
+            *names, older, newer = names
+            with _sorted_scans(self.spark):
+                names.append(self._write(self._merged(older, newer)))
+            self._drop([older, newer])
+        return names[0] if left == 1 else names
+
+    def _merged(self, older: str, newer: str) -> DataFrame:
+        """Two runs merged by key: counts add up, and a key's holder is the one that either names."""
+        new = self.spark.table(newer).select(*KEY, F.col("n").alias("__n"), F.col("holder").alias("__holder"))
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("__n", F.lit(0))
+        return self.spark.table(older).join(new, KEY, "full").select(*KEY, n.alias("n"), F.coalesce("holder", "__holder").alias("holder"))
 
     def total(self) -> DataFrame | None:
-        """All runs merged; the oldest are on the highest level."""
-        names = [name for level in reversed(self.levels) for name in level]
-        return self._merged(names) if names else None
+        """All runs merged, the last two as they are read; the oldest are on the highest level."""
+        names = self._one([name for level in reversed(self.levels) for name in level], 2)
+        self.levels = [names]
+        return self._merged(*names) if len(names) == 2 else self.spark.table(names[0]) if names else None
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
