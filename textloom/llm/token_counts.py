@@ -8,7 +8,8 @@ section boundaries; a token that crosses a boundary goes where the rule says:
 - `split`: to all sections it touches, each by its share of the bytes.
 
 Defined results: a null or empty text has no tokens and one empty section; sections partition the text, so the
-counts of a document's sections add up to its own; repeated rows are counted each by itself; an empty table gives
+counts of a document's sections add up to its own; a text of any length is encoded whole, long runs of white space
+included; repeated rows are counted each by itself, and so are rows with a null id, which stays null; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,10 @@ from pyspark.sql import DataFrame
 
 #: Fixed value: how the public vocabulary cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pattern looks back over a run of white space once per character, each on the stack: longer runs are taken out first.
+LONG_RUN = 10_000
+#: Fixed value: what the pattern takes for white space.
+SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 RULES = ("most", "start", "split")
 SCHEMA = (
     "doc_id bigint, section int, char_start bigint, char_end bigint, n_tokens double, n_crossing bigint, doc_tokens bigint"
@@ -43,6 +49,21 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
+LONG = re.compile(f"{SPACE}{{{LONG_RUN},}}")
+
+
+def encoded(enc, text: str) -> list[int]:
+    """The ids of a whole text. The pattern makes one piece of a run of white space, less its last character where other
+    text follows, and begins anew after it; so a long run may be encoded by itself, as that one piece."""
+    ids, at = [], 0
+    for run in LONG.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += enc.encode_ordinary(text[at : run.start()])
+        ids += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def line_sections(text: str) -> list[str]:
     """Sections are lines, each with the line feed that ends it."""
     lines = text.split("\n")
@@ -73,7 +94,7 @@ def attribute(lengths: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.nd
 
 
 def _rows(doc_id: int, text: str, enc, token_bytes: np.ndarray, rule: str) -> Iterator[tuple]:
-    ids = np.asarray(enc.encode_ordinary(text), np.int64)
+    ids = np.asarray(encoded(enc, text), np.int64)
     parts = line_sections(text) or [""]
     byte_ends = np.cumsum([len(x.encode()) for x in parts])
     counts, crossing = attribute(token_bytes[ids], byte_ends, rule)
