@@ -21,8 +21,8 @@ Labels: of the rows that may be learned from, half the folds fit the models (at
 curve (at most CALIBRATION rows). Labels, language, source and id are never inputs of a score.
 
 Defined results: a null or empty text has no words and scores as a neutral one; a null label is none; of repeated
-ids in the labels the largest counts; repeated documents are scored, and learned from, each by itself; without labels of
-both classes every score is the share of toxic labels (0 without any); empty tables give empty results; other columns
+ids in the labels the largest counts; repeated documents are scored each by itself, and one text of each id is learned
+from; a row with a null id is scored and not held out; without labels of both classes every score is the share of toxic labels (0 without any); empty tables give empty results; other columns
 are ignored.
 """
 
@@ -104,10 +104,10 @@ def _bounded(rows: DataFrame, most: int) -> DataFrame:
 def pair_counts(docs: DataFrame, training: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """v, w (word before, word), toxic and ordinary: how often the pair comes in either class. The first word of a text
     follows 0."""
-    # At most LABELLED rows of an id and a label.
-    some = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(training), "doc_id")
-    toxic = some.select("doc_id", "toxic").distinct()
-    rows = _hashed(some, "doc_id", "text").join(F.broadcast(toxic), "doc_id").filter(F.size("words") > 0)
+    # At most LABELLED rows of an id and a label; of rows with one id a single text is taken.
+    some = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(training.select("doc_id")), "doc_id")
+    some = some.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = _hashed(some, "doc_id", "text").join(F.broadcast(training), "doc_id").filter(F.size("words") > 0)
     before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice("words", 1, F.size("words") - 1))
     pairs = rows.select("toxic", F.explode(F.arrays_zip(before.alias("v"), F.col("words").alias("w"))).alias("p"))
     one = F.col("toxic") == 1
@@ -237,7 +237,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     training = keep(_bounded(learn.filter(F.col("fold") != CURVE), LABELLED).select("doc_id", "toxic"))
     pairs = keep(pair_counts(docs, training, id_col, text_col))
     features = keep(_features(hashed, fitted(pairs, keep(shared_counts(hashed)))))
-    curve = _bounded(learn.filter(F.col("fold") == CURVE), CALIBRATION).join(features, "doc_id").select("toxic", *FEATURES).toArrow()
+    curve = _bounded(learn.filter(F.col("fold") == CURVE), CALIBRATION).join(features, "doc_id")
+    curve = curve.groupBy("doc_id").agg(F.min(F.struct("toxic", *FEATURES)).alias("x")).select("x.*").toArrow()
     y = curve["toxic"].to_numpy().astype(float)
     if 0 < y.sum() < len(y):
         b = logistic(np.column_stack([curve[f].to_numpy() for f in FEATURES]), y)
@@ -248,5 +249,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
     else:
         score = F.lit(float(y.mean()) if len(y) else 0.0)
     return features.select(
-        "doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), score.alias("score"), *FEATURES
+        "doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), score.alias("score"), *FEATURES
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
