@@ -11,6 +11,9 @@ A piece never reaches over a word's start (a blank after something else), so a c
 the states: they are encoded once per distinct word by the public library and kept in a bounded table. Only the
 words at the boundaries go through the lattice; a chunk without a word's start goes through it whole.
 
+A chunk without a word's start (long runs of blanks or dashes) costs one walk, whatever its boundary states: each step is
+tested once and carries the values from all of them.
+
 Defined results: a null or empty text has no pieces; U+2581 in a text counts as a blank, as in the library, and is
 decoded as one; characters that the model lacks become their bytes; repeated rows and rows without an id are encoded,
 decoded and digested each by itself, whatever their length; an empty table gives an empty result; other columns are
@@ -182,26 +185,44 @@ def boundary_states(m: Model, text: str, b: int) -> list[Span]:
     return [(i, j) for i in range(max(0, b - m.longest), b) for j in m.ends(text, i, len(text)) if j >= b]
 
 
+def spread(m: Model, text: str, firsts: list[Span], stop: int) -> dict[Span, np.ndarray]:
+    """The same lattice from several states at once, for a text without a word's start before stop: for every state the
+    best value from each of the first ones (minus infinity: none). Each step is tested once for all of them."""
+    best = {s: np.where(np.arange(len(firsts)) == k, 0.0, -np.inf) for k, s in enumerate(firsts)}
+    at: dict[int, list[Span]] = {}
+    for s in firsts:
+        at.setdefault(s[1], []).append(s)
+    for j in range(min(at, default=stop), stop):
+        for s in at.pop(j, ()):
+            value = best[s] - 1
+            for e in m.ends(text, j, len(text)):
+                if j == 0 or s[0] < 0 or m.compatible(text[s[0] : j], text[j:e]):
+                    if (j, e) in best:
+                        np.maximum(best[(j, e)], value, out=best[(j, e)])
+                    else:
+                        best[(j, e)] = value.copy()
+                        at.setdefault(e, []).append((j, e))
+    return best
+
+
 def transfer(m: Model, text: str, lo: int, hi: int, last: bool) -> Matrix:
     """Max-plus matrix of the chunk [lo, hi) of a text that holds the chunk and its margins (lo = 0 only for the
     document's first). The last chunk has the states that end with the text."""
     outs = [s for s in boundary_states(m, text, hi) if not last or s[1] == hi]
+    firsts = boundary_states(m, text, lo)
     h1 = next_word_start(text, max(lo, 1), hi)
-    hn = last_word_start(text, h1, hi) if h1 is not None else None
-    right: dict[Span, int] = {}
-    if hn is not None:
-        best, _ = paths(m, text, (-1, hn), hi)
-        right = {s: best[s][0] for s in outs if s in best}
+    if h1 is None:
+        found = spread(m, text, firsts, hi)
+        rows = {s: {x: int(found[x][k]) for x in outs if x in found and np.isfinite(found[x][k])} for k, s in enumerate(firsts)}
+        return {s: row for s, row in rows.items() if row}
+    best, _ = paths(m, text, (-1, last_word_start(text, h1, hi)), hi)
+    right = {s: best[s][0] for s in outs if s in best}
     out: Matrix = {}
-    for s in boundary_states(m, text, lo):
-        best, _ = paths(m, text, s, hi if h1 is None else h1)
-        if h1 is None:
-            row = {x: best[x][0] for x in outs if x in best}
-        else:
-            done = [v for x, (v, _) in best.items() if x[1] == h1]
-            row = {x: max(done) + v for x, v in right.items()} if done else {}
-        if row:
-            out[s] = row
+    for s in firsts:
+        best, _ = paths(m, text, s, h1)
+        done = [v for x, (v, _) in best.items() if x[1] == h1]
+        if done and right:
+            out[s] = {x: max(done) + v for x, v in right.items()}
     return out
 
 
@@ -345,7 +366,9 @@ def _states(chunks: DataFrame, path: str, size: int, block: int) -> DataFrame:
         return states(pdf.sort_values("chunk"), "chunk", (b0, b1), (a0, a1))
 
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = chunks.select("row", "chunk", "n_chunks", "at", "hi", "piece").mapInArrow(matrices, "row bigint, chunk int, n_chunks int, matrix array<bigint>")
+    # Dealt out by chunk, so that a giant's matrices are made in many tasks.
+    dealt = chunks.select("row", "chunk", "n_chunks", "at", "hi", "piece").repartition(n, "row", "chunk")
+    rows = dealt.mapInArrow(matrices, "row bigint, chunk int, n_chunks int, matrix array<bigint>")
     rows = keep(rows)
     short = rows.filter(F.col("n_chunks") <= block).repartition(n, "row").groupBy("row").applyInPandas(whole, f"row bigint, chunk int, {STATES}")
     blocks = rows.filter(F.col("n_chunks") > block).withColumn("block", F.expr(f"chunk div {block}"))
