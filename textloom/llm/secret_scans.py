@@ -85,50 +85,84 @@ def _pieces(text: Column, pattern: str, replacement: str) -> Column:
     return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(replacement)), "\x01", -1)
 
 
+#: Items that one inner fold goes over, and characters of a block of text.
+CHUNK = 256
+TEXT_BLOCK = 1024
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate an expression once per row and use it by name."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _folded(items: Column, start: Column, step, out: str) -> Column:
+    """Fold over an array that gathers an array: step(state, item) gives the next state and the item's rows, an array of
+    type out. Struct of the last state and of all rows. Rows are gathered by chunks of items, as appending to one long
+    array copies it each time."""
+    none = F.array().cast(out)
+    chunks = F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(1)), lambda i: F.when(i % CHUNK == 0, F.slice(items, i + 1, CHUNK)))
+    chunks = F.filter(chunks, lambda c: c.isNotNull())
+
+    def inner(a: Column, x: Column) -> Column:
+        return _let(step(a["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(a["rows"], r["rows"]).alias("rows")))
+
+    def outer(a: Column, c: Column) -> Column:
+        done = F.aggregate(c, F.struct(a["state"].alias("state"), none.alias("rows")), inner)
+        return _let(done, lambda r: F.struct(r["state"].alias("state"), F.concat(a["rows"], F.array(r["rows"])).alias("rows")))
+
+    first = F.struct(start.alias("state"), F.array().cast(f"array<{out}>").alias("rows"))
+    full = _let(F.aggregate(chunks, first, outer), lambda r: F.struct(r["state"].alias("state"), F.flatten(r["rows"]).alias("rows")))
+    return F.when(F.size(items) > 0, full).otherwise(F.struct(start.alias("state"), none.alias("rows")))
+
+
 def _spans(pieces: Column, kind: str, wanted, texts: bool = False) -> Column:
     """Spans (start, kind, end and, if asked for, text) of the pieces whose match is wanted, found by adding up lengths."""
     bare = lambda x: F.translate(x, "\x02\x03", "")
-    empty = F.array().cast(f"array<struct<s:int,k:int,e:int{',t:string' if texts else ''}>>")
+    out = f"array<struct<s:int,k:int,e:int{',t:string' if texts else ''}>>"
     rank = KINDS.index(kind)
 
-    def step(a: Column, x: Column) -> Column:
+    def step(at: Column, x: Column) -> Column:
         match = F.substring_index(x, "\x02", 1)
-        span = F.struct(a["at"].alias("s"), F.lit(rank).alias("k"), (a["at"] + F.length(bare(match))).alias("e"), *[bare(match).alias("t")] * texts)
-        return F.struct(
-            (a["at"] + F.length(bare(x))).alias("at"),
-            F.when(wanted(match), F.concat(a["found"], F.array(span))).otherwise(a["found"]).alias("found"),
-        )
-
-    start = F.struct(F.length(F.get(pieces, 0)).alias("at"), empty.alias("found"))
-    found = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step)["found"]
-    return F.when(F.size(pieces) > 1, found).otherwise(empty)
-
-
-def _parts(token: Column, base: Column) -> Column:
-    """What base spans (sorted) leave of a token (s, e and its text t): an array of (s, e, t)."""
-    start = F.struct(token["s"].alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("found"))
-
-    def step(a: Column, b: Column) -> Column:
-        touches = (b["s"] < token["e"]) & (b["e"] > token["s"])
-        gap = F.array(F.struct(a["at"].alias("s"), b["s"].alias("e")))
-        return F.struct(
-            F.when(touches, F.greatest(a["at"], b["e"])).otherwise(a["at"]).alias("at"),
-            F.when(touches & (b["s"] > a["at"]), F.concat(a["found"], gap)).otherwise(a["found"]).alias("found"),
-        )
-
-    last = lambda a: F.array(F.struct(a["at"].alias("s"), token["e"].alias("e")))
-    found = F.flatten(F.transform(F.array(F.aggregate(base, start, step)), lambda a: F.concat(a["found"], last(a))))
-    return F.transform(
-        found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(token["t"], x["s"] - token["s"] + 1, x["e"] - x["s"]).alias("t"))
-    )
+        span = F.struct(at.alias("s"), F.lit(rank).alias("k"), (at + F.length(bare(match))).alias("e"), *[bare(match).alias("t")] * texts)
+        return F.struct((at + F.length(bare(x))).alias("state"), F.when(wanted(match), F.array(span)).otherwise(F.array().cast(out)).alias("rows"))
+
+    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    found = _folded(rest, F.length(F.get(pieces, 0)), step, out)["rows"]
+    return F.when(F.size(pieces) > 1, found).otherwise(F.array().cast(out))
+
+
+def _parts(tokens: Column, base: Column) -> Column:
+    """What the base spans leave of the tokens (s, e, t), as (s, e, codes): both lists are merged by start and gone through
+    once, with the end of what is covered, the open token and the place up to which it is dealt with."""
+    out = "array<struct<s:int,e:int,c:array<int>>>"
+    event = lambda x, kind, codes: F.struct(x["s"].alias("s"), F.lit(kind).alias("kind"), x["e"].alias("e"), codes.alias("c"))
+    none, far = F.array().cast("array<int>"), F.lit((1 << 31) - 1)
+    codes = lambda t: F.transform(F.array_remove(F.split(t, "", -1), ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    events = F.concat(
+        F.transform(base, lambda x: event(x, 0, none)), F.transform(tokens, lambda x: event(x, 1, codes(x["t"]))),
+        F.array(F.struct(far.alias("s"), F.lit(1).alias("kind"), far.alias("e"), none.alias("c"))),
+    )
+    start = F.struct(F.lit(0).alias("cover"), F.lit(0).alias("s"), F.lit(0).alias("at"), F.lit(0).alias("e"), none.alias("c"))
+
+    def step(a: Column, x: Column) -> Column:
+        # A base span ends the open part where it begins, a token the one before it where that ends.
+        to = F.least(a["e"], x["s"])
+        part = F.struct(a["at"].alias("s"), to.alias("e"), F.slice(a["c"], a["at"] - a["s"] + 1, F.greatest(to - a["at"], F.lit(0))).alias("c"))
+        rows = F.when(to > a["at"], F.array(part)).otherwise(F.array().cast(out))
+        cover = F.greatest(a["cover"], x["e"])
+        after_base = F.struct(cover.alias("cover"), a["s"].alias("s"), F.greatest(a["at"], x["e"]).alias("at"), a["e"].alias("e"), a["c"].alias("c"))
+        after_token = F.struct(a["cover"].alias("cover"), x["s"].alias("s"), F.greatest(a["cover"], x["s"]).alias("at"), x["e"].alias("e"), x["c"].alias("c"))
+        return F.struct(F.when(x["kind"] == 0, after_base).otherwise(after_token).alias("state"), rows.alias("rows"))
+
+    found = _folded(F.array_sort(events, lambda x, y: F.when(x["s"] != y["s"], x["s"] - y["s"]).otherwise(x["kind"] - y["kind"])), start, step, out)["rows"]
+    return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast(out))
 
 
-def _looks_random(token: Column, table: dict[str, int]) -> Column:
-    """Whether the ratios over the token's pairs of characters come to THRESHOLD a pair or more."""
+def _looks_random(codes: Column, table: dict[str, int]) -> Column:
+    """Whether the ratios over the pairs of characters (places in ALPHABET, from 1) come to THRESHOLD a pair or more."""
     n = len(ALPHABET)
     values = F.split(F.lit(",".join(str(table[x + y]) for x in ALPHABET for y in ALPHABET)), ",").cast("array<int>")
-    codes = F.transform(F.array_remove(F.split(token, "", -1), ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    count = F.length(token) - 1
+    count = F.size(codes) - 1
     ratios = F.zip_with(
         F.slice(codes, 1, count), F.slice(codes, 2, count), lambda a, b: F.element_at(values, (a - 1) * n + b)
     )
@@ -170,8 +204,7 @@ def secret_scan(
     found = found.select(
         "row", "doc_id", "text", F.array_sort("base").alias("base"), _spans(F.col("_random"), "random", lambda m: F.lit(True), texts=True).alias("tokens")
     )
-    parts = F.flatten(F.transform("tokens", lambda r: _parts(r, F.col("base"))))
-    wanted = F.filter(parts, lambda x: (x["e"] > x["s"] + 1) & _looks_random(x["t"], table))
+    wanted = F.filter(_parts(F.col("tokens"), F.col("base")), lambda x: (x["e"] > x["s"] + 1) & _looks_random(x["c"], table))
     more = F.transform(wanted, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index("random")).alias("k"), x["e"].alias("e")))
     return found.select("row", "doc_id", "text", F.array_sort(F.concat("base", more)).alias("spans"))
 
@@ -194,19 +227,27 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(mask: str = "[SECRET]") -> Column:
-    """The text of a scanned row with every span, or run of overlapping spans, replaced by the mask."""
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit(mask))
-        return F.struct(
-            F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], gap).otherwise(a["out"]).alias("out")
-        )
-
-    end = F.aggregate("spans", start, step)
-    rest = F.transform(F.array(end), lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(text))))
-    return F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.get(rest, 0))
+    """The text of a scanned row with every span, or run of overlapping spans, replaced by the mask. The stretches between
+    are taken from blocks of the text, so that none is looked for from the text's start."""
+    out = "array<struct<a:int,z:int>>"
+
+    def step(at: Column, x: Column) -> Column:
+        gap = F.struct(at.alias("a"), x["s"].alias("z"))
+        rows = F.when(x["s"] >= at, F.array(gap)).otherwise(F.array().cast(out))
+        return F.struct(F.greatest(at, x["e"]).alias("state"), rows.alias("rows"))
+
+    ends = F.concat("spans", F.array(F.struct(F.length("text").alias("s"), F.lit(0).alias("k"), F.length("text").alias("e"))))
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+    def stretch(b: Column, g: Column) -> Column:
+        first = F.floor(g["a"] / TEXT_BLOCK).cast("int")
+        n = F.floor((g["z"] - 1) / TEXT_BLOCK).cast("int") - first + 1
+        held = F.array_join(F.slice(b, first + 1, F.greatest(n, F.lit(0))), "")
+        return F.when(g["z"] > g["a"], F.substring(held, g["a"] - first * TEXT_BLOCK + 1, g["z"] - g["a"])).otherwise("")
+
+    gaps = _folded(ends, F.lit(0), step, out)["rows"]
+    clean = _let(blocks, lambda b: F.array_join(F.transform(gaps, lambda g: stretch(b, g)), mask))
+    return F.when(F.size("spans") == 0, F.col("row.text")).otherwise(clean)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", samples: Iterable[Sample] | None = None) -> DataFrame:
