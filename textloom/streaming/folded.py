@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -31,6 +32,7 @@ class Folded(StatefulProcessor):
         found, last = [], 0
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            row = {c: x.tolist() if isinstance(x, np.ndarray) else x for c, x in row.items()}
             last = max(last, int(row[self.ts].timestamp() * 1000))
             state, new = self.transition.step(state, row)
             found += new
