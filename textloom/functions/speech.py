@@ -48,7 +48,7 @@ def sentenceized(text: Column, language: Column) -> Column:
     capital = lambda x: F.concat(F.upper(F.left(trimmed(x), F.lit(1))), F.substring(trimmed(x), 2, 1 << 30))
     by_word = lambda t: _joined_clauses(t, with_blank, CLAUSE_MARKS, is_long, ".", " ", capital)
     by_sign = lambda t: _joined_clauses(t, F.concat, HAN_CLAUSE_MARKS, lambda x: F.length(x) >= LONG_HAN, "。", "", lambda x: x)
-    return let(sanitized(text), lambda t: F.when(language == "zh", by_sign(t)).otherwise(by_word(t)))
+    return let(sanitized(F.coalesce(text, F.lit(""))), lambda t: F.when(language == "zh", by_sign(t)).otherwise(by_word(t)))
 
 
 def prepared(rows: DataFrame, text: str, language: str, name: str) -> DataFrame:

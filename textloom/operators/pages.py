@@ -167,5 +167,5 @@ def write_blocks(records: DataFrame, path: str, with_site_group: bool = False) -
 
 def read_files(spark, path: str, glob: str = "*.txt") -> DataFrame:
     """path and text of every file below a folder that fits the glob, each whole."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -192,6 +192,17 @@ def as_markdown(d: Column) -> Column:
     return F.array_join(F.filter(every, lambda x: x != ""), "\n")
 
 
+#: Details made of turns: what Spark and DuckDB write as JSON.
+_POINTS = ("split(left(text, 300), '[.] ')", "regexp_split_to_array(left(text, 300), '[.] ')")
+DETAIL_ROWS = (
+    "conversations", "conv_id * 1000 + turn",
+    f"""to_json(named_struct('summary', CASE WHEN turn % 3 = 0 THEN ' ' ELSE left(text, 60) END, 'points', CASE WHEN turn % 2 = 0 THEN {_POINTS[0]} END,
+      'sections', array(named_struct('title', role, 'text', CASE WHEN conv_id % 2 = 0 THEN left(text, 40) ELSE '' END, 'items', {_POINTS[0]}), named_struct('title', '', 'text', '', 'items', array('')),
+        named_struct('title', 'Last', 'text', ' t ', 'items', array('i'))), 'answer_kind', role, 'confidence', CASE WHEN turn < 3 THEN cast(turn AS string) END))""",
+    f"""to_json({{'summary': CASE WHEN turn % 3 = 0 THEN ' ' ELSE left(text, 60) END, 'points': CASE WHEN turn % 2 = 0 THEN {_POINTS[1]} END,
+      'sections': [{{'title': role, 'text': CASE WHEN conv_id % 2 = 0 THEN left(text, 40) ELSE '' END, 'items': {_POINTS[1]}}}, {{'title': '', 'text': '', 'items': ['']}},
+        {{'title': 'Last', 'text': ' t ', 'items': ['i']}}], 'answer_kind': role, 'confidence': CASE WHEN turn < 3 THEN turn::VARCHAR END}})::VARCHAR""",
+)
 _dj = lambda d: F.from_json(d, DETAILS_TYPE)
 _d = "from_json(x, '{\"summary\":\"VARCHAR\",\"points\":[\"VARCHAR\"],\"sections\":[{\"title\":\"VARCHAR\",\"text\":\"VARCHAR\",\"items\":[\"VARCHAR\"]}]}')"
 _dsome = lambda a: f"list_filter(list_transform(coalesce({a}, []), lambda v: {trim('v')}), lambda v: v <> '')"
@@ -199,51 +210,20 @@ _dt = lambda a: trim(f"coalesce({a}, '')")
 here(
     "details_to_markdown", DETAILS, lambda x: as_markdown(_dj(x)),
     f"""array_to_string(list_filter(list_concat([{_dt(f'({_d}).summary')}], {_dsome(f'({_d}).points')}, flatten(list_transform(coalesce(({_d}).sections, []),
-      lambda s: list_concat([CASE WHEN {_dt('s.title')} <> '' THEN '### ' || {_dt('s.title')} ELSE '' END, {_dt('s.text')}], list_transform({_dsome('s.items')}, lambda i: '- ' || i))))), lambda v: v <> ''), chr(10))""",
+      lambda s: list_concat([CASE WHEN {_dt('s.title')} <> '' THEN '### ' || {_dt('s.title')} ELSE '' END, {_dt('s.text')}], list_transform({_dsome('s.items')}, lambda i: '- ' || i))))), lambda v: v <> ''), chr(10))""", DETAIL_ROWS,
 )
 here(
     "limit_details", DETAILS, lambda x: T.let(limited(_dj(x)), lambda d: F.concat_ws("¦", F.array_join(d["points"], "|"), F.array_join(F.transform(d["sections"], lambda s: F.concat_ws(":", s["title"], s["text"], F.array_join(s["items"], "+"))), "|"))),
     f"""concat_ws('¦', array_to_string({_dsome(f'({_d}).points')}[1:{MOST_POINTS}], '|'), array_to_string(list_transform(list_filter(list_transform(coalesce(({_d}).sections, []),
       lambda s: {{'t': {_dt('s.title')}, 'x': {_dt('s.text')}, 'i': {_dsome('s.items')}[1:{MOST_ITEMS}]}}), lambda s: s.t <> '' OR s.x <> '' OR len(s.i) > 0)[1:{MOST_SECTIONS}],
-      lambda s: concat_ws(':', s.t, s.x, array_to_string(s.i, '+'))), '|'))""",
+      lambda s: concat_ws(':', s.t, s.x, array_to_string(s.i, '+'))), '|'))""", DETAIL_ROWS,
 )
 QUERIES_ROWS = ('["a", " b ", "", "c", "d"]', "[]", '["", " "]')
 here(
     "cache_put_projection", QUERIES_ROWS, lambda x: T.let(F.array_join(F.filter(F.transform(F.slice(F.from_json(x, "array<string>"), 1, 3), T.trimmed), lambda q: q != ""), " ; "), lambda j: F.when(j != "", j).otherwise("query")),
     f"""coalesce(nullif(array_to_string(list_filter(list_transform(from_json(x, '["VARCHAR"]')[1:3], lambda q: {trim('q')}), lambda q: q <> ''), ' ; '), ''), 'query')""",
+    ("conversations", "conv_id * 1000 + turn", f"to_json({_POINTS[0]})", f"to_json({_POINTS[1]})::VARCHAR"),
 )
-CHUNK_PAYLOADS = (
-    '{"chunks": [{"content": "c1", "source": "s1"}, "plain", {"text": ""}, {"text": "t2", "title": "T"}]}', '{"chunks": [], "docs": ["d1", " "]}', '{"context": "whole"}', '{"result": {"documents": [{"body": "deep", "url": "u"}]}}',
-    "{}", "no json", '{"contexts": {"page_content": "p", "document": "doc"}}',
-)
-CONTAINERS = ("chunks", "contexts", "context", "documents", "docs", "results", "sources")
-TEXTS, SOURCE_KEYS = ("text", "content", "context", "page_content", "body"), ("source_file", "source", "documentName", "document", "title", "url")
-
-
-def payload_chunks(x: Column) -> Column:
-    """Text and source of each chunk of a payload, whatever container and synonyms it uses: the first container that
-    holds any, of the payload or else of its result or data."""
-
-    def chunks_of(value: Column) -> Column:
-        v = T.trimmed(value)
-        items = F.when(v.startswith("["), F.from_json(v, "array<string>")).when(v != "", F.array(v)).otherwise(F.array().cast("array<string>"))
-        each = F.transform(
-            items,
-            lambda i: F.when(T.trimmed(i).startswith("{"), F.struct(P.first_text(i, TEXTS).alias("text"), F.coalesce(P.first_text(i, SOURCE_KEYS), F.lit("")).alias("source")))
-            .otherwise(F.struct(F.nullif(T.trimmed(i), F.lit("")).alias("text"), F.lit("external").alias("source"))),
-        )
-        return F.filter(each, lambda c: c["text"].isNotNull())
-
-    found = F.array().cast("array<struct<text:string,source:string>>")
-    for at in reversed(["$", "$.result", "$.data"]):
-        for key in reversed(CONTAINERS):
-            own = chunks_of(F.coalesce(F.get_json_object(x, f"{at}.{key}"), F.lit("")))
-            found = T.let(F.struct(own.alias("own"), found.alias("rest")), lambda c: F.when(F.size(c["own"]) > 0, c["own"]).otherwise(c["rest"]))
-    return found
-
-
-QUERIES["payload_chunks"] = lambda spark, sf_dir: fixed(spark, CHUNK_PAYLOADS).select("n", F.posexplode(payload_chunks(F.col("x"))).alias("pos", "c")).select("n", F.col("pos").cast("bigint").alias("pos"), "c.text", "c.source")
-ORACLES["payload_chunks"] = """SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 'c1', 's1'), (0, 1, 'plain', 'external'), (0, 2, 't2', 'T'), (1, 0, 'd1', 'external'), (2, 0, 'whole', 'external'), (3, 0, 'deep', 'u'), (6, 0, 'p', 'doc')) v(n, pos, text, source)"""
 
 # A summary of one sentence: query words shared, and a little for the chunk's place.
 _words = lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) > 2))

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import functions as F
 
 from textloom.functions import answers as A
 from textloom.functions import language as L
 from textloom.functions import nodes as N
+from textloom.functions import payload as P
 from textloom.functions import text as T
 from textloom.operators import matching, vectors
+from textloom.sources import shared
 
 from . import language_queries as G
-from .answer_queries import ASKED, DETAILS, OVERVIEW_SPECIFIC, OVERVIEW_WORDS, TALK, alias, by_name, is_overview
+from .answer_queries import ASKED, DETAIL_ROWS, DETAILS, OVERVIEW_SPECIFIC, OVERVIEW_WORDS, TALK, alias, by_name, is_overview, sanitized_sql
 from .inputs import fixed, quoted, table, values
 from .text_queries import squeeze, trim
 
@@ -42,8 +43,31 @@ NODES = tuple(
     )
 ) + ("no json",)
 NODE_LINES = ("[H3] Fees¦[H2] Odd¦Plain words.", "- one¦- two¦- three four¦[PDF: Form | http://f]", "a | b c¦four long words here stand¦Q: Why?¦A: So.", "", "", "")
-QUERIES["render_json_nodes"] = lambda spark, sf_dir: fixed(spark, NODES).select("n", F.replace(N.rendered(F.col("x")), F.lit("\n"), F.lit("¦")).alias("value"))
-ORACLES["render_json_nodes"] = expected(NODE_LINES)
+#: The fields of nodes made of pages: a header, a text, a list, a table, an attachment and a question.
+_plain = "trim(left(regexp_replace(html, '[^A-Za-z]+', ' '{0}), 60))"
+PAGE_NODES = tuple(
+    x.replace("@", _plain.format(""))
+    for x in (
+        "'type', 'header', 'tag', concat('H', page_id % 8), 'text', concat(' Page ', page_id)", "'type', 'text', 'text', @", "'type', 'list', 'items', split(@, ' ')",
+        "'type', 'table', 'data', array(array(concat('p', page_id), ' b  c', 'Download'), array('lone'), split(@, ' '))",
+        "'type', 'file_attachment', 'text', CASE WHEN page_id % 3 = 0 THEN 'PDF' ELSE 'Form' END, 'url', url", "'type', 'faq', 'question', 'Which page?', 'answer', CASE WHEN page_id % 2 = 0 THEN url END",
+    )
+)
+
+
+def _page_nodes(spark, sf_dir):
+    each = ", ".join(f"to_json(named_struct({x}))" for x in PAGE_NODES)
+    rows = table(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("n"), F.expr(f"concat('[', concat_ws(',', {each}), ']')").alias("x"))
+    return fixed(spark, NODES).union(rows).select("n", F.replace(N.rendered(F.col("x")), F.lit("\n"), F.lit("¦")).alias("value"))
+
+
+QUERIES["render_json_nodes"] = _page_nodes
+_w = _plain.format(", 'g'")
+ORACLES["render_json_nodes"] = expected(NODE_LINES) + f""" UNION ALL SELECT -page_id - 1, concat_ws('¦', concat('[H', CASE WHEN page_id % 8 BETWEEN 1 AND 6 THEN page_id % 8 ELSE 2 END, '] Page ', page_id), nullif(t, ''),
+    nullif(array_to_string(list_transform(list_filter(w, lambda x: x <> ''), lambda x: '- ' || x), '¦'), ''), concat('p', page_id, ' | b c'),
+    CASE WHEN len(kept) >= 2 OR len(regexp_extract_all(array_to_string(kept, ' '), '[A-Za-z]{{3,}}')) >= 4 THEN array_to_string(kept, ' | ') END,
+    CASE WHEN page_id % 3 > 0 THEN concat('[PDF: Form | ', {trim('url')}, ']') END, CASE WHEN page_id % 2 = 0 THEN concat('Q: Which page?¦A: ', {trim('url')}) END)
+  FROM (SELECT *, list_filter(w, lambda x: x <> '' AND lower(x) NOT IN ('download', 'data', '(data)', 'form available')) AS kept FROM (SELECT page_id, url, {_w} AS t, string_split({_w}, ' ') AS w FROM pages)) x"""
 
 SOURCED = tuple(
     json.dumps(x)
@@ -62,26 +86,75 @@ CANDIDATES = (
 )
 
 
-def _sourced(spark, make):
+def _sourced(spark, sf_dir, make):
+    """The fixed answers with their sources; and assistants' turns, of which the start is the answer, and it, the whole turn
+    and the turn before are the sources."""
     parts = F.from_json("x", "array<string>")
-    rows = fixed(spark, SOURCED).select("n", F.get(parts, F.lit(0)).alias("answer"), F.slice(parts, 2, 100).alias("bodies"))
-    return rows.select("n", make(F.col("answer"), F.col("bodies")).alias("value"))
-
-
-QUERIES["detail_points"] = lambda spark, sf_dir: _sourced(spark, lambda a, b: F.array_join(A.points(a, b), "¦"))
-ORACLES["detail_points"] = expected(POINTS)
-QUERIES["candidate_projection"] = lambda spark, sf_dir: _sourced(spark, A.candidate)
-ORACLES["candidate_projection"] = expected(CANDIDATES)
+    own = fixed(spark, SOURCED).select("n", F.get(parts, F.lit(0)).alias("answer"), F.slice(parts, 2, 100).alias("bodies"))
+    turns = table(spark, sf_dir, "conversations")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    start = F.left("text", F.lit(120))
+    turns = turns.filter("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select(
+        (-F.col("conv_id") * 1000 - F.col("turn") - 1).alias("n"), start.alias("answer"), F.array(start, F.col("text"), F.coalesce("before", F.lit(""))).alias("bodies")
+    )
+    return own.union(turns).select("n", make(F.col("answer"), F.col("bodies")).alias("value"))
+
+
+def _points_sql(shown: str, said: str) -> str:
+    """The same for the turns, whose texts have no labels or headings."""
+    split = lambda x: f"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {trim('s')}), lambda s: s <> '')"
+    body = lambda x: f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: {trim('l')}), lambda l: l <> ''), ' ')"
+    words_of = lambda x: f"regexp_split_to_array({trim(x)}, '\\s+')"
+    capped = lambda x, n: f"CASE WHEN len({words_of(x)}) > {n} THEN concat(regexp_replace(array_to_string({words_of(x)}[1:{n}], ' '), '[ ,;:]+$', ''), '.') ELSE {trim(x)} END"
+    key = lambda x: trim(f"regexp_replace(lower({x}), '{L.NOT_WORD}', ' ', 'g')")
+    cut = squeeze(f"regexp_replace({capped('c', A.MOST_WORDS)}, '\\s+for\\s+[0-9]+\\.?$', '.')")
+    bad = f"regexp_matches(c, '(?i)\\b(undefined|nan|null)\\b') OR (len(regexp_split_to_array(c, '\\s+')) > {A.MOST_WORDS} AND len(regexp_extract_all(c, ';')) >= 3)"
+    first = f"{{'seen': [{key(said)}], 'p': []::VARCHAR[]}}"
+    fold = f"""list_reduce(list_prepend({first}, list_transform(list_filter(fit, lambda x: x.k <> '' AND len(regexp_split_to_array(x.p, '\\s+')) >= {A.LEAST_WORDS}), lambda x: {{'seen': [x.k], 'p': [x.p]}})),
+      lambda acc, itm: CASE WHEN len(list_filter(acc.seen, lambda s: contains(s, itm.seen[1]) OR contains(itm.seen[1], s))) > 0 OR len(acc.p) >= {A.MOST_POINTS} THEN acc
+        ELSE {{'seen': list_concat(acc.seen, itm.seen), 'p': list_concat(acc.p, itm.p)}} END).p"""
+    two = "array_to_string(two, ' ')"
+    return f"""WITH a AS (SELECT -c.conv_id * 1000 - c.turn - 1 AS n, left(c.text, 120) AS answer, c.text, coalesce(b.text, '') AS before FROM conversations c
+    LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1 WHERE c.role = 'assistant'),
+  s AS (SELECT n, answer, {sanitized_sql('answer', '0-9')} AS whole, list_concat({split(body('answer'))}[1:{A.MOST_SENTENCES}], {split(body('text'))}[1:{A.MOST_SENTENCES}], {split(body('before'))}[1:{A.MOST_SENTENCES}]) AS l FROM a),
+  e AS (SELECT n, i, {sanitized_sql('x', '0-9')} AS c FROM (SELECT n, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM s)),
+  d AS (SELECT n, i, CASE WHEN {bad} THEN '' ELSE {cut} END AS p FROM e),
+  f AS (SELECT n, list({{'p': p, 'k': {key('p')}}} ORDER BY i) AS fit FROM (SELECT n, i, CASE WHEN regexp_matches(p, '(?i)\\b(and|or|for|of|with|to|in)\\.?$') THEN '' ELSE p END AS p FROM d) GROUP BY n),
+  g AS (SELECT s.n, answer, whole, coalesce(fit, []) AS fit, {split('whole')}[1:2] AS two FROM s LEFT JOIN f ON f.n = s.n),
+  z AS (SELECT n, whole, {fold} AS points, two FROM g),
+  y AS (SELECT *, {capped(two, 40)} AS said FROM z)
+  SELECT n, {shown} AS value FROM y"""
+
+
+_joined = "array_to_string(points, '¦')"
+_details = "concat(whole, CASE WHEN len(points) > 0 THEN concat(chr(10), chr(10), '## Relevant details', chr(10), '- ', array_to_string(points, concat(chr(10), '- '))) ELSE '' END)"
+_shown = f"concat('[[spoken]]', {trim('said')}, '[[/spoken]][[details]]', CASE WHEN {trim(_details)} <> '' THEN {trim(_details)} ELSE {trim('said')} END, '[[/details]]')"
+QUERIES["detail_points"] = lambda spark, sf_dir: _sourced(spark, sf_dir, lambda a, b: F.array_join(A.points(a, b), "¦"))
+ORACLES["detail_points"] = f"SELECT * FROM ({expected(POINTS)}) UNION ALL SELECT * FROM ({_points_sql(_joined, 'answer')})"
+QUERIES["candidate_projection"] = lambda spark, sf_dir: _sourced(spark, sf_dir, A.candidate)
+ORACLES["candidate_projection"] = f"SELECT * FROM ({expected(CANDIDATES)}) UNION ALL SELECT * FROM ({_points_sql(_shown, 'whole')})"
 
 KEPT = DETAILS + ('{"answer_kind": "Clarify", "confidence": 3, "summary": " s "}', '{"sections": [{"title": "t", "items": [" i ", "k"]}], "confidence": "x"}', "no json")
 ENFORCED = (
     "S¦a|b¦answer¦0.86", "b¦1|2|3|4|5|6|7¦answer¦0.86", "only¦only¦answer¦0.86", "¦¦answer¦0.86", "t¦t¦answer¦0.86", "s¦s¦clarify¦1.0", "i¦i|k¦answer¦0.86", "¦¦answer¦0.86",
 )
 ENFORCED = (ENFORCED[0], "1¦" + ENFORCED[1].split("¦", 1)[1], *ENFORCED[2:])
-QUERIES["enforce_details"] = lambda spark, sf_dir: fixed(spark, KEPT).withColumn("d", A.enforced(F.col("x"))).select(
+
+def _kept(spark, sf_dir):
+    of, key, body, _ = DETAIL_ROWS
+    return fixed(spark, KEPT).union(table(spark, sf_dir, of).select((-F.expr(key) - 1).alias("n"), F.expr(body).alias("x")))
+
+
+QUERIES["enforce_details"] = lambda spark, sf_dir: _kept(spark, sf_dir).withColumn("d", A.enforced(F.col("x"))).select(
     "n", F.concat_ws("¦", "d.summary", F.array_join("d.points", "|"), "d.answer_kind", F.col("d.confidence").cast("string")).alias("value")
 )
-ORACLES["enforce_details"] = expected(ENFORCED)
+_items = f"list_filter(list_transform(items, lambda v: {trim('v')}), lambda v: v <> '')"
+# The turns' details by their parts: three sections, of which the second is empty and the last holds `t` and `i`.
+ORACLES["enforce_details"] = f"""SELECT * FROM ({expected(ENFORCED)}) UNION ALL SELECT n, concat_ws('¦', summary, array_to_string(CASE WHEN len(own) > 0 THEN own ELSE listed END, '|'), CASE WHEN lower(role) IN {P.ANSWER_KINDS} THEN lower(role) ELSE 'answer' END,
+    (CASE WHEN turn < 3 THEN least(1.0, turn) ELSE {P.DEFAULT} END)::DOUBLE::VARCHAR) FROM (
+  SELECT -(conv_id * 1000 + turn) - 1 AS n, role, turn, CASE WHEN turn % 3 > 0 AND {trim('left(text, 60)')} <> '' THEN {trim('left(text, 60)')} ELSE coalesce(nullif(CASE WHEN {trim('part')} <> '' THEN {trim('part')} ELSE {trim('items[1]')} END, ''), 't') END AS summary,
+    CASE WHEN turn % 2 = 0 THEN {_items} ELSE [] END AS own, list_concat({_items}, CASE WHEN {trim('part')} <> '' THEN [{trim('part')}] ELSE [] END, ['i', 't']) AS listed
+  FROM (SELECT *, regexp_split_to_array(left(text, 300), '[.] ') AS items, CASE WHEN conv_id % 2 = 0 THEN left(text, 40) ELSE '' END AS part FROM conversations))"""
 
 
 def final_turns(turns, require_signal: bool = False):
@@ -143,9 +216,9 @@ def _index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").union(fixed(spark, (" ", "")).select(-F.col("n") - 1, "x"))
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     rows = docs.join(vecs.union(vecs.filter("id < 2").select(-F.col("id") - 1, "vector")), "id")
-    folder = (spark.conf.get("spark.sql.warehouse.dir") or tempfile.gettempdir()).rstrip("/") + "/vector_index"
-    vectors.write_index(rows, folder, 64)
-    return spark.read.parquet(folder).select("id", F.size("vector").cast("bigint").alias("dim"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+    place = shared.folder(spark, "vector-index")
+    vectors.write_index(rows, place, 64)
+    return spark.read.parquet(place).select("id", F.size("vector").cast("bigint").alias("dim"), F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 
 QUERIES["build_vector_index"] = _index

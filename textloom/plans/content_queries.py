@@ -15,7 +15,7 @@ from textloom.operators.paged import ENOUGH_WORDS
 from textloom.sources import jsonl, shared
 
 from .answer_queries import sanitized_sql
-from .inputs import table
+from .inputs import fixed, table, values
 from .text_queries import squeeze, trim
 
 QUERIES: dict = {}
@@ -110,6 +110,21 @@ def _normalised_sql() -> str:
 
 QUERIES["payload_normalised"] = _normalised
 ORACLES["payload_normalised"] = _normalised_sql()
+CHUNK_PAYLOADS = (
+    '{"chunks": [{"content": "c1", "source": "s1"}, "plain", {"text": ""}, {"text": "t2", "title": "T"}]}', '{"chunks": [], "docs": ["d1", " "]}', '{"context": "whole"}', '{"result": {"documents": [{"body": "deep", "url": "u"}]}}',
+    "{}", "null", '{"contexts": {"page_content": "p", "document": "doc"}}',
+)
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = _payload_bodies(spark, sf_dir).union(fixed(spark, CHUNK_PAYLOADS).select(-F.col("n") - 1, "x"))
+    return P.chunks_of(bodies.select("id", F.parse_json("body").alias("v"))).select("id", F.col("n").cast("bigint").alias("pos"), "text", "source")
+
+
+QUERIES["payload_chunks"] = _chunks
+_shaped = "replace(replace(shape, '@t', t), '@r', r)::JSON AS v FROM s"
+_until_chunks = _normalised_sql().replace(_shaped + ")", f"{_shaped} UNION ALL SELECT -n - 1, x::JSON FROM {values(CHUNK_PAYLOADS)})").partition(",\n  listed AS")[0]
+ORACLES["payload_chunks"] = f"{_until_chunks} SELECT id, n AS pos, t AS text, source FROM chunks"
 
 # Page documents: the documents, ten lines a page, each page with a marker or number, a header and a footer; the second page
 # is a table of contents. Blank lines go when pages are cut.

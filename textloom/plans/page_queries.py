@@ -3,12 +3,11 @@ SQL can say the same."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import chunkers, chunks, pages
+from textloom.operators import chunkers, chunks, pages, ranks
+from textloom.sources import shared
 
 from .inputs import LINES, fixed, quoted, table, values
 from .text_queries import collapse, has, key, low, noise, squeeze, trim, words
@@ -103,11 +102,6 @@ BLOCKS = (
     f"{pages.SEPARATOR}\nTITLE: no address\n{pages.SEPARATOR}\nlost\n{pages.SEPARATOR}\nURL: http://a/2\nSITE: own\n\nBody two in the header's part.\n",
     "no rule at all", "",
 )
-QUERIES["scan_block_file"] = lambda spark, sf_dir: pages.block_records(fixed(spark, BLOCKS).select(F.col("n").cast("string").alias("path"), F.col("x").alias("text")))
-ORACLES["scan_block_file"] = """SELECT * FROM (VALUES ('0', 0::BIGINT, 'main', '', '', 'http://a/1', 'One', '', '2024', '', concat('Body one.', chr(10), 'More.')),
-  ('0', 1, 'own', '', '', 'http://a/2', 'http://a/2', '', '', '', 'Body two in the header''s part.')) v(path, pos, site, language, source_type, url, title, section, scraped_at, content_hash, body)"""
-
-
 def _blocks(spark, sf_dir):
     """Pages as block records."""
     e = F.lit("")
@@ -125,6 +119,20 @@ ORACLES["sink_block_format"] = f"""WITH u AS (SELECT page_id, {_canon} AS url, h
     'SECTION: s' || lpad(page_id::VARCHAR, 8, '0'), 'LANGUAGE: en', 'SITE: ' || site, 'SCRAPED_AT: 2024', {_rule}, '', {trim('html')}, '') AS block FROM b"""
 
 
+def _read_back(spark, sf_dir):
+    """Pages written as files of blocks and read again, and the records of the fixed files."""
+    place = shared.folder(spark, "blocks")
+    pages.write_blocks(_blocks(spark, sf_dir), place, with_site_group=True)
+    own = fixed(spark, BLOCKS).select(F.col("n").cast("string").alias("path"), F.col("x").alias("text"))
+    return pages.block_records(pages.read_files(spark, place).union(own)).drop("path", "pos")
+
+
+QUERIES["scan_block_file"] = _read_back
+ORACLES["scan_block_file"] = ORACLES["sink_block_format"][: ORACLES["sink_block_format"].index("SELECT n, concat_ws")] + f"""SELECT site, 'en' AS language, '' AS source_type, url, 'Page ' || page_id AS title, 's' || lpad(page_id::VARCHAR, 8, '0') AS section,
+    '2024' AS scraped_at, '' AS content_hash, array_to_string(list_filter([{trim('html')}], lambda x: true), '') AS body FROM b
+  UNION ALL SELECT * FROM (VALUES ('main', '', '', 'http://a/1', 'One', '', '2024', '', concat('Body one.', chr(10), 'More.')), ('own', '', '', 'http://a/2', 'http://a/2', '', '', '', 'Body two in the header''s part.')) v"""
+
+
 def _glob(spark, sf_dir):
     """Files of the table folder by name."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(sf_dir).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name")).distinct()
@@ -158,16 +166,28 @@ FAQ = "## 1. What is it?\n" + _long * 3 + "\n## 2) short?\nno\n## 3. Long one?\n
 _fixed_texts = (FAQ, TABLES[0], POLICY, REPORT, GUIDE, WEB, "single text", "")
 
 
+PAGE_DOCS = 1_000_000
+_LETTERS = "trim(left(regexp_replace(html, '[^A-Za-z]+', ' '{0}), {1}))"
+
+
 def _with_fixed(spark, sf_dir):
+    """The documents, the pages as files of pages with two sections each, and the fixed texts."""
     own = fixed(spark, _fixed_texts).select((-F.col("n") - 1).alias("doc_id"), F.col("x").alias("text"), F.concat(F.lit("file"), "n").alias("source"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source").union(own)
+    rule, body = F.lit(pages.SEPARATOR), lambda n: F.expr(_LETTERS.format("", n))
+    title = F.concat(F.lit("Page "), "page_id")
+    web = F.concat_ws("\n", rule, F.concat(F.lit("URL: "), "url"), F.concat(F.lit("TITLE: "), title), F.lit("SECTION: News"), rule, F.concat(F.lit("[H1] "), F.when(F.col("page_id") % 2 == 0, title).otherwise("Start")),
+                      body(400), F.lit("[H3] Deep heading of the page"), F.lit("[H2] More"), body(900), F.lit("Home"))
+    web = table(spark, sf_dir, "pages").select((F.col("page_id") + PAGE_DOCS).alias("doc_id"), web.alias("text"), F.lit("file5").alias("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "source").union(web).union(own)
 
 
 for _name in chunkers.STRATEGIES:
     if _name != "single":
         QUERIES[f"chunk_{_name}"] = lambda spark, sf_dir, n=_name: chunkers.STRATEGIES[n](_with_fixed(spark, sf_dir))
 QUERIES["web_sections"] = lambda spark, sf_dir: chunkers.web_sections(_with_fixed(spark, sf_dir)).select("doc_id", F.col("n").cast("bigint").alias("n"), "url", "title", "heading", F.size("lines").cast("bigint").alias("n_lines"))
-ORACLES["web_sections"] = """SELECT * FROM (VALUES (-6::BIGINT, 0::BIGINT, 'http://a/1', 'First', 'First', 1::BIGINT), (-6, 1, 'http://a/1', 'First', 'Second', 3), (-6, 2, 'http://a/2', 'Next', 'Next', 1)) v(doc_id, n, url, title, heading, n_lines)"""
+ORACLES["web_sections"] = """SELECT * FROM (VALUES (-6::BIGINT, 0::BIGINT, 'http://a/1', 'First', 'First', 1::BIGINT), (-6, 1, 'http://a/1', 'First', 'Second', 3), (-6, 2, 'http://a/2', 'Next', 'Next', 1)) v(doc_id, n, url, title, heading, n_lines)
+  UNION ALL SELECT page_id + 1000000, 0, trim(url), 'Page ' || page_id, CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id ELSE 'Start' END, 2 FROM pages
+  UNION ALL SELECT page_id + 1000000, 1, trim(url), 'Page ' || page_id, 'More', 2 FROM pages"""
 ROUTES = [("file0", "help", "faq"), ("file1", "help", "table_faq"), ("file2", "rules", "policy"), ("file3", "carbon", "report"), ("file4", "guide", "guidebook"), ("file5", "site", "web"), ("file6", "notes", "single"), ("src1", "notes", "single")]
 QUERIES["chunk_dispatch"] = lambda spark, sf_dir: chunkers.dispatched(_with_fixed(spark, sf_dir), ROUTES).groupBy("domain", "strategy").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"))
 _tl = f"""(SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM
@@ -179,20 +199,38 @@ ORACLES["chunk_table_faq"] = f"""WITH r AS (SELECT *, row_number() OVER (PARTITI
     WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
   SELECT doc_id, chunk_index, left(b, 100) AS section_title, text, false AS is_table, greatest(1, length(text) // 4) AS token_estimate FROM f"""
 MARKED = ("1.2.\nRules\n(a)\n| t |\n3.1\n(b)\nlast\n4.4", "plain\nlines")
-QUERIES["merge_lonely_markers"] = lambda spark, sf_dir: fixed(spark, MARKED).select("n", F.array_join(chunks.merged_markers(F.split("x", "\n", -1)), "¦").alias("lines"))
-ORACLES["merge_lonely_markers"] = "SELECT * FROM (VALUES (0::BIGINT, '1.2 Rules¦(a)¦| t |¦3.1 (b)¦last¦4.4'), (1, 'plain¦lines')) v(n, lines)"
 
 
-def _chunk_files(spark, sf_dir):
-    """Chunks written as JSON in a folder for each domain, and read again from there."""
-    from textloom.operators.ranks import first_of_each
+def _marked(spark, sf_dir):
+    """The documents' lines, every third under a section's number, every fifth under a letter and a table's row."""
+    marked = "array_join(flatten(transform(split(text, '\\n', -1), (x, k) -> CASE WHEN k % 3 = 1 THEN array(concat(k, '.2.'), x) WHEN k % 5 = 2 THEN array(' (b) ', '7.1', '(c)', '| row |', x) ELSE array(x) END)), '\\n')"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.expr(marked).alias("x"))
+    rows = docs.union(fixed(spark, MARKED).select(-F.col("n") - 1, "x"))
+    return rows.select("n", F.array_join(chunks.merged_markers(F.split("x", "\n", -1)), "¦").alias("lines"))
+
 
+QUERIES["merge_lonely_markers"] = _marked
+ORACLES["merge_lonely_markers"] = f"""WITH t AS (SELECT doc_id AS n, flatten(list_transform(string_split(text, chr(10)), lambda x, k: CASE WHEN (k - 1) % 3 = 1 THEN [concat(k - 1, '.2.'), x]
+    WHEN (k - 1) % 5 = 2 THEN [' (b) ', '7.1', '(c)', '| row |', x] ELSE [x] END)) AS l FROM documents UNION ALL SELECT -n - 1, string_split(x, chr(10)) FROM {values(MARKED)}),
+  e AS (SELECT n, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM t),
+  m AS (SELECT *, regexp_full_match({trim('line')}, '(?i)([0-9]+(\\.[0-9]+)+\\.?|\\([a-z]\\))') AS mark, lead({trim('line')}) OVER (PARTITION BY n ORDER BY pos) AS nxt FROM e),
+  r AS (SELECT *, pos - max(CASE WHEN NOT mark THEN pos ELSE 0 END) OVER (PARTITION BY n ORDER BY pos) - 1 AS r FROM m),
+  k AS (SELECT *, mark AND r % 2 = 0 AND nxt IS NOT NULL AND nxt <> '' AND NOT starts_with(nxt, '|') AS takes FROM r),
+  g AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY n ORDER BY pos), false) AS taken FROM k)
+  SELECT n, string_agg(CASE WHEN takes THEN concat(rtrim({trim('line')}, '.'), ' ', nxt) ELSE line END, '¦' ORDER BY pos) AS lines FROM g WHERE NOT taken GROUP BY n"""
+
+
+def _chunk_files(spark, sf_dir):
+    """Chunks written as JSON in a folder for each domain, and read again from there; of one id the first stays."""
     own = spark.createDataFrame([("c1", "first", "a"), ("c1", "again", "b"), ("c2", "two", "b"), ("c3", " ", "a")], "chunk_id string, text string, domain string")
-    folder = (spark.conf.get("spark.sql.warehouse.dir") or tempfile.gettempdir()).rstrip("/") + "/chunks_by_domain"
-    own.write.mode("overwrite").partitionBy("domain").json(folder)
-    rows = spark.read.schema("chunk_id string, text string, domain string").option("mode", "FAILFAST").json(folder)
-    return first_of_each(rows.filter(F.trim("text") != ""), ["chunk_id"], [F.col("domain"), F.col("text")])
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.floor(F.col("doc_id") / 3)), F.left("text", F.lit(100)), "lang")
+    place = shared.folder(spark, "chunks")
+    own.union(docs).write.partitionBy("domain").json(place)
+    rows = spark.read.schema("chunk_id string, text string, domain string").option("mode", "FAILFAST").json(place)
+    return ranks.first_of_each(rows.filter(F.trim("text") != ""), ["chunk_id"], [F.col("domain"), F.col("text")]).select("chunk_id", "text", "domain")
 
 
 QUERIES["scan_chunks_json"] = _chunk_files
-ORACLES["scan_chunks_json"] = "SELECT * FROM (VALUES ('c1', 'first', 'a'), ('c2', 'two', 'b')) v(chunk_id, text, domain)"
+ORACLES["scan_chunks_json"] = """SELECT chunk_id, text, domain FROM (SELECT 'd' || (doc_id // 3) AS chunk_id, left(text, 100) AS text, lang AS domain FROM documents
+    UNION ALL SELECT * FROM (VALUES ('c1', 'first', 'a'), ('c1', 'again', 'b'), ('c2', 'two', 'b'), ('c3', ' ', 'a')) v(chunk_id, text, domain)) x
+  WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY domain, text) = 1"""

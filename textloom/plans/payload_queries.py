@@ -26,8 +26,9 @@ PAYLOADS = (
 NUMBERS = ("1,234", "1,5", "1,234.5", "12", "1,234,567", "+3,25", "-1,000", "1.5", "12,34,567")
 
 
-def over(name: str, rows: tuple[str, ...], make: Callable[[Column], Column], sql: str, base: tuple[str, str, str] | None = None) -> None:
-    """A column over fixed rows x, and over a table's text column if named."""
+def over(name: str, rows: tuple[str, ...], make: Callable[[Column], Column], sql: str, base: tuple[str, ...] | None = None) -> None:
+    """A column over fixed rows x, and over rows of a table: its name, and expressions for id and x (and for x in DuckDB, where
+    that is another)."""
 
     def run(spark, sf_dir):
         own = fixed(spark, rows).select((-F.col("n") - 1).alias("id"), "x")
@@ -37,7 +38,7 @@ def over(name: str, rows: tuple[str, ...], make: Callable[[Column], Column], sql
 
     QUERIES[name] = run
     own = f"SELECT -n - 1 AS id, x FROM {values(rows)}"
-    ORACLES[name] = f"SELECT id, {sql} AS value FROM ({f'SELECT {base[1]} AS id, {base[2]} AS x FROM {base[0]} UNION ALL {own}' if base else own})"
+    ORACLES[name] = f"SELECT id, {sql} AS value FROM ({f'SELECT {base[1]} AS id, {base[-1]} AS x FROM {base[0]} UNION ALL {own}' if base else own})"
 
 
 _t = f"lower({trim('x')})"
@@ -75,15 +76,18 @@ _first_line, _rest = trim("split_part(x, chr(10), 1)"), trim("regexp_replace(x,
 over("wrap_tags", LINES + ("one\ntwo\nthree", "\nx"), lambda x: P.wrap_tags(F.substring_index(x, "\n", 1), F.regexp_replace(x, r"^[^\n]*\n?", "")),
      f"""concat('[[spoken]]', {_first_line}, '[[/spoken]][[details]]', CASE WHEN {_rest} <> '' THEN {_rest} ELSE {_first_line} END, '[[/details]]')""", _turns)
 over("normalize_number_token", NUMBERS, P.normalize_number,
-     "CASE WHEN regexp_matches(x, '^[+-]?\\d{1,3}(,\\d{3})+(\\.\\d+)?$') THEN replace(x, ',', '') ELSE replace(x, ',', '.') END")
+     "CASE WHEN regexp_matches(x, '^[+-]?\\d{1,3}(,\\d{3})+(\\.\\d+)?$') THEN replace(x, ',', '') ELSE replace(x, ',', '.') END",
+     ("documents", "doc_id", *(f"CASE doc_id % 3 WHEN 0 THEN {n} WHEN 1 THEN concat(n_chars, ',', doc_id % 10) ELSE concat('-', {n}, '.', doc_id % 100) END" for n in ("format_number(n_chars, 0)", "format('{:,}', n_chars)"))))
 over("trim_spoken", LINES, lambda x: P.word_cap(x, 28), f"array_to_string(regexp_split_to_array({trim('x')}, '\\s+')[1:28], ' ')", _docs)
 over("key_points", LINES, lambda x: F.array_join(F.transform(F.slice(T.sentences(x), 1, 4), lambda s: F.left(s, F.lit(180))), "¦"),
      f"array_to_string(list_transform(list_filter(list_transform(string_split(regexp_replace(x, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {trim('s')}), lambda s: s <> '')[1:4], lambda s: left(s, 180)), '¦')", _docs)
 over("content_signature", LINES, lambda x: F.sha2(F.concat_ws("|", F.lit("text"), x), 256), "sha256(concat_ws('|', 'text', x))", _docs)
 over("plan_route", LINES, lambda x: F.when(F.lower(T.trimmed(x)).isin("hi", "hello", "thanks", "bye"), "chitchat").when(F.length(T.trimmed(x)) < 3, "direct").otherwise("rag"),
      f"CASE WHEN {_t} IN ('hi', 'hello', 'thanks', 'bye') THEN 'chitchat' WHEN length({trim('x')}) < 3 THEN 'direct' ELSE 'rag' END", _turns)
-over("filter_token_confidence", CONFIDENCES, lambda x: F.coalesce(T.trimmed(x).try_cast("double") >= 0.3, F.lit(True)), f"coalesce(try_cast({trim('x')} AS DOUBLE) >= 0.3, true)")
-over("config_coercion", CONFIDENCES, lambda x: F.coalesce(T.trimmed(x).try_cast("int"), F.lit(7)).cast("bigint"), f"CASE WHEN regexp_matches({trim('x')}, '^[+-]?\\d+$') THEN {trim('x')}::BIGINT ELSE 7 END")
+over("filter_token_confidence", CONFIDENCES, lambda x: F.coalesce(T.trimmed(x).try_cast("double") >= 0.3, F.lit(True)), f"coalesce(try_cast({trim('x')} AS DOUBLE) >= 0.3, true)",
+     ("events", "event_id", "concat('0.', get_json_object(props, '$.k'), CASE WHEN event_id % 9 = 0 THEN '?' ELSE '' END)", "concat('0.', json_extract_string(props, '$.k'), CASE WHEN event_id % 9 = 0 THEN '?' ELSE '' END)"))
+over("config_coercion", CONFIDENCES, lambda x: F.coalesce(T.trimmed(x).try_cast("int"), F.lit(7)).cast("bigint"), f"CASE WHEN regexp_matches({trim('x')}, '^[+-]?\\d+$') THEN {trim('x')}::BIGINT ELSE 7 END",
+     ("events", "event_id", *(f"concat(CASE WHEN event_id % 4 = 0 THEN ' ' ELSE '' END, {k}(props, '$.k'), CASE WHEN event_id % 5 = 0 THEN event_type ELSE '' END)" for k in ("get_json_object", "json_extract_string"))))
 over("chunk_text_coalesce", PAYLOADS, lambda x: P.first_text(x, ("text", "content", "context")), _first(_js, ("text", "content", "context")), _events)
 over("hard_split_fixed", LINES, lambda x: F.ceil(F.length(x) / 1600).cast("bigint"), "ceil(length(x) / 1600)::BIGINT", _docs)
 over("pcm_segment_sizes", ("0", "999", "10240", "30720"), lambda x: F.ceil(F.greatest(x.cast("bigint") - 10240, F.lit(0)) / 28800).cast("bigint") + 1,
