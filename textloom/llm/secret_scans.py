@@ -100,8 +100,9 @@ def _folded(items: Column, start: Column, step, out: str) -> Column:
     type out. Struct of the last state and of all rows. Rows are gathered by chunks of items, as appending to one long
     array copies it each time."""
     none = F.array().cast(out)
-    chunks = F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(1)), lambda i: F.when(i % CHUNK == 0, F.slice(items, i + 1, CHUNK)))
-    chunks = F.filter(chunks, lambda c: c.isNotNull())
+    # The items are made once, and cut where a chunk begins.
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(1)), lambda i: F.when(i % CHUNK == 0, F.slice(a, i + 1, CHUNK)))
+    chunks = F.filter(_let(items, lambda a: F.when(F.size(a) > 0, cut(a)).otherwise(F.array())), lambda c: c.isNotNull())
 
     def inner(a: Column, x: Column) -> Column:
         return _let(step(a["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(a["rows"], r["rows"]).alias("rows")))
@@ -111,8 +112,7 @@ def _folded(items: Column, start: Column, step, out: str) -> Column:
         return _let(done, lambda r: F.struct(r["state"].alias("state"), F.concat(a["rows"], F.array(r["rows"])).alias("rows")))
 
     first = F.struct(start.alias("state"), F.array().cast(f"array<{out}>").alias("rows"))
-    full = _let(F.aggregate(chunks, first, outer), lambda r: F.struct(r["state"].alias("state"), F.flatten(r["rows"]).alias("rows")))
-    return F.when(F.size(items) > 0, full).otherwise(F.struct(start.alias("state"), none.alias("rows")))
+    return _let(F.aggregate(chunks, first, outer), lambda r: F.struct(r["state"].alias("state"), F.flatten(r["rows"]).alias("rows")))
 
 
 def _spans(pieces: Column, kind: str, wanted, texts: bool = False) -> Column:
