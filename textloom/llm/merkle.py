@@ -210,7 +210,8 @@ def manifest(docs: DataFrame, altered: Column | None = None, where: Column | Non
 
     altered and where: another text for the documents of a condition. The proofs are those of the documents as they
     are; folded_root is what a proof leads to from the leaf of the altered document."""
-    own = keep(_numbered(leaves(docs, altered, where), "doc_id", "node"))
+    # Leaves are kept: dealing them out by range looks at them twice, and texts are to be read once.
+    own = keep(_numbered(keep(leaves(docs, altered, where)), "doc_id", "node"))
     tiers = _tiers(own.select("part", "pos", "node"))
     parts = tiers[-1].select(F.lit("").alias("part"), F.col("part").alias("of"), "node")
     parts = keep(_numbered(parts, "of"))
