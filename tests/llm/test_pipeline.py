@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from pathlib import Path
 
@@ -88,3 +89,51 @@ def test_query_matches_sql(spark, name):
 def test_digest_of_no_spans(spark):
     rows = secret_scans.digest(secret_scans.secret_scan(spark.createDataFrame([(1, "plain")], "doc_id bigint, text string"))).collect()
     assert rows[0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def brute_digest(ids):
+    digest = 0
+    for x in ids:
+        digest = (digest * sentencepieces.DIGEST_BASE + x + 1) & sentencepieces.WRAP
+    return f"{digest:016x}"
+
+
+def written(spark, folder, rows):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, kept string, host string, id bigint"
+    spark.createDataFrame([(*r, "x", "y", "z", 5) for r in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_run_gives_what_the_stages_give(spark, stages):
+    got = {r["doc_id"]: r.asDict() for r in corpus_pipeline.run(spark, str(DATA)).collect()}
+    assert got == stages[-1][2]
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, and columns that stages use inside."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    secret = f"{prose(20)} password=abcdefgh1234 {prose(20)}"
+    long, one, two = prose(30_000), prose(60), prose(60)
+    rows = [
+        (1, None, "en", "s", None), (2, "", "en", "s", 0), (3, "few words", "en", "s", 9), (None, one, None, None, None), (None, None, None, None, None), (4, two, "en", "s", 1), (4, two, "en", "s", 1),
+        (5, one, "de", "s", 1), (6, secret, "en", None, 1), (7, long, None, "s", 1), (8, "same line of words here\n" * 40, "en", "s", 1), (9, two + " more", "en", "t", 1),
+    ]
+    folder = written(spark, tmp_path, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.read(spark, folder, "documents")
+        assert stage(spark, docs, folder).columns == docs.columns, name
+    kept = [r["doc_id"] for r in quality_rules.filter_rejected(common.read(spark, folder, "documents")).collect()]
+    assert not {1, 2, 3, 8} & set(kept) and kept.count(4) == 2
+    got = corpus_pipeline.run(spark, folder).collect()
+    m = sentencepieces.model(f"{VOCABULARIES}/piece_bpe_32k.model")
+    texts = {"one": one, "two": two, "secret": re.sub("password=abcdefgh1234", "[SECRET]", secret), "long": long, "more": two + " more"}
+    known = {brute_digest(ids): (name, len(ids)) for name, t in texts.items() for ids in [m.library.encode(t)]}
+    assert got and all(r["exact"] and r["ids_digest"] in known and known[r["ids_digest"]][1] == r["n_pieces"] for r in got)
+    # One of the near copies at most, and nothing twice.
+    names = [known[r["ids_digest"]][0] for r in got]
+    assert len(names) == len(set(names)) and not {"two", "more"} <= set(names)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, [(1, "x", "en", "s", 1)][:0])).collect() == []

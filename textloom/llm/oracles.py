@@ -96,8 +96,10 @@ bare AS (SELECT doc_id, k, i, x, length(translate(x, concat(chr(2), chr(3)), '')
 placed AS (SELECT doc_id, k, i, split_part(x, chr(2), 1) AS raw, sum(n) OVER (PARTITION BY doc_id, k ORDER BY i) - n AS s FROM bare),
 found AS (SELECT doc_id, k, s::BIGINT AS s, (s + length(translate(raw, chr(3), '')))::BIGINT AS e, raw, translate(raw, chr(3), '') AS m FROM placed WHERE i > 1),
 base AS (SELECT doc_id, k, s, e FROM found WHERE k IN (1, 2) OR (k = 0 AND length(split_part(raw, chr(3), 2)) >= 8)),
-more AS (SELECT doc_id, k, s, e FROM found r, weights WHERE k = 3 AND {ratio} >= {THRESHOLD} * (length(m) - 1)
-  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND b.e > r.s)),
+met AS (SELECT r.doc_id, r.s AS ts, r.m, b.s, b.e FROM found r JOIN base b ON b.doc_id = r.doc_id AND b.s < r.e AND b.e > r.s WHERE r.k = 3 UNION ALL SELECT doc_id, s, m, e, e FROM found WHERE k = 3),
+left_over AS (SELECT doc_id, ts, m AS whole, greatest(ts, coalesce(max(e) OVER (PARTITION BY doc_id, ts ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ts)) AS a, s AS z FROM met),
+part AS (SELECT doc_id, a AS s, z AS e, substr(whole, (a - ts + 1)::BIGINT, (z - a)::BIGINT) AS m FROM left_over WHERE z > a + 1),
+more AS (SELECT doc_id, 3 AS k, s, e FROM part, weights WHERE {ratio} >= {THRESHOLD} * (length(m) - 1)),
 spans AS (SELECT * FROM base UNION ALL SELECT * FROM more),
 agg AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
   count(*) FILTER (WHERE k = 3) AS n_random, {text('k < 3')} AS b, {text('true')} AS a FROM spans GROUP BY doc_id)
