@@ -38,6 +38,8 @@ HUB_ROUNDS = 2
 SMALL_KEY = 16
 #: Bits of the filter of shared shingles: 16 MB, whatever the data.
 SHINGLE_BITS = 1 << 27
+#: Number of a row whose id doesn't tell it from others.
+ROW = "__textloom_row"
 #: Documents of an Arrow batch that are worked on at once.
 SLICE = 1000
 #: Words of 64 bits of a set's parity sketch, and keys that a member knows of those before a key.
@@ -350,7 +352,20 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "
     return _relabelled(joined.withColumn("component_id", F.col("class_id")), "component_id", labels)
 
 
+def _tell_rows_apart(ids: DataFrame) -> bool:
+    """Whether no id (column id) is null or repeated."""
+    return ids.groupBy("id").agg(F.count("*").alias("n")).filter("id IS NULL OR n > 1").isEmpty()
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that represent their component, with all their columns."""
+    """The documents that represent their component, with all their columns: the smallest id of each. Where ids are null or
+    repeated, rows are numbered, and the first row of each component stays."""
+    if not _tell_rows_apart(docs.select(docs[id_col].alias("id"))):
+        numbered = keep(docs.withColumn(ROW, F.monotonically_increasing_id()))
+        return _representatives(numbered, ROW, **options).drop(ROW)
+    return _representatives(docs, id_col, **options)
+
+
+def _representatives(docs: DataFrame, id_col: str, **options) -> DataFrame:
     gone = keep(ngram_join(docs, id_col=id_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct())
     return without(docs, id_col, gone)
