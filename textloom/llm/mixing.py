@@ -33,6 +33,8 @@ TOLERANCE = 1e-6
 #: Parts of all tokens that may stay, the largest that meets the targets counts.
 FRACTIONS = tuple(k / 20 for k in range(20, 0, -1))
 LOCAL_CELLS = 100_000
+#: The table of many cells is looked at after so many rounds, and left when no deviation has moved more than this since.
+LOOK, STILL = 10, 1e-9
 
 
 def form_of(text: Column) -> Column:
@@ -51,7 +53,7 @@ def uniform(key: Column) -> Column:
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
-    """Tokens of each cell; nulls become a marked name so that cells join on equality."""
+    """Tokens of each cell; names are marked and nulls become an empty one, so that cells join on equality."""
     return rows.groupBy(*MARGINALS).agg(F.sum("n_tokens").cast("double").alias("tokens"))
 
 
@@ -111,11 +113,16 @@ def _rake_there(cells: DataFrame, temperature: float, rounds: int) -> DataFrame:
             rows = with_sums(rows, m).withColumn(f"d_{m}", F.abs(F.col("z") / (F.col(f"t_{m}") * F.col("fraction")) - 1)).drop("z")
         return rows.groupBy("fraction").agg(F.max(F.greatest(*[f"d_{m}" for m in MARGINALS])).alias("d"))
 
-    for _ in range(rounds):
+    before: dict[float, float] = {}
+    for k in range(rounds):
         for m in MARGINALS:
             now = with_sums(now, m).withColumn("share", F.col("share") * (F.col(f"t_{m}") * F.col("fraction") / F.col("z"))).select(*columns)
         now = keep(now.withColumn("share", F.least("share", "tokens")))
-    found = {r["fraction"]: r["d"] for r in away(now).collect()}
+        if k + 1 == rounds or (k + 1) % LOOK == 0:
+            found = {r["fraction"]: r["d"] for r in away(now).collect()}
+            if all(abs(d - before.get(f, 2.0)) <= STILL for f, d in found.items()):
+                break
+            before = found
     met = next(f for f in FRACTIONS if found[f] <= bound(list(found.values())))
     return now.filter(F.col("fraction") == met).select(*MARGINALS, "tokens", "share", "fraction").withColumn("deviation", F.lit(float(found[met])))
 
@@ -136,7 +143,8 @@ def mix(
 ) -> DataFrame:
     """doc_id, n_tokens, the cell, probability and kept, for every document. topic: a column of docs; the text's form,
     if none is given."""
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    # A mark in front keeps null apart from every name.
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
     text = F.coalesce(docs[text_col], F.lit(""))
     topic = form_of(text) if topic is None else docs[topic] if isinstance(topic, str) else topic
     rows = keep(
@@ -148,7 +156,7 @@ def mix(
     weights = rake(cells_of(rows), temperature, rounds).select(*MARGINALS, (F.col("share") / F.col("tokens")).alias("p"))
     drawn = rows.join(weights, list(MARGINALS), "left").withColumn("probability", F.coalesce("p", F.lit(1.0)))
     return drawn.select(
-        "doc_id", "n_tokens", *[F.when(F.col(m) != "\x00", F.col(m)).alias(m) for m in MARGINALS], "probability",
+        "doc_id", "n_tokens", *[F.when(F.col(m) != "", F.expr(f"substring({m}, 2)")).alias(m) for m in MARGINALS], "probability",
         (uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < F.col("probability")).alias("kept"),
     )
 
