@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the next stage's docs, with the
 columns of documents. The last stage returns what the corpus is encoded to, a row per document.
+
+Defined results: a document without text, or with an empty one, fails the quality rules; of documents with equal or nearly
+equal texts one stays, whatever their ids, repeated and null ones included; n_chars follows a masked text; null sources and
+languages are sources and languages of their own for the rules and the mixture; an empty table gives an empty result; other
+columns are passed on, up to the last stage.
 """
 
 from __future__ import annotations
