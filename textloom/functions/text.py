@@ -35,11 +35,16 @@ def let(value: Column, body) -> Column:
 
 def trimmed(x: Column) -> Column:
     """White space of any kind off both ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
+
+
+def single_blanks(x: Column) -> Column:
+    """Every run of white space as one blank. Most texts have none to change, and looking is cheaper than replacing."""
+    return F.when(x.rlike(r"\s\s|[\t\n\x0b\f\r]"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)
 
 
 def squeezed(x: Column) -> Column:
-    return trimmed(F.regexp_replace(x, r"\s+", " "))
+    return trimmed(single_blanks(x))
 
 
 def token_estimate(x: Column) -> Column:
@@ -54,7 +59,7 @@ def useful_word_count(x: Column) -> Column:
 
 def line_key(x: Column) -> Column:
     """What makes two lines the same: no bullet, single blanks, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(trimmed(x), r"^\s*[-*]\s+", ""), r"\s+", " "))
+    return F.lower(single_blanks(F.regexp_replace(trimmed(x), r"^\s*[-*]\s+", "")))
 
 
 def token_set(x: Column) -> Column:
@@ -84,7 +89,7 @@ def is_noise_line(line: Column) -> Column:
         (s == "")
         | line_key(s).isin(*NAV_LINES)
         | s.rlike("(?i)^(?:" + "|".join(NAV_OPENINGS) + ")")
-        | (s.rlike(r"\.{4,}") & (useful_word_count(s) < 12))
+        | (s.contains("....") & (useful_word_count(s) < 12))
         | is_rule_line(s)
         | s.rlike(r"^\d{1,4}$")
         | s.rlike(r"(?i)^\[\s*image:.*\]$")
@@ -92,9 +97,8 @@ def is_noise_line(line: Column) -> Column:
         | (s.startswith("<") & s.rlike(r"(?i)\b(form|input|div|script|style)\b"))
         | s.startswith("ATTACHMENTS:")
         | s.startswith("DOWNLOADED_FILES:")
-        | (count_of(s, "(data)") >= 2)
-        | (count_of(F.lower(s), "download") >= 3)
-        | ((count_of(s, "(data)") >= 1) & (useful_word_count(s) <= 6))
+        | (s.contains("(data)") & ((count_of(s, "(data)") >= 2) | (useful_word_count(s) <= 6)))
+        | (s.rlike("(?i)download") & (count_of(F.lower(s), "download") >= 3))
     )
 
 
@@ -129,10 +133,11 @@ def is_low_value_line(line: Column) -> Column:
     for x in LOW_OPENINGS:
         opening = opening | s.startswith(x)
     return (
-        (s == "") | F.lower(F.regexp_replace(s, r"\s+", " ")).isin(*LOW_LINES) | opening
+        (s == "") | F.lower(single_blanks(s)).isin(*LOW_LINES) | opening
         | (s.startswith("<") & s.rlike(r"(?i)\b(form|script|style|input|div|a)\b")) | is_rule_line(s)
-        | (s.rlike(r"\.{4,}") & (useful_word_count(s) < 12)) | (count_of(s, "(data)") >= 2)
-        | ((count_of(s, "(data)") >= 1) & (useful_word_count(s) <= 6)) | (count_of(F.lower(s), "download") >= 3)
+        | (s.contains("....") & (useful_word_count(s) < 12))
+        | (s.contains("(data)") & ((count_of(s, "(data)") >= 2) | (useful_word_count(s) <= 6)))
+        | (s.rlike("(?i)download") & (count_of(F.lower(s), "download") >= 3))
         | s.contains("/http:/") | s.contains("/https:/")
     )
 
@@ -298,15 +303,20 @@ def no_repeated_sentences(text: Column) -> Column:
     return F.array_join(F.get(kept, 0), " ")
 
 
+def _replaced_where(needs: str, pattern: str, stand_in: str):
+    return lambda v: F.when(v.contains(needs), F.regexp_replace(v, pattern, stand_in)).otherwise(v)
+
+
 def clean_chunk_text(text: Column) -> Column:
     """A chunk without page numbers, forms, broken links, download rows, running headers and lines of low value."""
     block, tag = "form|script|style|input|div|a", "form|script|style|div|a"
     t = F.replace(trimmed(text), F.lit("\ufffd"), F.lit("."))
-    for pattern, stand_in in (
-        (r"^\d{1,3}\n", ""), (rf"(?is)<(?:{block})\b[^>]*>.*?</(?:{tag})>", " "), (rf"(?is)<(?:{block})\b[^>]*>", " "), (r"(?md)^.*?/https?:/.*$", ""),
-        (r"(?mdi)^.*\bDownload\b.*\|\s*\bDownload\b.*$", ""), (r"(?md)^.*(?:\(data\).*){2,}$", ""), (r"\s*\(data\)\s*", " "), (r"(?md)^[A-Z][A-Z\s]{7,59}$", ""),
-        (r"(?md)^[A-Z][A-Z\s]{7,59}\s+\d+\s+", ""),
+    # Each pattern with a text that it can't do without: where that is missing, nothing is searched.
+    for needs, pattern, stand_in in (
+        ("", r"^\d{1,3}\n", ""), ("<", rf"(?is)<(?:{block})\b[^>]*>.*?</(?:{tag})>", " "), ("<", rf"(?is)<(?:{block})\b[^>]*>", " "), ("/http", r"(?md)^.*?/https?:/.*$", ""),
+        ("|", r"(?mdi)^.*\bDownload\b.*\|\s*\bDownload\b.*$", ""), ("(data)", r"(?md)^.*(?:\(data\).*){2,}$", ""), ("(data)", r"\s*\(data\)\s*", " "), ("", r"(?md)^[A-Z][A-Z\s]{7,59}$", ""),
+        ("", r"(?md)^[A-Z][A-Z\s]{7,59}\s+\d+\s+", ""),
     ):
-        t = F.regexp_replace(t, pattern, stand_in)
+        t = let(t, _replaced_where(needs, pattern, stand_in))
     lines = F.filter(F.transform(F.split(t, "\n", -1), trimmed), lambda x: (x == "") | ~is_low_value_line(x))
     return trimmed(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))

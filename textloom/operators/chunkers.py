@@ -120,13 +120,18 @@ def policy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return numbered(pieces.filter(~T.is_junk_chunk(F.col("text"))), ["section", "part"])
 
 
-def _tables_apart(rows: DataFrame, keys: list[str], budget: int, always: bool) -> DataFrame:
-    """Pieces of lines (keys, title, pos, line): each run of table lines under its title, each run of prose of more than
-    LEAST tokens, packed."""
+def table_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (keys, pos, line) with is_table (they begin with a bar) and `run`, which tells runs of either kind apart."""
     own = W.partitionBy(*keys).orderBy("pos")
     rows = rows.withColumn("is_table", F.col("line").startswith("|"))
     run = F.row_number().over(own) - F.row_number().over(W.partitionBy(*keys, "is_table").orderBy("pos"))
-    runs = joined(rows.withColumn("run", run), [*keys, "title", "is_table", "run"], F.min("pos").alias("start"))
+    return rows.withColumn("run", run)
+
+
+def _tables_apart(rows: DataFrame, keys: list[str], budget: int, always: bool) -> DataFrame:
+    """Pieces of lines (keys, title, pos, line): each run of table lines under its title, each run of prose of more than
+    LEAST tokens, packed."""
+    runs = joined(table_runs(rows, keys), [*keys, "title", "is_table", "run"], F.min("pos").alias("start"))
     tables = runs.filter("is_table").select(*keys, "start", "title", F.lit(0).alias("part"), F.concat(F.lit("**"), "title", F.lit("**\n\n"), "body").alias("text"), "is_table")
     prose = runs.filter("not is_table").withColumn("body", T.trimmed(F.col("body"))).filter(T.token_estimate(F.col("body")) > LEAST)
     prose = prose.select(*keys, "start", "title", F.posexplode(parts_of(F.col("body"), budget, always)).alias("part", "text"), "is_table")

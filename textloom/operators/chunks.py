@@ -8,14 +8,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions import text as X
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-SECTION = r"^(?:#{1,6}\s+\S|(?:PART|Schedule|Chapter)\s+\d+|\d+(?:\.\d+)+\.?\s+[A-Z]|\d+\.\s+[A-Z])"
 BUDGETS = {"faq": 400, "table_faq": 400, "policy": 600, "report": 800, "guidebook": 600, "web": 500, "single": 1200}
 OVERLAP = 80
 
@@ -85,20 +83,6 @@ def chunks(docs: DataFrame, strategy: str, id_col: str = "doc_id", text_col: str
     return out.filter(F.trim("text") != "").withColumn("token_estimate", X.token_estimate(F.col("text")))
 
 
-def sections(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, pos, line) with `section`: 0 before the first heading, then one more at each."""
-    start = X.trimmed(F.col("line")).rlike(SECTION) & ~X.is_contents_line(F.col("line"))
-    order = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return lines.withColumn("section", F.sum(start.cast("bigint")).over(order))
-
-
-def islands(lines: DataFrame) -> DataFrame:
-    """Runs of table lines (that hold a bar) and of prose: doc_id, is_table, first, n."""
-    t = lines.withColumn("is_table", F.col("line").contains("|"))
-    own = F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - F.row_number().over(W.partitionBy("doc_id", "is_table").orderBy("pos"))
-    return t.withColumn("run", own).groupBy("doc_id", "is_table", "run").agg(F.min("pos").alias("first"), F.count("*").alias("n")).drop("run")
-
-
 SAID_END = re.compile(r"[.!?:;。！？)]$")
 STARTS = re.compile(r"^(?:[-*]\s+|\d+[.)]\s+)")
 GOES_ON = re.compile(r"^[a-zа-яәғқңөұүһі,;)]")

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import numbers
-from textloom.operators import chunks
+from textloom.operators import chunkers, chunks
 
 from .inputs import LINES_SQL, lines, quoted, table, values
-from .text_queries import contents, trim
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,11 +26,17 @@ for _lang in ("en", "ru", "kk", "zh"):
 QUERIES["split_paragraphs"] = lambda spark, sf_dir: chunks.chunks(table(spark, sf_dir, "documents"), "faq")
 QUERIES["chunk_single"] = lambda spark, sf_dir: chunks.chunks(table(spark, sf_dir, "documents"), "single").withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 ORACLES["chunk_single"] = "SELECT doc_id AS id, 0::BIGINT AS chunk_index, text, greatest(1, length(text) // 4) AS token_estimate FROM documents WHERE trim(text) <> ''"
-QUERIES["policy_sections"] = lambda spark, sf_dir: chunks.sections(lines(spark, sf_dir)).groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-ORACLES["policy_sections"] = f"""WITH {LINES_SQL}, s AS (SELECT doc_id, pos, sum((regexp_matches({trim('line')}, '{chunks.SECTION}') AND NOT {contents('line')})::INT) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS section FROM lines)
-  SELECT doc_id, section, count(*) AS n, min(pos) AS first FROM s GROUP BY ALL"""
-QUERIES["report_islands"] = lambda spark, sf_dir: chunks.islands(lines(spark, sf_dir))
-ORACLES["report_islands"] = f"""WITH {LINES_SQL}, r AS (SELECT doc_id, pos, contains(line, '|') AS is_table, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, contains(line, '|') ORDER BY pos) AS run FROM lines)
+
+
+def _islands(spark, sf_dir):
+    """Runs of table lines and of prose in the documents' lines, every seventh of which is made a table's row."""
+    rows = lines(spark, sf_dir).withColumn("line", F.when(F.col("pos") % 7 == 3, F.concat(F.lit("| "), "line", F.lit(" |"))).otherwise(F.col("line")))
+    return chunkers.table_runs(rows, ["doc_id"]).groupBy("doc_id", "is_table", "run").agg(F.min("pos").alias("first"), F.count("*").alias("n")).drop("run")
+
+
+QUERIES["report_islands"] = _islands
+ORACLES["report_islands"] = f"""WITH {LINES_SQL}, t AS (SELECT doc_id, pos, pos % 7 = 3 OR starts_with(line, '|') AS is_table FROM lines),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, is_table ORDER BY pos) AS run FROM t)
   SELECT doc_id, is_table, min(pos) AS first, count(*) AS n FROM r GROUP BY doc_id, is_table, run"""
 QUERIES["repair_line_wraps"] = lambda spark, sf_dir: table(spark, sf_dir, "documents").select(
     "doc_id", F.array_join(chunks.repaired(F.split("text", "\n", -1)), "\n").alias("text")

@@ -188,6 +188,26 @@ QUERIES["web_sections"] = lambda spark, sf_dir: chunkers.web_sections(_with_fixe
 ORACLES["web_sections"] = """SELECT * FROM (VALUES (-6::BIGINT, 0::BIGINT, 'http://a/1', 'First', 'First', 1::BIGINT), (-6, 1, 'http://a/1', 'First', 'Second', 3), (-6, 2, 'http://a/2', 'Next', 'Next', 1)) v(doc_id, n, url, title, heading, n_lines)
   UNION ALL SELECT page_id + 1000000, 0, trim(url), 'Page ' || page_id, CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id ELSE 'Start' END, 2 FROM pages
   UNION ALL SELECT page_id + 1000000, 1, trim(url), 'Page ' || page_id, 'More', 2 FROM pages"""
+
+
+def _policies(spark, sf_dir):
+    """Sections of the documents, with a heading, a number or a contents line before some of their lines, and of the fixed texts."""
+    marked = "array_join(transform(split(text, '\\n', -1), (x, k) -> CASE k % 6 WHEN 1 THEN concat('## 2. ', left(x, 20), ' ....... 9\\n', x) WHEN 3 THEN concat('1.', k, ' Rules of it\\n', x) WHEN 4 THEN concat('Schedule 2 Forms ..... 12\\n', x) ELSE x END), '\\n')"
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(marked).alias("text"))
+    return chunkers.policy_sections(docs.union(fixed(spark, _fixed_texts).select(-F.col("n") - 1, "x"))).select("doc_id", "section", "title", "body")
+
+
+QUERIES["policy_sections"] = _policies
+_start = chunkers.POLICY_START
+_clean = trim(f"""regexp_replace({trim("regexp_replace(line, '^#+\\s*', '')")}, '\\.{{3,}}.*$', '')""")
+ORACLES["policy_sections"] = f"""WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, k: CASE (k - 1) % 6 WHEN 1 THEN concat('## 2. ', left(x, 20), ' ....... 9', chr(10), x)
+    WHEN 3 THEN concat('1.', k - 1, ' Rules of it', chr(10), x) WHEN 4 THEN concat('Schedule 2 Forms ..... 12', chr(10), x) ELSE x END), chr(10)) AS text FROM documents UNION ALL SELECT -n - 1, x FROM {values(_fixed_texts)}),
+  l AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM t)),
+  m AS (SELECT *, {trim('line')} AS s, starts_with(line, '#') AS mark, {_clean} AS heading FROM l WHERE NOT regexp_matches({trim('line')}, '\\.{{4,}}\\s*[0-9]+\\s*$')),
+  h AS (SELECT *, CASE WHEN mark AND length(heading) > 2 THEN heading WHEN NOT mark AND regexp_matches(s, '{_start}') AND regexp_replace(s, '{_start}', '', 'g') <> '' THEN left(s, 120) END AS title FROM m),
+  n AS (SELECT *, count(title) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h),
+  g AS (SELECT doc_id, section, coalesce(max(title), 'Introduction') AS title, {trim("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT mark), '')")} AS body FROM n GROUP BY doc_id, section)
+  SELECT * FROM g WHERE body <> ''"""
 ROUTES = [("file0", "help", "faq"), ("file1", "help", "table_faq"), ("file2", "rules", "policy"), ("file3", "carbon", "report"), ("file4", "guide", "guidebook"), ("file5", "site", "web"), ("file6", "notes", "single"), ("src1", "notes", "single")]
 QUERIES["chunk_dispatch"] = lambda spark, sf_dir: chunkers.dispatched(_with_fixed(spark, sf_dir), ROUTES).groupBy("domain", "strategy").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"))
 _tl = f"""(SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM

@@ -89,7 +89,8 @@ over("filter_token_confidence", CONFIDENCES, lambda x: F.coalesce(T.trimmed(x).t
 over("config_coercion", CONFIDENCES, lambda x: F.coalesce(T.trimmed(x).try_cast("int"), F.lit(7)).cast("bigint"), f"CASE WHEN regexp_matches({trim('x')}, '^[+-]?\\d+$') THEN {trim('x')}::BIGINT ELSE 7 END",
      ("events", "event_id", *(f"concat(CASE WHEN event_id % 4 = 0 THEN ' ' ELSE '' END, {k}(props, '$.k'), CASE WHEN event_id % 5 = 0 THEN event_type ELSE '' END)" for k in ("get_json_object", "json_extract_string"))))
 over("chunk_text_coalesce", PAYLOADS, lambda x: P.first_text(x, ("text", "content", "context")), _first(_js, ("text", "content", "context")), _events)
-over("hard_split_fixed", LINES, lambda x: F.ceil(F.length(x) / 1600).cast("bigint"), "ceil(length(x) / 1600)::BIGINT", _docs)
+over("hard_split_fixed", LINES, lambda x: F.array_join(F.regexp_extract_all(x, F.lit("(?s).{1,1600}"), F.lit(0)), "¦"),
+     "array_to_string(list_transform(range(0, ceil(length(x) / 1600)::BIGINT), lambda i: substr(x, i * 1600 + 1, 1600)), '¦')", _docs)
 over("pcm_segment_sizes", ("0", "999", "10240", "30720"), lambda x: F.ceil(F.greatest(x.cast("bigint") - 10240, F.lit(0)) / 28800).cast("bigint") + 1,
      "ceil(greatest(x::BIGINT - 10240, 0) / 28800)::BIGINT + 1", ("documents", "doc_id", "CAST(n_chars AS STRING)"))
 ORACLES["pcm_segment_sizes"] = ORACLES["pcm_segment_sizes"].replace("CAST(n_chars AS STRING)", "CAST(n_chars AS VARCHAR)")
