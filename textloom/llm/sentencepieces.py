@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ CHUNK = 8192
 MARGIN = 64
 #: Chunks whose matrices are scanned in one go; those of a longer document are combined in blocks of so many first.
 BLOCK = 1024
-CACHED_WORDS = 100_000
+CACHED_WORDS = 200_000
 Span = tuple[int, int]
 Matrix = dict[Span, dict[Span, int]]
 START: Span = (-1, 0)
@@ -64,7 +65,10 @@ class Model:
         self.bytes = {int(p.id_to_piece(i)[3:5], 16): i for i in ids if p.is_byte(i)}
         self.unknown = p.unk_id()
         self.texts = [b"" if s and not p.is_byte(i) else bytes([int(p.id_to_piece(i)[3:5], 16)]) if s else p.id_to_piece(i).replace(BLANK, " ").encode() for i, s in zip(ids, special, strict=True)]
-        self.words: dict[str, tuple[int, ...]] = {}
+        # Ids of words as packed numbers; when the table is full it becomes the older one, and what is asked for again moves back.
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # words that decoding doesn't give back
         self.compatible = functools.lru_cache(50_000)(self.compatible)
         self.whole = functools.lru_cache(30_000)(self.whole)
 
@@ -96,18 +100,42 @@ class Model:
             return [self.ids[piece]]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
-    def encode_words(self, words: list[str]) -> list[int]:
-        """Ids of whole words, each with its leading blanks (marked)."""
-        new = list({w for w in words if w not in self.words})
+    def know(self, lists: Iterable[list[str]]) -> None:
+        """Have the ids of all words of these lists at hand. The library is asked once for all that are new, as a call costs
+        it more than many words."""
+        words = set().union(*lists)
+        new = words - self.words.keys()
+        if not new:
+            return
         if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            new = list(set(words))
-        for w, ids in zip(new, self.library.encode([w[1:].replace(BLANK, " ") for w in new], num_threads=1), strict=True):
-            self.words[w] = tuple(ids) if len(w) > 1 else (self.ids[BLANK],)
-        out: list[int] = []
-        for w in words:
-            out.extend(self.words[w])
-        return out
+            self.older, self.words, new = self.words, {}, words
+            self.odd = {w for w in self.odd if w in self.older}
+        missing = []
+        for w in new:
+            if (ids := self.older.get(w)) is None:
+                missing.append(w)
+            else:
+                self.words[w] = ids
+        plain = [w[1:].replace(BLANK, " ") for w in missing]
+        for w, x, ids in zip(missing, plain, self.library.encode(plain, num_threads=1), strict=True):
+            ids = ids if len(w) > 1 else [self.ids[BLANK]]
+            self.words[w] = packed(ids)
+            if self.decode(ids) != " " + x:
+                self.odd.add(w)
+
+    def word_ids(self, words: list[str]) -> bytes:
+        """Ids of whole words that are known, each with its leading blanks (marked), as packed 32-bit numbers."""
+        return b"".join(map(self.words.__getitem__, words))
+
+    def encode_words(self, words: list[str]) -> list[int]:
+        self.know([words])
+        return np.frombuffer(self.word_ids(words), np.int32).tolist()
+
+    def gives_back(self, words: list[str], ids: bytes, text: str) -> bool:
+        """Whether decoding gives the text of these words back. Where it does for each word, it does for all."""
+        if not self.odd or self.odd.isdisjoint(words):
+            return True
+        return self.decode(np.frombuffer(ids, np.int32).tolist()) == text
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids, with the blank that encoding puts in front of a document."""
@@ -119,6 +147,10 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def marked(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
@@ -253,8 +285,12 @@ def scanned(matrices: list[Matrix], first: Span = START, last: Span | None = Non
     return states[::-1]
 
 
-def traced(m: Model, text: str, before: Span, after: Span) -> list[int]:
-    """Ids of the pieces after one state up to and with another."""
+Trace = tuple[list[int], list[str], list[int], int, int]
+
+
+def trace(m: Model, text: str, before: Span, after: Span) -> Trace:
+    """What stands after one state up to and with another: ids before the first word's start, whole words, ids from the
+    last word's start on, and where the words begin and end."""
     lo, hi = before[1], after[1]
 
     def through(first: Span, stop: int, end: Span | None) -> list[int]:
@@ -268,13 +304,19 @@ def traced(m: Model, text: str, before: Span, after: Span) -> list[int]:
         return [i for p in reversed(pieces) for i in p]
 
     if after == before:
-        return []
+        return [], [], [], lo, lo
     h1 = next_word_start(text, lo, after[0] + 1)
     if h1 is None:
-        return through(before, hi, after)
+        return through(before, hi, after), [], [], hi, hi
     hn = last_word_start(text, h1, after[0] + 1)
     head = through(before, h1, None) if h1 > lo else []
-    return head + (m.encode_words(split_words(text[h1:hn])) if hn > h1 else []) + through((-1, hn), hi, after)
+    return head, split_words(text[h1:hn]) if hn > h1 else [], through((-1, hn), hi, after), h1, hn
+
+
+def traced(m: Model, text: str, before: Span, after: Span) -> list[int]:
+    """Ids of the pieces after one state up to and with another."""
+    head, words, tail, _, _ = trace(m, text, before, after)
+    return head + m.encode_words(words) + tail
 
 
 def _chunked(text: str, size: int) -> Iterator[tuple[int, int, str, int]]:
@@ -382,20 +424,28 @@ DIGEST_BASE = 0x9E3779B97F4A7C15
 WRAP = (1 << 64) - 1
 
 
+@functools.cache
+def _powers(n: int) -> np.ndarray:
+    """Falling powers of the base, n of them (a power of two)."""
+    powers = np.full(n, DIGEST_BASE, np.uint64)
+    powers[:1] = 1
+    return np.cumprod(powers)[::-1]
+
+
 def digest_of(ids) -> int:
     """Polynomial over the ids modulo 2^64, as a signed number."""
-    x = np.asarray(ids, np.uint64)
-    powers = np.full(len(x), DIGEST_BASE, np.uint64)
-    powers[:1] = 1
-    return int(((x + np.uint64(1)) * np.cumprod(powers)[::-1]).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
+    x = np.asarray(ids)
+    powers = _powers(1 << len(x).bit_length())
+    return int(((x.astype(np.uint64) + np.uint64(1)) * powers[len(powers) - len(x) :]).sum(dtype=np.uint64).view(np.int64)) if len(x) else 0
 
 
-def _encoded(doc_ids, chunks, texts, ids, rows=None) -> pa.RecordBatch:
-    texts, ids, exact = list(texts), list(ids), []
-    for t, i in zip(texts, ids, strict=True):
-        exact.append(i[1] == t)
+def _encoded(doc_ids, chunks, sizes, ids: list[bytes], exact, rows=None) -> pa.RecordBatch:
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    flat = np.frombuffer(b"".join(ids), np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    digests = [digest_of(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc_ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array([len(t) for t in texts], pa.int64()), pa.array([i[0] for i in ids], pa.list_(pa.int32())), pa.array(exact, pa.bool_()), pa.array(rows or [None] * len(texts), pa.int64()), pa.array([digest_of(i[0]) for i in ids], pa.int64())],
+        [pa.array(doc_ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int64()), lists, pa.array(exact, pa.bool_()), pa.array(rows or [None] * len(ids), pa.int64()), pa.array(digests, pa.int64())],
         ["doc_id", "chunk", "n_chars", "ids", "exact", "row", "digest"],
     )
 
@@ -415,8 +465,11 @@ def encode(
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [marked(t) for t in part.column(1).to_pylist()]
-                ids = [m.encode_words(split_words(t)) for t in texts]
-                yield _encoded(part.column(0), [0] * len(texts), [t.replace(BLANK, " ") for t in texts], [(i, m.decode(i)) for i in ids])
+                words = [split_words(t) for t in texts]
+                m.know(words)
+                ids = [m.word_ids(w) for w in words]
+                exact = [m.gives_back(w, i, t.replace(BLANK, " ") if m.odd else "") for w, i, t in zip(words, ids, texts, strict=True)]
+                yield _encoded(part.column(0), [0] * len(texts), map(len, texts), ids, exact)
 
     def traces(batches):
         m = model(path)
@@ -424,15 +477,19 @@ def encode(
             names = batch.schema.names
             rows = [dict(zip(names, x, strict=True)) for x in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             for part in _some(iter(rows), 100):
-                texts, ids = [], []
+                found = []
                 for r in part:
                     local = lambda a, b, at=r["at"]: START if (a, b) == START else (a - at, b - at)
-                    before, after = local(r["b0"], r["b1"]), local(r["a0"], r["a1"])
-                    piece = zlib.decompress(r["piece"]).decode()
-                    i = traced(m, piece, before, after)
-                    texts.append(piece[before[1] : after[1]].replace(BLANK, " "))
-                    ids.append((i, m.decode(i)))
-                yield _encoded([r["doc_id"] for r in part], [r["chunk"] for r in part], texts, ids, [r["row"] for r in part])
+                    before, after, piece = local(r["b0"], r["b1"]), local(r["a0"], r["a1"]), zlib.decompress(r["piece"]).decode()
+                    found.append((piece.replace(BLANK, " "), before[1], after[1], *trace(m, piece, before, after)))
+                m.know([words for _, _, _, _, words, _, _, _ in found])
+                ids, exact = [], []
+                for text, lo, hi, head, words, tail, h1, hn in found:
+                    inner = m.word_ids(words)
+                    ids.append(packed(head) + inner + packed(tail))
+                    exact.append(m.decode(head) == text[lo:h1] and m.decode(tail) == text[hn:hi] and m.gives_back(words, inner, text[h1:hn]))
+                sizes = [hi - lo for _, lo, hi, *_ in found]
+                yield _encoded([r["doc_id"] for r in part], [r["chunk"] for r in part], sizes, ids, exact, [r["row"] for r in part])
 
     chunks = _giants(rows.filter(giant), size)
     states = keep(_states(chunks, path, size, block))
