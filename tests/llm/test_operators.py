@@ -441,6 +441,20 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(empty_like(df)).count() == 0
 
 
+def test_lone_pairs_in_neighbouring_cells(spark):
+    # Each label holds one pair, so that a cell's home often meets no probe but the other vector's.
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(60):
+        a = rng.standard_normal(16)
+        rows += [(2 * k + j, [float(x) for x in a + 0.08 * j * rng.standard_normal(16)], k) for j in (0, 1)]
+    v = embedding_dedup.unit(np.array([r[1] for r in rows]))
+    linked = [float(v[2 * k] @ v[2 * k + 1]) >= 0.98 for k in range(60)]
+    out = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert sum(linked) > 40
+    assert [(out[i]["n_links"], out[i]["component_id"]) for i in range(120)] == [(int(linked[i // 2]), i - i % 2 if linked[i // 2] else i) for i in range(120)]
+
+
 @pytest.mark.parametrize("kind, labels", [("string", ["a", "b"]), ("double", [1.2, 1.7])])
 def test_labels_of_other_types(spark, kind, labels):
     v = [1.0, 2.0, 3.0]

@@ -178,10 +178,12 @@ def _verify(threshold: float):
 
 
 def _in_parts(rows: DataFrame, cell: list[str]) -> DataFrame:
-    """Cells with both homes and probes, cut into parts of at most about MAX_CELL on either side."""
+    """Cells with both homes and probes, of two vectors at least, cut into parts of at most about MAX_CELL on either side. A
+    home need not be among the probes: of a home that only another cell's vector is near to, its own probe is gone."""
     sizes = rows.groupBy(*cell).agg(
-        F.sum((~F.col("probe")).cast("int")).alias("n_home"), F.sum(F.col("probe").cast("int")).alias("n_probe")
-    ).filter("n_home > 0 and n_probe > 1")
+        F.sum((~F.col("probe")).cast("int")).alias("n_home"), F.sum(F.col("probe").cast("int")).alias("n_probe"),
+        F.min("id").alias("first"), F.max("id").alias("last"),
+    ).filter("n_home > 0 and n_probe > 0 and first < last")
     parts = lambda n: F.ceil(F.col(n) / MAX_CELL).cast("int")
     sizes = sizes.select(*cell, parts("n_home").alias("k_home"), parts("n_probe").alias("k_probe"))
     own = lambda k: F.array(F.pmod(F.hash("id", F.lit(SEED)), F.col(k)))
