@@ -40,3 +40,11 @@ def test_matches_duckdb(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_listing_names_tables_that_are_folders(spark, tmp_path):
+    folder = tmp_path / "sf1.5"
+    for table in ("one.parquet", "two.parquet"):
+        spark.range(9).repartition(3).write.parquet(str(folder / table))
+    spark.range(3).toPandas().to_parquet(folder / "three.parquet")
+    assert sorted(r.name for r in entry.queries()["scan_glob_listing"](spark, str(folder)).collect()) == ["one.parquet", "three.parquet", "two.parquet"]
