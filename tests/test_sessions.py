@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import cache, dialogue, folds, gating, race, voice
 from textloom.sources import shared
+from textloom.plans import session_queries
 from textloom.streaming import folded
 
 
@@ -332,3 +333,22 @@ def test_answer_race(spark):
     got = [(i, w, round(a, 6), c) for i, w, a, c in map(tuple, race.answer_race(questions, arrivals).collect())]
     assert sorted(got) == sorted((i, w, round(a, 6), c) for i, w, a, c in want)
     assert {w for _, w, _, _ in got} == {*race.SOURCES, "fallback"}
+
+
+@pytest.mark.parametrize("rows", [session_queries._deltas, session_queries._spoken])
+def test_language_is_told_once_a_text(spark, rows):
+    turns = spark.createDataFrame([(1, 1, "assistant", "some text of it")], "conv_id bigint, turn bigint, role string, text string")
+    above = rows(turns)._jdf.queryExecution().optimizedPlan().toString().partition("Generate")[0]
+    assert "Project" in above and not re.search(r"regexp|RLIKE|lower\(|CASE", above)
+
+
+def test_streamed_groups_equal_keys_by_themselves(spark, tmp_path):
+    """States of a group are kept apart, over batches, and end each at its own time."""
+    rows = client_rows()
+    batch = folds.in_order(spark.createDataFrame(rows, CLIENT), ["conv"], ["seq"], dialogue.Conversation())
+    later = [(-1, 0, "other", None, None, None, 1_500), (-1, 1, "other", None, None, None, 100_000), (-40, 0, "other", None, None, None, 200_000)]
+    for part in ([r for r in rows if r[1] < 15], [r for r in rows if r[1] >= 15], *([x] for x in later)):
+        spark.createDataFrame(part, CLIENT).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_000_000)).drop("s").coalesce(1).write.mode("append").parquet(str(tmp_path / "client"))
+    made = lambda d: folded.in_order(d, ["conv"], ["seq"], dialogue.Conversation(), late="1 hour", group="conv div 7")
+    got = shared.bounded_stream(spark, str(tmp_path / "client"), made, maxFilesPerTrigger=1)
+    assert rows_of(got.filter("conv >= 0")) == rows_of(batch)

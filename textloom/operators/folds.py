@@ -27,6 +27,14 @@ class Transition:
     def step(self, state: Any, row: dict) -> tuple[Any, list[tuple]]:
         raise NotImplementedError
 
+    def joined(self, rows: list[dict]) -> list[dict]:
+        """Rows of a key that come together, as fewer rows with the same outcome where the rule allows it."""
+        return rows
+
+    def over(self, state: Any) -> bool:
+        """Whether no row comes after those that led to this state, so that it need not be kept."""
+        return False
+
     def end(self, state: Any) -> list[tuple]:
         """What is still to be given when the key's rows are over."""
         return []

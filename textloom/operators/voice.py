@@ -102,12 +102,25 @@ def cleaned(chunk: str) -> str:
 
 class VoiceChunks(Transition):
     """Deltas of one text (delta, language, last: nothing comes after it) in order, into numbered chunks. The state is what
-    is not yet cut and the next number."""
+    is not yet cut, the next number and whether the last delta has come."""
 
     rows = "chunk int, text string"
 
     def start(self) -> list:
-        return ["", 0]
+        return ["", 0, False]
+
+    def joined(self, rows: list[dict]) -> list[dict]:
+        """Deltas of one language up to the last one, as one: a text is read over for each that is left."""
+        out: list[list[dict]] = []
+        for row in rows:
+            if out and out[-1][-1]["language"] == row["language"] and not out[-1][-1]["last"]:
+                out[-1].append(row)
+            else:
+                out.append([row])
+        return [x[-1] | {"delta": "".join(r["delta"] or "" for r in x)} for x in out]
+
+    def over(self, state: list) -> bool:
+        return state[2]
 
     def step(self, state: list, row: dict) -> tuple[list, list[tuple]]:
         text, number = state[0] + (row["delta"] or ""), state[1]
@@ -124,7 +137,7 @@ class VoiceChunks(Transition):
         if row["last"]:
             number += self._give(text[pos:], number, out)
             pos = len(text)
-        return [text[pos:], number], out
+        return [text[pos:], number, bool(row["last"])], out
 
     def _give(self, chunk: str, number: int, out: list) -> int:
         if chunk := cleaned(chunk):

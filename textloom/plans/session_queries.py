@@ -69,14 +69,18 @@ ORACLES["semantic_cache_match"] = f"""WITH {_ASKED}
   SELECT q.id, e.id AS hit, round({_JACCARD.format('q.t', 'e.t')}, 6) AS score FROM asked q JOIN asked e ON q.lang = e.lang AND e.tm < q.tm AND q.tm - e.tm <= {cache.TTL_S}
   WHERE {_JACCARD.format('q.t', 'e.t')} >= {cache.WIN} QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY {_JACCARD.format('q.t', 'e.t')} DESC, e.tm, e.id) = 1"""
 
-# Voice chunks of assistants' turns: at once, and as a stream of deltas.
+# Voice chunks of assistants' turns: at once, and as a stream of deltas. Streams keep the states of neighbouring conversations
+# together.
+_GROUP = "conv_id div 32"
 
 
 def _deltas(turns: DataFrame) -> DataFrame:
     """Assistants' turns cut into deltas of 5 to 11 characters, and a last one without text."""
     size = (F.col("turn") % 7 + 5).cast("string")
     parts = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), size, F.lit("}")), F.lit(0))
-    turns = turns.filter("role = 'assistant'").select("conv_id", "turn", L.detect_language(F.col("text")).alias("language"), F.posexplode(F.concat(parts, F.array(F.lit("")))).alias("seq", "delta"))
+    # Before the cut, as it would be told again for each delta otherwise.
+    turns = turns.filter("role = 'assistant'").select("conv_id", "turn", "text", L.detect_language(F.col("text")).alias("language"))
+    turns = turns.select("conv_id", "turn", "language", F.posexplode(F.concat(parts, F.array(F.lit("")))).alias("seq", "delta"))
     ts = F.timestamp_micros(F.lit(1_700_000_000_000_000) + (F.col("conv_id") * 60 + F.col("turn")) * 1_000_000 + F.col("seq") * 1000)
     return turns.withColumn("last", F.col("delta") == "").withColumn("ts", ts)
 
@@ -90,7 +94,7 @@ def _voice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["voice_chunks"] = _voice
 QUERIES["voice_chunks_stream"] = lambda spark, sf_dir: shared.bounded_stream(
-    spark, f"{sf_dir}/conversations.parquet", lambda turns: folded.in_order(_deltas(turns), ["conv_id", "turn"], ["seq"], voice.VoiceChunks())
+    spark, f"{sf_dir}/conversations.parquet", lambda turns: folded.in_order(_deltas(turns), ["conv_id", "turn"], ["seq"], voice.VoiceChunks(), group=_GROUP)
 )
 
 # Utterances: users' turns as tokens of speech. Each word comes first as a guess, every 17th is unsure; `<end>` closes the
@@ -106,13 +110,13 @@ def _spoken(turns: DataFrame) -> DataFrame:
     said = F.concat(F.transform(words, lambda x, k: word(x, k, False)), finals, mark("<end>"))
     twice = F.concat(said, finals, mark("<fin>"), finals, mark("<end>"))
     tokens = F.when(F.col("role") == "user", F.when(F.col("turn") % 2 == 0, twice).otherwise(said)).otherwise(reset)
-    rows = turns.select("conv_id", "turn", L.detect_language(F.col("text")).alias("language"), F.posexplode(tokens).alias("k", "x"))
+    rows = turns.withColumn("language", L.detect_language(F.col("text"))).select("conv_id", "turn", "language", F.posexplode(tokens).alias("k", "x"))
     ts = F.timestamp_micros(F.lit(1_700_000_000_000_000) + (F.col("conv_id") * 60 + F.col("turn")) * 1_000_000 + F.col("k") * 100)
     return rows.select("conv_id", "turn", "k", "language", "x.*", ts.alias("ts"))
 
 
 QUERIES["token_assembly"] = lambda spark, sf_dir: shared.bounded_stream(
-    spark, f"{sf_dir}/conversations.parquet", lambda turns: folded.in_order(_spoken(turns), ["conv_id"], ["turn", "k"], dialogue.Utterances())
+    spark, f"{sf_dir}/conversations.parquet", lambda turns: folded.in_order(_spoken(turns), ["conv_id"], ["turn", "k"], dialogue.Utterances(), group=_GROUP)
 )
 ORACLES["token_assembly"] = f"""WITH t AS (SELECT conv_id, turn, role, {language('text')} AS language, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations),
   sure AS (SELECT conv_id, turn, role, language, array_to_string(list_filter(w, lambda x, i: (i - 1) % 17 <> 16), ' ') AS said FROM t),
