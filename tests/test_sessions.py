@@ -352,3 +352,18 @@ def test_streamed_groups_equal_keys_by_themselves(spark, tmp_path):
     made = lambda d: folded.in_order(d, ["conv"], ["seq"], dialogue.Conversation(), late="1 hour", group="conv div 7")
     got = shared.bounded_stream(spark, str(tmp_path / "client"), made, maxFilesPerTrigger=1)
     assert rows_of(got.filter("conv >= 0")) == rows_of(batch)
+
+
+def test_crowded_race_makes_no_pairs(spark):
+    """Thousands of questions and arrivals of one moment: none is joined with another, and the first ones are found."""
+    n = 3000
+    questions = spark.range(n).selectExpr("id", "'s' AS session", "id / 1000D AS at", "false AS internal")
+    arrivals = spark.range(n).selectExpr("'s' AS session", "IF(id % 2 = 0, 'faq', 'local') AS source", "12.5D + id / 1000 AS at", "id % 3 > 0 AS answered", "'high' AS confidence")
+    found = race.first_arrivals(questions, arrivals, 12.0)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["first"] for r in found.collect()}
+    assert set(got) == set(range(n))
+    for i, first in got.items():
+        # Questions before 0.5 are too early for the first arrivals at 12.5 and 12.501.
+        want = {s: round(12.5 + max(k, k + -(-(i - 12500 - k) // 2) * 2) / 1000 - i / 1000, 6) for s, k in (("faq", 0), ("local", 1))}
+        assert {s: round(x["after"], 6) for s, x in first.items()} == {s: x for s, x in want.items() if x <= 12}

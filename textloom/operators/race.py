@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,16 +22,28 @@ SOURCES = ("faq", "cache", "local", "generated", "external")
 
 def first_arrivals(questions: DataFrame, arrivals: DataFrame, most: float) -> DataFrame:
     """For each question (id, session, at) and source the first arrival (source, session, at, answered, confidence) within
-    `most` seconds after it, as maps by source. Time is cut into stretches of that length, so that the join is on session and
-    stretch, a question meets two of them, and a busy session is many keys. An arrival belongs to every question that it
-    comes in time for."""
-    stretch = lambda at: F.floor(F.col(at) / most)
-    q = questions.select("id", "session", F.col("at").alias("asked"), F.explode(F.array(stretch("at"), stretch("at") + 1)).alias("s"))
-    a = arrivals.select("session", "source", F.col("at").alias("came"), "answered", "confidence", stretch("at").alias("s"))
-    met = q.join(a, ["session", "s"]).filter((F.col("came") >= F.col("asked")) & (F.col("came") - F.col("asked") <= most))
-    took = F.struct((F.col("came") - F.col("asked")).alias("after"), (~F.col("answered")).alias("silent"), "confidence")
-    firsts = met.groupBy("id", "source").agg(F.min(took).alias("first"))
-    return firsts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("source", "first"))).alias("first"))
+    `most` seconds after it, as maps by source. An arrival belongs to every question that it comes in time for.
+
+    Time is cut into stretches of `most` seconds, so that a busy session is many keys. A stretch's rows are gone through once,
+    from the last to the first, with the arrival of each source that was met last; those of the stretch after it are its
+    firsts. No question meets an arrival by a join, so the work grows with the rows, however close they come."""
+    stretch = F.floor(F.col("at") / most)
+    kept = "struct<came:double,silent:boolean,confidence:string>"
+    arrived = F.struct(F.col("at").cast("double").alias("came"), (~F.col("answered")).alias("silent"), F.col("confidence").cast("string").alias("confidence")).cast(kept)
+    a = arrivals.filter(F.col("source").isin(*SOURCES)).select("session", "at", stretch.alias("s"), "source", arrived.alias("x"))
+    firsts = a.groupBy("session", "s", "source").agg(F.min("x").alias("x")).select("session", F.col("x.came").alias("at"), (F.col("s") - 1).alias("s"), "source", "x")
+    none = F.lit(None)
+    q = questions.select("session", "at", stretch.alias("s"), none.cast("string").alias("source"), none.cast(kept).alias("x"), "id", F.lit(True).alias("asks"))
+    more = lambda rows: rows.withColumn("id", none.cast(questions.schema["id"].dataType)).withColumn("asks", F.lit(False))
+    rows = q.union(more(a)).union(more(firsts)).filter("session is not null and s is not null")
+    # From the last to the first; of one time the best arrival comes last, and questions after it.
+    back = W.partitionBy("session", "s").orderBy(F.desc("at"), "asks", F.desc("x")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = rows.select("id", "asks", F.col("at").alias("asked"), *[F.last(F.when(F.col("source") == s, F.col("x")), ignorenulls=True).over(back).alias(s) for s in SOURCES]).filter("asks")
+    after = lambda s: F.col(s)["came"] - F.col("asked")
+    took = {s: F.when(after(s) <= most, F.struct(after(s).alias("after"), F.col(s)["silent"].alias("silent"), F.col(s)["confidence"].alias("confidence"))) for s in SOURCES}
+    best = met.groupBy("id").agg(*[F.min(x).alias(s) for s, x in took.items()])
+    entries = F.filter(F.array(*[F.struct(F.lit(s).alias("source"), F.col(s).alias("first")) for s in SOURCES]), lambda x: x["first"].isNotNull())
+    return best.select("id", F.map_from_entries(entries).alias("first"))
 
 
 def answer_race(questions: DataFrame, arrivals: DataFrame, budgets: Budgets = Budgets()) -> DataFrame:
