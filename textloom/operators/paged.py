@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from textloom.functions import text as T
+from textloom.functions.rows import each
+from textloom.sources.shared import kept
 
 from .chunks import merged_markers, repaired
 from .pages import normalized
@@ -32,11 +33,7 @@ def _cuts(marks: Column) -> Column:
                 base = r["words"]
         return out
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(chosen)
-
-    return run(marks)
+    return each(marks, chosen, ArrayType(IntegerType()))
 
 
 def page_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,13 +43,14 @@ def page_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = lines.select("id", "n", T.trimmed(F.col("line")).alias("line"))
     opens, number = F.col("line").rlike(r"(?i)^\[H2\]\s+Page\s+\d+"), F.col("line").rlike(r"^\d{1,3}$")
     lines = lines.withColumn("opens", opens).withColumn("mark", opens | number)
+    lines = kept(lines.withColumn("own", F.when(F.col("mark"), 0).otherwise(T.useful_word_count(F.col("line")))), "lines")
     before = W.partitionBy("id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    words = F.when(F.col("mark"), 0).otherwise(T.useful_word_count(F.col("line")))
-    lines = lines.withColumn("words", F.coalesce(F.sum(words).over(before), F.lit(0)))
-    marks = lines.filter("mark").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "opens", "words"))).alias("m"))
-    cuts = marks.select("id", F.explode(_cuts(F.col("m"))).alias("n"), F.lit(1).alias("cut"))
-    parted = lines.join(cuts, ["id", "n"], "left").withColumn("part", F.coalesce(F.sum("cut").over(W.partitionBy("id").orderBy("n")), F.lit(0)))
-    parted = parted.filter(~F.col("mark"))
+    counts = lines.select("id", "n", "opens", "mark", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("words"))
+    marks = counts.filter("mark").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "opens", "words"))).alias("m"))
+    cuts = marks.select("id", F.explode(_cuts(F.col("m"))).alias("n"), F.lit(None).cast("string").alias("line"), F.lit(1).alias("cut"))
+    # A cut is a row beside its mark, whose equal place counts it; lines and cuts meet by document alone.
+    every = lines.filter(~F.col("mark")).select("id", "n", "line", F.lit(0).alias("cut")).union(cuts)
+    parted = every.withColumn("part", F.sum("cut").over(W.partitionBy("id").orderBy("n"))).filter("cut = 0")
     return parted.select("id", F.dense_rank().over(W.partitionBy("id").orderBy("part")).alias("page"), "n", "line")
 
 
@@ -63,8 +61,9 @@ def _cleaned(lines: DataFrame) -> DataFrame:
     lines = lines.withColumn("until", contents).filter("until IS NULL OR n < until")
     lines = lines.filter(~T.is_noise_line(F.col("line")) & ~T.is_contents_line(F.col("line")))
     line = F.regexp_replace("line", r"^#{1,6}\s+", "")
-    line = F.regexp_replace(F.regexp_replace(line, r"(?i)\bEnd-\s+if-?\s*Service\b", "End-of-Service"), r"(?i)\bEnd-\s+of-\s+Service\b", "End-of-Service")
-    line = F.regexp_replace(line, r"\b([A-Za-z])-\s+([a-z]{2,})\b", "$1$2")
+    parted = F.regexp_replace(F.regexp_replace(line, r"(?i)\bEnd-\s+if-?\s*Service\b", "End-of-Service"), r"(?i)\bEnd-\s+of-\s+Service\b", "End-of-Service")
+    parted = F.regexp_replace(parted, r"\b([A-Za-z])-\s+([a-z]{2,})\b", "$1$2")
+    line = F.when(F.col("line").rlike(r"-\s"), parted).otherwise(line)
     lines = lines.withColumn("line", T.trimmed(F.regexp_replace(line, r"\s{2,}", " "))).filter("line <> ''")
     every = lines.groupBy("id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("l"))
     each = every.select("id", "page", F.posexplode(merged_markers(F.col("l"))).alias("k", "line"))
@@ -94,7 +93,7 @@ def without_repeated(pages: DataFrame) -> DataFrame:
     three or more of the first and last four lines, and on a quarter of the pages at least. They go wherever they stand."""
     lines = pages.select("id", "page", F.size("l").alias("m"), F.posexplode("l").alias("k", "line")).withColumn("key", T.line_key(F.col("line")))
     on_edge = (F.col("k") < EDGE).cast("int") + (F.col("k") >= F.col("m") - EDGE).cast("int")
-    often = lines.filter(F.length("key").between(5, 90)).groupBy("id", "key").agg(F.sum(on_edge).alias("c"))
+    often = lines.filter((on_edge > 0) & F.length("key").between(5, 90)).groupBy("id", "key").agg(F.sum(on_edge).alias("c"))
     counts = pages.groupBy("id").agg(F.count("*").alias("pages"))
     repeated = often.join(counts, "id").filter((F.col("c") >= 3) & (F.col("c") >= F.greatest(F.lit(2), F.floor(F.col("pages") / 4))))
     return lines.join(repeated.select("id", "key"), ["id", "key"], "left_anti").select("id", "page", "k", "line")
@@ -103,7 +102,7 @@ def without_repeated(pages: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and text: the pages that stay, each under `[H2] Page n`, headings marked by their kind. A document of which nothing
     stays keeps its text, trimmed. Pages are cleaned by themselves; only their edge lines meet, by document and line."""
-    pages = _cleaned(page_lines(docs, id_col, text_col))
+    pages = kept(_cleaned(page_lines(docs, id_col, text_col)), "pages")
     numbered = pages.select("id", "page", F.row_number().over(W.partitionBy("id").orderBy("page")).alias("no"))
     heading = T.clean_heading_line(F.col("line"))
     sub = heading.rlike(r"^\d+(?:\.\d+)*\.?\s+") & ~heading.rlike(r"(?i)^(PART|Schedule|Chapter)\s+\d+")
