@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions import rows
 from textloom.functions import text as T
-from textloom.operators import chunkers, paged, pages
+from textloom.operators import chunkers, paged, pages, vectors
 
 
 def test_rows_are_taken_a_few_megabytes_at_a_time(spark):
@@ -60,3 +65,18 @@ def test_line_rules_look_first_and_find_the_same(spark):
     assert t.filter(T.line_key(x).isin(*T.NAV_LINES) & ~F.coalesce(T.is_noise_line(x), F.lit(False))).count() == 0
     assert t.filter(x.rlike(T.NAV_LIKE)).count() >= 2
     assert t.filter(T.useful_word_count(x) != F.regexp_count(x, F.lit(f"[{T.LETTERS}]{{3,}}"))).count() == 0
+
+
+def test_block_search_holds_a_tile_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(4096, 8)), rng.normal(size=(2500, 8))
+    column = pa.array([v.tolist() for v in x] + [None, [1.0], [None] * 8, [math.nan] * 8])
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(2500), 9000, 9001, 9002, 9003]), column], ["id", "vector"])
+    tracemalloc.start()
+    found = list(vectors._best_of(SimpleNamespace(value=(list(range(4096)), q)), 3)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    scores = np.round(q @ x.T, 9)
+    got = sorted((r["query_id"], -r["score"], r["id"]) for part in found for r in part.to_pylist())
+    assert [i for _, _, i in got] == [int(i) for row in scores for i in np.lexsort((np.arange(2500), -row))[:3]]
