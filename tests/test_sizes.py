@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import tracemalloc
 from types import SimpleNamespace
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rows
 from textloom.functions import text as T
-from textloom.operators import chunkers, paged, pages, vectors
+from textloom.operators import chunkers, paged, pages, text_vectors, vectors
 
 
 def test_rows_are_taken_a_few_megabytes_at_a_time(spark):
@@ -80,3 +81,28 @@ def test_block_search_holds_a_tile_at_a_time(spark):
     scores = np.round(q @ x.T, 9)
     got = sorted((r["query_id"], -r["score"], r["id"]) for part in found for r in part.to_pylist())
     assert [i for _, _, i in got] == [int(i) for row in scores for i in np.lexsort((np.arange(2500), -row))[:3]]
+
+
+def test_hashed_vectors_are_made_without_a_search_per_slot(spark):
+    texts = {1: "The visa fee the", 2: "a b c d e f g", 3: "ß Ä ä 42", 4: None, 5: "!"}
+    rows = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    for dim in (256, 100):
+        made = text_vectors.hashed_vectors(rows, "id", "text", dim)
+        assert "element_at(m" not in made._jdf.queryExecution().analyzed().toString()
+        want = {}
+        for i in (1, 2, 3):
+            v = np.zeros(dim)
+            for w in texts[i].lower().split():
+                digest = hashlib.md5(w.encode()).hexdigest()
+                v[int(digest[:8], 16) % dim] += 1 if int(digest[8], 16) % 2 == 0 else -1
+            want[i] = (v / math.sqrt((v * v).sum())).tolist()
+        assert {r.id: r.vector for r in made.collect()} == want
+
+
+def test_reranking_runs_its_search_once(spark):
+    docs = spark.createDataFrame([(k, f"visa fee {k} word" + " more" * k) for k in range(30)], "id bigint, text string")
+    queries = spark.createDataFrame([(7, "visa fee 3"), (8, "fee more")], "id bigint, text string")
+    hits = vectors.top_k_blocks(*(text_vectors.hashed_vectors(x, "id", "text") for x in (queries, docs)), 5)
+    best = text_vectors.reranked(hits, queries, docs)
+    assert "MapInArrow" not in best._jdf.queryExecution().analyzed().toString()
+    assert best.count() == 10 and best.filter("query_id = 7 AND rank = 1").first().id == 3
