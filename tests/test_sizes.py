@@ -11,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from textloom.functions import language as L
 from textloom.functions import rows
 from textloom.functions import text as T
 from textloom.operators import chunkers, paged, pages, text_vectors, vectors
+from textloom.plans import choice_queries
 
 
 def test_rows_are_taken_a_few_megabytes_at_a_time(spark):
@@ -106,3 +108,14 @@ def test_reranking_runs_its_search_once(spark):
     best = text_vectors.reranked(hits, queries, docs)
     assert "MapInArrow" not in best._jdf.queryExecution().analyzed().toString()
     assert best.count() == 10 and best.filter("query_id = 7 AND rank = 1").first().id == 3
+
+
+def test_utterances_are_taken_apart_once(spark):
+    said = ["[Background\tNoise]", " (stop) ", "ΣΑΣ Σ", "What is İt?", "(a\nb)", "请问 what", "[music", None, "", "um", "фон ФОН noise", "TELL me about it now"]
+    t = spark.createDataFrame(list(enumerate(said)), "id bigint, u string")
+    plans = [
+        (2, choice_queries.final_turns(t)), (1, t.select(L.is_new_query(F.col("u")).alias("x"))), (1, t.select(L.is_interrupt(F.col("u"), F.lit(-0.5)).alias("x"))),
+    ]
+    for most, made in plans:
+        assert made._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") <= most
+    assert [r.value for r in plans[0][1].orderBy("id").collect()] == [False, True, False, True, False, False, False, None, False, False, False, True]

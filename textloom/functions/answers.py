@@ -84,9 +84,8 @@ def is_final_turn(plain: Column, signature: Column, smalltalk: Column, require_s
     """Whether a turn is complete: a stop command, small talk or a new query, else words on the subject or a request, else
     (unless a signal is required) enough of them. plain: lower case, single blanks; signature: without punctuation."""
     n, han = F.regexp_count(plain, F.lit(r"\p{L}+")), F.regexp_count(plain, F.lit(f"[{L.HAN}]"))
-    at_once = L.is_stop_command(signature) | smalltalk | L.is_new_query(signature)
+    at_once = smalltalk | L.is_new_query(signature)
     on_subject = L.contains_any(plain, subject) & ((n > 0) | (han >= 2))
     asks = L.contains_any(plain, REQUEST_TERMS) & ((n >= 2) | (han >= 3))
     enough = F.lit(not require_signal) & ((han >= 4) | ((n >= 3) & (F.regexp_count(plain, F.lit(r"\p{L}")) >= 12)))
-    real = L.is_meaningful(plain) & L.supported_language(plain).isNotNull()
-    return (plain != "") & ~L.is_noise_utterance(plain) & (at_once | (real & (on_subject | asks | enough)))
+    return (plain != "") & L.is_speech(plain, at_once, on_subject | asks | enough)

@@ -77,6 +77,8 @@ STOP_TOKENS = (
 SUFFIXES = ("ing", "tion", "sion", "ions", "ed", "es", "s")
 HAN = r"一-鿿"
 LETTER = rf"A-Za-zА-Яа-яЁё{KAZAKH_LETTERS}"
+#: The same letters for Java's patterns, which try a class's parts in order: two tests for an ASCII letter, three for a blank.
+JAVA_LETTER = rf"A-Za-z[\u0400-\u04ff&&[{LETTER}]]"
 OTHER_SCRIPTS = r"[؀-ۿ֐-׿ऀ-ൿ฀-๿぀-ヿ가-힯]"
 LATIN_EXTENDED = r"[À-ÖØ-öø-ÿĀ-ž]"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -90,7 +92,7 @@ def array(items: tuple[str, ...]) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters, and single Han characters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"([{LETTER}]+|[{HAN}])"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"([{JAVA_LETTER}]+|[{HAN}])"), F.lit(1))
 
 
 def bare_words(text: Column) -> Column:
@@ -98,7 +100,7 @@ def bare_words(text: Column) -> Column:
 
 
 def contains_any(text: Column, items: tuple[str, ...]) -> Column:
-    return F.exists(array(items), lambda x: F.contains(text, x))
+    return let(text, lambda t: F.exists(array(items), lambda x: F.contains(t, x)))
 
 
 def alias(code: Column) -> Column:
@@ -115,99 +117,143 @@ def detect_language(text: Column) -> Column:
     )
 
 
+def is_supported(text: Column) -> Column:
+    """Neither blank nor with other scripts or Latin letters with marks."""
+    t = trimmed(text)
+    return F.coalesce((t != "") & ~t.rlike(OTHER_SCRIPTS) & ~t.rlike(LATIN_EXTENDED), F.lit(False))
+
+
 def supported_language(text: Column) -> Column:
     """As detect_language; null for blank texts, other scripts and Latin letters with marks."""
-    t = trimmed(text)
-    return F.when((t != "") & ~t.rlike(OTHER_SCRIPTS) & ~t.rlike(LATIN_EXTENDED), detect_language(t))
+    return F.when(is_supported(text), detect_language(trimmed(text)))
 
 
-def is_stop_command(text: Column) -> Column:
-    t = squeezed(F.lower(text))
-    return t.isin(*STOP_PHRASES) | F.arrays_overlap(words(t), array(STOP_WORDS))
+def heard(text: Column) -> Column:
+    """What the rules on utterances look at, as a struct: lower case (low), whether it is in brackets (wrapped), its words as
+    words() (w), without Han (a), and as bare_words() (bare), those of what is said, out of brackets (said, as text: phrase)."""
+    bare = lambda x: F.filter(F.split(x, NOT_WORD, -1), lambda y: y != "")
+
+    def inside(x: Column) -> Column:
+        return F.when(x["wrapped"], bare(F.regexp_extract(x["low"], WRAPPED, 1))).otherwise(x["bare"])
+
+    def split(low: Column) -> Column:
+        return F.struct(low.alias("low"), low.rlike(WRAPPED).alias("wrapped"), words(low).alias("w"), bare(low).alias("bare"))
+
+    def joined(x: Column) -> Column:
+        # A Han character is a word by itself, behind all other letters.
+        a = F.filter(x["w"], lambda y: y < HAN[0])
+        return F.struct(*[x[c].alias(c) for c in ("low", "wrapped", "w", "bare")], a.alias("a"), inside(x).alias("said"))
+
+    def named(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("low", "wrapped", "w", "bare", "a", "said")], F.array_join(x["said"], " ").alias("phrase"))
+
+    return let(let(let(F.lower(trimmed(text)), split), joined), named)
+
+
+def _only_sounds(p: Column) -> Column:
+    return (F.size(p["said"]) > 0) & F.forall(p["said"], lambda w: w.isin(*NOISE_WORDS))
+
+
+def _stop(p: Column) -> Column:
+    return squeezed(p["low"]).isin(*STOP_PHRASES) | F.arrays_overlap(p["w"], array(STOP_WORDS))
+
+
+def _noise(p: Column) -> Column:
+    return (p["low"] != "") & (p["low"].isin(*NOISE_PHRASES) | p["phrase"].isin(*NOISE_PHRASES) | _only_sounds(p))
+
+
+def _ratio(p: Column) -> Column:
+    hit = F.filter(p["bare"], lambda x: x.isin(*NOISE_WORDS) | x.isin(*NOISE_PHRASES) | x.contains("noise") | x.contains("background") | x.contains("фон"))
+    return F.when(F.size(p["bare"]) > 0, F.size(hit) / F.size(p["bare"])).otherwise(0.0)
+
+
+def _signal(p: Column) -> Column:
+    cue = (F.size(p["a"]) == 1) & F.arrays_overlap(p["a"], array(CUES))
+    return (p["low"] != "") & (F.arrays_overlap(p["w"], array(QUERY_WORDS)) | cue | contains_any(p["low"], HAN_QUERY_TERMS))
+
+
+def _background(p: Column) -> Column:
+    return _noise(p) | (~_signal(p) & (_ratio(p) >= MAX_RATIO))
 
 
-def phrase(text: Column) -> Column:
-    """What is said, out of brackets, as single-blank words."""
-    t = F.lower(trimmed(text))
-    return F.array_join(bare_words(F.when(t.rlike(WRAPPED), F.regexp_extract(t, WRAPPED, 1)).otherwise(t)), " ")
+def _meaningful(p: Column) -> Column:
+    tag = p["phrase"].isin(*NOISE_PHRASES) | (p["wrapped"] & _only_sounds(p))
+    return (p["low"] != "") & ~tag & ~F.array_join(p["bare"], " ").isin(*FILLERS)
+
+
+def is_stop_command(text: Column) -> Column:
+    return let(heard(text), _stop)
 
 
 def is_noise_utterance(text: Column) -> Column:
     """A tag or words that stand for sounds, not speech."""
-    inner = phrase(text)
-    said = bare_words(inner)
-    return (trimmed(text) != "") & (
-        F.lower(trimmed(text)).isin(*NOISE_PHRASES) | inner.isin(*NOISE_PHRASES)
-        | ((F.size(said) > 0) & F.forall(said, lambda w: w.isin(*NOISE_WORDS)))
-    )
+    return let(heard(text), _noise)
 
 
 def non_speech_ratio(text: Column) -> Column:
-    def ratio(w: Column) -> Column:
-        hit = F.filter(w, lambda x: x.isin(*NOISE_WORDS) | x.isin(*NOISE_PHRASES) | x.contains("noise") | x.contains("background") | x.contains("фон"))
-        return F.when(F.size(w) > 0, F.size(hit) / F.size(w)).otherwise(0.0)
-
-    return let(bare_words(text), ratio)
+    return let(heard(text), _ratio)
 
 
 def has_query_signal(text: Column) -> Column:
-    def signal(w: Column) -> Column:
-        alphabetic = F.filter(w, lambda x: ~x.rlike(f"[{HAN}]"))
-        return F.arrays_overlap(w, array(QUERY_WORDS)) | ((F.size(alphabetic) == 1) & F.arrays_overlap(alphabetic, array(CUES)))
-
-    return (trimmed(text) != "") & (let(words(trimmed(text)), signal) | contains_any(F.lower(text), HAN_QUERY_TERMS))
+    return let(heard(text), _signal)
 
 
 def is_background(text: Column) -> Column:
-    return is_noise_utterance(text) | (~has_query_signal(text) & (non_speech_ratio(text) >= MAX_RATIO))
+    return let(heard(text), _background)
+
+
+def _lettered(text: Column) -> Column:
+    """Two letters or a Han character. Looking for two is cheaper than counting all, which makes a string of each."""
+    t = trimmed(text)
+    return t.rlike(f"(?s)[{JAVA_LETTER}{HAN}].*?[{JAVA_LETTER}{HAN}]") | t.rlike(f"[{HAN}]")
 
 
 def is_meaningful(text: Column) -> Column:
     """Two letters or a Han character, and neither filler nor a sound's tag."""
-    t = trimmed(text)
-    inner = phrase(t)
-    said = bare_words(inner)
-    tag = inner.isin(*NOISE_PHRASES) | (t.rlike(WRAPPED) & (F.size(said) > 0) & F.forall(said, lambda w: w.isin(*NOISE_WORDS)))
-    return (
-        (t != "") & ~tag & ~F.array_join(bare_words(t), " ").isin(*FILLERS)
-        & ((F.regexp_count(t, F.lit(f"[{LETTER}{HAN}]")) >= 2) | t.rlike(f"[{HAN}]"))
-    )
+    return _lettered(text) & let(heard(text), _meaningful)
+
+
+def is_speech(text: Column, at_once: Column, enough: Column) -> Column:
+    """No noise, and either to be taken at once or enough of meaningful words in a supported language."""
+    may = enough & _lettered(text) & is_supported(text)
+    return let(heard(text), lambda p: ~_noise(p) & (at_once | (may & _meaningful(p))))
+
+
+def _with_may(text: Column, rule) -> Column:
+    """The rule over what is heard and whether it may be speech in a supported language by its letters."""
+    return let(F.struct(heard(text).alias("p"), (_lettered(text) & is_supported(text)).alias("may")), lambda x: rule(x["p"], x["may"]))
+
 
+def _letters(p: Column) -> Column:
+    return F.aggregate(p["a"], F.lit(0), lambda n, x: n + F.length(x))
 
-def _counts(text: Column, choose) -> Column:
-    """choose(words without Han, letters in them, Han characters)."""
-    w = words(trimmed(text))
-    alphabetic = F.filter(w, lambda x: ~x.rlike(f"[{HAN}]"))
-    letters = F.aggregate(alphabetic, F.lit(0), lambda a, x: a + F.length(x))
-    return let(F.struct(alphabetic.alias("a"), letters.alias("n"), (F.size(w) - F.size(alphabetic)).alias("h")), lambda x: choose(x["a"], x["n"], x["h"]))
+
+def _han(p: Column) -> Column:
+    return F.size(p["w"]) - F.size(p["a"])
 
 
 def is_new_query(text: Column) -> Column:
     """Whether a partial transcript asks something new."""
-    def enough(a: Column, n: Column, h: Column) -> Column:
-        return (
-            (contains_any(F.lower(text), HAN_QUERY_TERMS) | F.arrays_overlap(a, array(QUERY_WORDS)) | text.rlike("[?？]"))
-            & ((h >= 3) | ((F.size(a) >= 2) & (n >= 6)) | ((F.size(a) == 1) & F.arrays_overlap(a, array(CUES))))
-        )
+    def new(p: Column, may: Column) -> Column:
+        asks = F.arrays_overlap(p["a"], array(QUERY_WORDS)) | p["low"].rlike("[?？]") | contains_any(p["low"], HAN_QUERY_TERMS)
+        enough = (_han(p) >= 3) | ((F.size(p["a"]) >= 2) & (_letters(p) >= 6)) | ((F.size(p["a"]) == 1) & F.arrays_overlap(p["a"], array(CUES)))
+        return _stop(p) | (may & asks & enough & ~_background(p) & _meaningful(p))
 
-    return is_stop_command(text) | (
-        ~is_background(text) & is_meaningful(text) & supported_language(text).isNotNull() & _counts(text, enough)
-    )
+    return _with_may(text, new)
 
 
 def is_interrupt(text: Column, logprob: Column) -> Column:
     """Whether a partial transcript should interrupt; a low average log-probability never does."""
-    def strong(a: Column, n: Column, h: Column) -> Column:
-        several = (n >= 10) & ~F.arrays_overlap(a, array(FILLERS[1:]))
-        return F.when(F.size(a) + h == 0, False).when(F.size(a) < 2, (F.size(a) == 1) & F.arrays_overlap(a, array(CUES))).otherwise(
-            several | contains_any(F.lower(text), HAN_QUERY_TERMS)
+    def strong(p: Column) -> Column:
+        several = (_letters(p) >= 10) & ~F.arrays_overlap(p["a"], array(FILLERS[1:]))
+        return F.when(F.size(p["w"]) == 0, False).when(F.size(p["a"]) < 2, (F.size(p["a"]) == 1) & F.arrays_overlap(p["a"], array(CUES))).otherwise(
+            several | contains_any(p["low"], HAN_QUERY_TERMS)
         )
 
-    return (text != "") & F.coalesce(logprob >= MIN_LOGPROB, F.lit(True)) & ~is_noise_utterance(text) & (
-        is_stop_command(text)
-        | (supported_language(text).isNotNull() & is_meaningful(text) & ~is_background(text)
-           & (has_query_signal(text) | text.rlike("[?？]") | _counts(text, strong)))
-    )
+    def cuts(p: Column, may: Column) -> Column:
+        return ~_noise(p) & (_stop(p) | (may & _meaningful(p) & ~_background(p) & (_signal(p) | p["low"].rlike("[?？]") | strong(p))))
+
+    return (text != "") & F.coalesce(logprob >= MIN_LOGPROB, F.lit(True)) & _with_may(text, cuts)
 
 
 def is_internal_query(text: Column) -> Column:
