@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -397,6 +398,63 @@ def test_ngram_join_of_repeated_ids(spark):
     assert len(linked) == 1 and out[1] == {(36, 1)} and out[4] == {(36, 4)} and out[5] == {(37, 4)} and out[None] == {(36, 4)}
 
 
+def test_ngram_join_cuts_texts_once_and_outside_the_plan(spark, texts, monkeypatch):
+    """Words are hashed from Arrow's bytes: splitting every text in the plan, and again in Python for whole sets, took most of the time."""
+    plans = []
+    sent = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or sent(rows))
+    ngram_join.ngram_join(docs(spark, texts))
+    assert len(plans) == 1 and "split(" not in plans[0] and "MapInArrow" in plans[0]
+
+
+@pytest.mark.parametrize(("piece", "long"), [(1 << 18, 64), (65, 64), (8, 3), (2, 1)])
+def test_words_of_bytes_match_the_word_rule(monkeypatch, piece, long):
+    """Cuts inside texts, words longer than a piece, other white space and neighbouring texts without a blank between them."""
+    monkeypatch.setattr(hashing, "PIECE", piece)
+    monkeypatch.setattr(hashing, "LONG_WORD", long)
+    rng = random.Random(3)
+    letters = [*"abAZzÉé漢\0\x1c\xa0", "😀", *"  \n\t\x0b\x0c\r"]
+    made = ["".join(rng.choices(letters, k=rng.choice((0, 1, 3, 10, 300)))) for _ in range(100)]
+    made = [None, "", *made, "x" * 900, "", "ab cd", "ef gh", "q" * 64 + " " + "q" * 65, "one two three four five", "ONE two three"]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    want = [WORD.findall((t or "").translate(lower)) for t in made]
+    for kind in (pa.string(), pa.large_string()):
+        flat, ends = hashing.texts(pa.array(["not this", *made, "nor this"], kind).slice(1, len(made)))
+        got, at = hashing.lower_word_hashes(flat, ends)
+        assert np.diff(at).tolist() == [len(x) for x in want]
+        pairs = set(zip((w for x in want for w in x), got.tolist(), strict=True))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+        sets, bounds = ngram_join.shingle_sets(flat, ends, 5)
+        sizes = [len({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))}) if x else 0 for x in want]
+        assert np.diff(bounds).tolist() == sizes
+        assert all((sets[a + 1 : b] > sets[a : b - 1]).all() for a, b in zip(bounds, bounds[1:], strict=False) if b > a)
+
+
+def test_words_built_by_rule_keep_their_own_hashes():
+    """A polynomial modulo 2 ** 64 can't tell Thue-Morse words of 2,048 letters apart, nor shifted letters of words that aren't mixed."""
+    one, other = "a", "b"
+    while len(one) < 2048:
+        one, other = one + other, other + one
+    flat, ends = hashing.texts(pa.array([f"{one} {other} ab ba aab baa"]))
+    assert len(set(hashing.lower_word_hashes(flat, ends)[0].tolist())) == 6
+    flat, ends = hashing.texts(pa.array(["x ab q r s", "b ax q r s", "xa b q r s"]))
+    assert len(set(ngram_join.shingle_sets(flat, ends, 5)[0].tolist())) == 3
+
+
+def test_ngram_join_in_small_slices(spark, texts, monkeypatch):
+    """Arrow batches cut by bytes and by rows give the same rows."""
+    frame = docs(spark, texts).coalesce(1)
+    for size, rows in ((1, 1000), (300, 3), (1 << 20, 2)):
+        monkeypatch.setattr(ngram_join, "SLICE", size)
+        monkeypatch.setattr(ngram_join, "ROWS", rows)
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts)})
+        parts = list(ngram_join._sliced(batch, 1, 5))
+        assert [i for p, _, _ in parts for i in p["doc_id"].to_pylist()] == list(range(len(texts)))
+        assert max(p.num_rows for p, _, _ in parts) <= rows
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(frame).collect()}
+    assert out == brute_join(enumerate(texts))
+
+
 def test_sketches_differ_in_no_more_bits_than_sets(spark):
     rng = np.random.default_rng(5)
     for n in (1, 40, 3000):

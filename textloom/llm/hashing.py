@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,29 +24,12 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda x: F.xxhash64(x))
 
 
-def lower_word_hashes(text: Column) -> Column:
-    """The same of the words with A-Z in lower case. A text of ASCII alone is lowered whole."""
-    plain = F.octet_length(text) == F.length(text)
-    return F.when(plain, word_hashes(F.lower(text))).otherwise(F.transform(words(text), lambda x: F.xxhash64(lower_ascii(x))))
-
-
 def lower_ascii(word: Column) -> Column:
     """A-Z in lower case; other letters stay. Words of ASCII alone, which are most, take the fast way."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, upper, upper.lower()))
 
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Seed of Spark's xxhash64.
-SEED = 42
-
-
-def lower_word_hashes_of(text: str) -> np.ndarray:
-    """The same for one text, outside Spark's expressions."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in WORD.findall(text.translate(LOWER))), np.uint64)
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective mix of 64-bit numbers."""
     x = x + np.uint64(seed * int(BASE) % (1 << 64))
@@ -56,6 +38,64 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of strings, text after text, and the bounds between texts; null is empty."""
+    column = column.fill_null("") if column.null_count else column
+    _, ends, flat = column.buffers()
+    if not len(column) or flat is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(flat, np.uint8)[ends[0] : ends[-1]], ends.astype(np.int64) - ends[0]
+
+
+#: What the values of bytes add to a word's hash, A-Z like a-z, and which are white space.
+VALUES = mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64), 4)
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Bytes that are hashed at once (more than LONG_WORD), and the factor's powers and their inverses for them.
+PIECE = 1 << 18
+POWERS, INVERSES = (np.multiply.accumulate(np.full(PIECE, x, np.uint64)) for x in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
+#: Words of more bytes are hashed one by one: a polynomial modulo 2 ** 64 tells long words of a regular build badly apart.
+LONG_WORD = 64
+
+
+def lower_word_hashes(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, A-Z in lower case, of the texts that lie in `flat` between the bounds `ends`, and the
+    bounds between the texts' words. White space and A-Z are never part of a longer character of UTF-8."""
+    space, hashes, firsts, at = SPACE[flat], [], [], 0
+    edge = space.copy()  # bytes that end a piece of words: white space, and a text's last byte
+    edge[ends[ends > 0] - 1] = True
+    while at < len(flat):
+        stop = min(at + PIECE, len(flat))
+        if stop < len(flat) and not edge[stop - 1]:
+            back = edge[at:stop][::-1].argmax()
+            if not edge[stop - 1 - back]:  # a word longer than a piece
+                stop += int(edge[stop:].argmax())
+                stop += not space[stop]
+                hashes.append(np.array([_long_word(flat[at:stop])], np.uint64))
+                firsts.append(np.array([at]))
+                at = stop
+                continue
+            stop -= int(back)
+        word = ~space[at:stop]
+        first = word & np.concatenate(([True], edge[at : stop - 1]))
+        last = word & np.concatenate((space[at + 1 : stop], [True])) | word & edge[at:stop]
+        first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUES[flat[at:stop]] * POWERS[: stop - at])))
+        h = mixed((sums[last] - sums[first]) * INVERSES[first])
+        for i in np.flatnonzero(last - first > LONG_WORD):
+            h[i] = _long_word(flat[at + first[i] : at + last[i]])
+        hashes.append(h)
+        firsts.append(first + at)
+        at = stop
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(firsts), ends)
+
+
+def _long_word(word: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(word.tobytes().lower())
+
+
 def windows(values: np.ndarray, k: int, base: np.uint64 = BASE) -> np.ndarray:
     """Hash of every k consecutive values, as many as there are."""
     n = len(values) - k + 1

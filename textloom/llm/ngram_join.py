@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import keep, release, written
 from .components import components
-from .hashing import bit_filter, lists, lower_word_hashes, lower_word_hashes_of, mixed, passes, slot_of, windows, without
+from .hashing import bit_filter, lower_word_hashes, mixed, passes, slot_of, texts, windows, without
 
 RARE = 8
 MAX_FREQUENT = 16
@@ -40,24 +40,44 @@ SMALL_KEY = 16
 SHINGLE_BITS = 1 << 27
 #: Number of a row whose id doesn't tell it from others.
 ROW = "__textloom_row"
-#: Documents of an Arrow batch that are worked on at once.
-SLICE = 1000
+#: Bytes and rows of an Arrow batch's texts that are worked on at once; a longer text is by itself.
+SLICE, ROWS = 1 << 20, 1000
 #: Words of 64 bits of a set's parity sketch, and keys that a member knows of those before a key.
 SKETCH, BEFORE = 8, 4
 
 
-def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct shingles; fewer than k words make one."""
-    if 0 < len(hashes) < k:
-        return windows(hashes, len(hashes)) + np.uint64(len(hashes))
-    return np.unique(windows(hashes, k))
-
-
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].alias("doc_id"), lower_word_hashes(docs[text_col]).alias("h"))
-
-
-def frequent_shingles(hashed: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(flat: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of each text, text after text, and the bounds between the texts; fewer than k words
+    make one."""
+    words, at = lower_word_hashes(flat, ends)
+    counts, made = np.diff(at), windows(words, k)
+    owners = np.repeat(np.arange(len(counts)), counts)
+    made = made[owners[: len(made)] == owners[len(owners) - len(made) :]]
+    sizes = np.maximum(counts - k + 1, 0)
+    if len(short := np.flatnonzero((counts > 0) & (counts < k))):
+        alone = np.concatenate([windows(words[at[i] : at[i + 1]], counts[i]) + np.uint64(counts[i]) for i in short])
+        made = np.insert(made, np.cumsum(sizes)[short], alone)
+        sizes[short] = 1
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        made[a:b].sort()
+    owners = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.ones(len(made), bool)
+    new[1:] = (made[1:] != made[:-1]) | (owners[1:] != owners[:-1])
+    return made[new], np.concatenate(([0], np.cumsum(np.bincount(owners[new], minlength=len(sizes)))))
+
+
+def _sliced(batch: pa.RecordBatch, column: int, k: int):
+    """Runs of rows with their shingles and the bounds between the rows' sets."""
+    flat, ends = texts(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1), at + ROWS)
+        yield batch.slice(at, to - at), *shingle_sets(flat[ends[at] : ends[to]], ends[at : to + 1] - ends[at], k)
+        at = to
+
+
+def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent shingles and their counts. It only steers the order, so results don't hang on it."""
 
     def counted(batches):
@@ -70,9 +90,9 @@ def frequent_shingles(hashed: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
             return pa.RecordBatch.from_pydict({"s": u[often].view(np.int64), "c": c[often]})
 
         for batch in batches:
-            for x in lists(batch, 1):
-                held.append(shingle_set(x, k))
-                n += len(held[-1])
+            for _, shingles, _ in _sliced(batch, 1, k):
+                held.append(shingles)
+                n += len(shingles)
                 if n >= BUFFER:
                     yield flush()
                     held, n = [], 0
@@ -80,7 +100,7 @@ def frequent_shingles(hashed: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
             yield flush()
 
     rows = (
-        hashed.mapInArrow(counted, "s bigint, c bigint").groupBy("s").agg(F.sum("c").alias("c"))
+        docs.mapInArrow(counted, "s bigint, c bigint").groupBy("s").agg(F.sum("c").alias("c"))
         .orderBy(F.desc("c"), "s").limit(TABLE).toArrow()
     )
     s = rows["s"].to_numpy().view(np.uint64)
@@ -88,9 +108,9 @@ def frequent_shingles(hashed: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray
     return s[at], rows["c"].to_numpy()[at]
 
 
-def prefix_length(n: int, threshold: int, shared: int = 2) -> int:
+def prefix_length(n: np.ndarray, threshold: int, shared: np.ndarray | int = 2) -> np.ndarray:
     """Shingles of which two linking sets share at least so many."""
-    return min(n, n - -(-threshold * n // 100) + shared)
+    return np.minimum(n, n - -(-threshold * n // 100) + shared)
 
 
 def shared_least(n):
@@ -98,56 +118,64 @@ def shared_least(n):
     return 2 + n // 20
 
 
-def digest_of(shingles: np.ndarray, seed: int) -> int:
-    return int(mixed(shingles, seed).sum(dtype=np.uint64).view(np.int64))
+def digests(shingles: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A digest of each set between neighbouring bounds."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(shingles, seed))))
+    return np.diff(sums[ends]).view(np.int64)
+
+
+def sketches(shingles: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Parity sketches of sets: bit i tells whether an odd number of a set's shingles hash to i."""
+    n, bits = len(ends) - 1, 64 * SKETCH
+    slots = (mixed(shingles, 3) & np.uint64(bits - 1)).astype(np.int64) + bits * np.repeat(np.arange(n), np.diff(ends))
+    odd = np.bincount(slots, minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64).reshape(n, SKETCH)
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """Parity sketch of a set: bit i tells whether an odd number of its shingles hash to i."""
-    odd = np.bincount((mixed(shingles, 3) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+    return sketches(shingles, np.array([0, len(shingles)]))[0]
 
 
-def list_array(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
-    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(offsets, flat)
+def list_array(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """The parts of `flat` between neighbouring bounds."""
+    return pa.ListArray.from_arrays(ends.astype(np.int32), flat.view(np.int64))
 
 
-def in_order(shingles: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles in the global order."""
-    weight = np.zeros(len(shingles), np.int64)
-    if len(table):
-        at = np.minimum(np.searchsorted(table, shingles), len(table) - 1)
-        hit = table[at] == shingles
-        weight[hit] = counts[at[hit]]
-    return shingles[np.lexsort((shingles, weight))]
+def in_order(shingles: np.ndarray, ends: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sorted shingles of each set in the global order."""
+    if not len(table) or not len(shingles):
+        return shingles
+    at = np.minimum(np.searchsorted(table, shingles), len(table) - 1)
+    weight = np.where(table[at] == shingles, np.minimum(counts[at], (1 << 32) - 1), 0)
+    return shingles[np.argsort((np.repeat(np.arange(len(ends) - 1), np.diff(ends)) << 32) + weight, kind="stable")]
 
 
-def _sets(hashed: DataFrame, k: int, threshold: int) -> DataFrame:
+def _parts(shingles: np.ndarray, ends: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.ListArray:
+    """Of each set the shingles from its `start` to its `stop`."""
+    place = np.arange(len(shingles)) - np.repeat(ends[:-1], np.diff(ends))
+    inside = (place >= np.repeat(start, np.diff(ends))) & (place < np.repeat(stop, np.diff(ends)))
+    return list_array(shingles[inside], np.concatenate(([0], np.cumsum(stop - start))))
+
+
+def _sets(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """doc_id, n, two digests of the set, its sketch, its prefix, and what makes the prefix long enough to share 2 + n / 20."""
-    table, counts = frequent_shingles(hashed, k)
-    sent = hashed.sparkSession.sparkContext.broadcast((table, counts))
+    table, counts = frequent_shingles(docs, k)
+    sent = docs.sparkSession.sparkContext.broadcast((table, counts))
 
     def rows(batches):
         table, counts = sent.value
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            ns, d1, d2, sketches, prefixes, more = [], [], [], [], [], []
-            for x in lists(batch, 1):
-                s = shingle_set(x, k)
-                ns.append(len(s))
-                d1.append(digest_of(s, 1))
-                d2.append(digest_of(s, 2))
-                sketches.append(sketch_of(s))
-                s, at = in_order(s, table, counts), prefix_length(len(s), threshold)
-                prefixes.append(s[:at])
-                more.append(s[at : prefix_length(len(s), threshold, shared_least(len(s)))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in (ns, d1, d2)), list_array(sketches), list_array(prefixes), list_array(more)],
-                ["doc_id", "n", "d1", "d2", "sketch", "prefix", "more"],
-            )
-
-    return hashed.mapInArrow(rows, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, prefix array<bigint>, more array<bigint>")
+        for batch in batches:
+            for part, s, ends in _sliced(batch, 1, k):
+                n = np.diff(ends)
+                own = [pa.array(x, pa.int64()) for x in (n, digests(s, ends, 1), digests(s, ends, 2))]
+                sketch = list_array(sketches(s, ends).ravel(), np.arange(len(n) + 1) * SKETCH)
+                s, at, to = in_order(s, ends, table, counts), prefix_length(n, threshold), prefix_length(n, threshold, shared_least(n))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *own, sketch, _parts(s, ends, np.zeros_like(at), at), _parts(s, ends, at, to)],
+                    ["doc_id", "n", "d1", "d2", "sketch", "prefix", "more"],
+                )
+
+    return docs.mapInArrow(rows, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, prefix array<bigint>, more array<bigint>")
 
 
 def _shared_prefixes(rows: DataFrame) -> DataFrame:
@@ -155,13 +183,17 @@ def _shared_prefixes(rows: DataFrame) -> DataFrame:
     tells, so a few of those stay; the exact counts follow)."""
     counts = rows.select(F.explode(F.concat("prefix", "more")).alias("s")).groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
     sent = rows.sparkSession.sparkContext.broadcast(bit_filter(counts.select(F.pmod("s", F.lit(SHINGLE_BITS)).alias("slot")), SHINGLE_BITS))
-    held = lambda x: x[passes(sent.value, (x & np.uint64(SHINGLE_BITS - 1)).astype(np.int64))]
+
+    def held(column: pa.ListArray) -> pa.ListArray:
+        flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        stays = passes(sent.value, (flat & np.uint64(SHINGLE_BITS - 1)).astype(np.int64))
+        return list_array(flat[stays], np.concatenate(([0], np.cumsum(stays)))[ends])
 
     def shared(batches):
         for batch in batches:
             for name in ("prefix", "more"):
                 at = batch.schema.names.index(name)
-                batch = batch.set_column(at, name, list_array([held(x) for x in lists(batch, at)]))
+                batch = batch.set_column(at, name, held(batch.column(at)))
             yield batch
 
     return rows.mapInArrow(shared, rows.schema)
@@ -213,11 +245,9 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def rows(batches):
         for batch in batches:
             wanted = batch.filter(pa.array(passes(sent.value, batch.column(2).to_numpy())))
-            for at in range(0, wanted.num_rows, SLICE):
-                part = wanted.slice(at, SLICE)
-                sets = [shingle_set(lower_word_hashes_of(x or ""), k) for x in part.column(1).to_pylist()]
-                digests = pa.array([digest_of(x, 1) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), digests, list_array(sets)], ["doc_id", "digest", "shingles"])
+            for part, s, ends in _sliced(wanted, 1, k):
+                digest = pa.array(digests(s, ends, 1), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), digest, list_array(s, ends)], ["doc_id", "digest", "shingles"])
 
     slotted = docs.select("doc_id", "text", slot_of(F.col("doc_id")).alias("slot"))
     found = slotted.mapInArrow(rows, "doc_id bigint, digest bigint, shingles array<bigint>")
@@ -298,7 +328,8 @@ def class_components(keys: DataFrame, classes: DataFrame, docs: DataFrame, k: in
     """id and component_id of every class that links with another.
 
     Every key's members meet its hub. Keys that still hold several components follow: large ones meet further hubs
-    first, and at last all members of different components meet, less the pairs that have met before."""
+    first, and at last all members of different components meet, less the pairs that have met before. A key that is
+    left with one component is done, so each step goes through what the one before has left open."""
     links = tested = None
     rows = keys.withColumn("c", F.col("id"))
     for step in range(HUB_ROUNDS + 1):
@@ -317,7 +348,7 @@ def class_components(keys: DataFrame, classes: DataFrame, docs: DataFrame, k: in
         release(docs.sparkSession)
         links = new if links is None else links.union(new)
         if not last:
-            rows = keep(_open_keys(_relabelled(keys.withColumn("c", F.col("id")), "c", _near_roots(links))))
+            rows = keep(_open_keys(_relabelled(rows.withColumn("c", F.col("id")), "c", _near_roots(links))))
     return keys.select("id", F.col("id").alias("component_id")).limit(0) if links is None else keep(components(links))
 
 
@@ -332,9 +363,9 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "
     """doc_id, n_shingles, class_id (smallest id with an equal set) and component_id, one row per document.
 
     threshold: percent of the union that the intersection holds at least."""
-    hashed = _hashed(docs, id_col, text_col)
+    docs = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     same = ["n", "d1", "d2"]
-    with written(_sets(hashed, k, threshold)) as rows:
+    with written(_sets(docs, k, threshold)) as rows:
         slim = keep(_shared_prefixes(rows))
     some, own = slim.filter("n > 0"), slim.select("doc_id", *same)
     if not (several := _several_sets(slim)).isEmpty():
@@ -345,7 +376,7 @@ def ngram_join(docs: DataFrame, k: int = 5, threshold: int = 75, id_col: str = "
     classes = keep(classes.select("id", "n", "d1", "sketch", "prefix", "more"))
     keys = _keys(classes)
     release(docs.sparkSession)
-    labels = class_components(keys, classes, docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), k, threshold)
+    labels = class_components(keys, classes, docs, k, threshold)
     release(docs.sparkSession)
     joined = own.join(of.withColumnRenamed("id", "class_id"), same, "left")
     joined = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
